@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, quality_rules, sharding
+from palisade.llm import chat_format, packing, quality_rules, sharding, token_counts
 from palisade.llm.common import read_table
 
 SHARD_BYTES = 1 << 20
@@ -32,6 +32,22 @@ FROM best JOIN fit ON fit.depth = best.depth AND fit.q = best.h >> (60 - best.de
 """
 
 
+TOKEN_LIMIT = 1024
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE tokens of every whole document, from its prefix table."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = token_counts.with_counts(docs, table=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 ids."""
+    parts = packing.pieces(read_table(spark, sf_dir, "documents"))
+    return packing.packed(parts).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every whole document, with the current policy's verdict."""
     led = quality_rules.ledger(read_table(spark, sf_dir, "documents"))
@@ -83,5 +99,5 @@ g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) ||
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format}
 ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL}
