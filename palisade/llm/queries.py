@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, packing, quality_rules, sharding, token_counts
-from palisade.llm.common import read_table
+from palisade.llm import chat_format, decontamination, packing, quality_rules, sharding, token_counts, warc
+from palisade.llm.common import read_table, staged_path
 
 SHARD_BYTES = 1 << 20
 
@@ -32,6 +32,11 @@ FROM best JOIN fit ON fit.depth = best.depth AND fit.q = best.h >> (60 - best.de
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages, with the items found in them."""
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 TOKEN_LIMIT = 1024
 
 
@@ -99,5 +104,20 @@ g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) ||
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format}
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each page, written to the shared folder and read back by byte ranges."""
+    folder = staged_path(spark, "warc")
+    warc.write_archives(warc.marked(read_table(spark, sf_dir, "pages")), folder).agg(F.sum("records")).collect()
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+k AS (SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op10_warc": op10_warc}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_warc": OP10_SQL}
