@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, decontamination, packing, quality_rules, sharding, token_counts, warc
+from palisade.llm import chat_format, decontamination, language_id, packing, quality_rules, sharding, token_counts, warc
 from palisade.llm.common import read_table, staged_path
 
 SHARD_BYTES = 1 << 20
@@ -104,6 +104,13 @@ g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) ||
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document, learned from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = language_id.predicted(docs.select("doc_id", "text"), language_id.trained(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each page, written to the shared folder and read back by byte ranges."""
     folder = staged_path(spark, "warc")
@@ -119,5 +126,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_warc": OP10_SQL}
