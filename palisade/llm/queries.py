@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, decontamination, language_id, packing, quality_rules, sharding, token_counts, warc
+from palisade.llm import chat_format, decontamination, language_id, line_dedup, packing, quality_rules, sharding, token_counts, warc
 from palisade.llm.common import read_table, staged_path
 
 SHARD_BYTES = 1 << 20
@@ -111,6 +111,27 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier one up to one edit."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicated(docs).select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(parts))) AS n, unnest(parts) AS line FROM d),
+w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+f AS (SELECT line, min((doc_id, n)) AS place, length(line) AS len FROM w GROUP BY line),
+h AS (SELECT line, place, len, m, left(line, m // 2) AS a, right(line, m - m // 2) AS b FROM f, (SELECT unnest([0, 1]) AS k), LATERAL (SELECT len - k AS m) WHERE len >= 20),
+near AS (SELECT DISTINCT y.line FROM h x JOIN h y ON x.m = y.m AND x.a = y.a AND x.place < y.place WHERE abs(x.len - y.len) <= 1 AND levenshtein(x.line, y.line) <= 1
+  UNION SELECT DISTINCT y.line FROM h x JOIN h y ON x.m = y.m AND x.b = y.b AND x.place < y.place WHERE abs(x.len - y.len) <= 1 AND levenshtein(x.line, y.line) <= 1),
+kept AS (SELECT place.doc_id AS doc_id, place.n AS n FROM (SELECT {'doc_id': place[1], 'n': place[2]} AS place FROM f WHERE line NOT IN (SELECT line FROM near))),
+o AS (SELECT l.doc_id, l.n, l.line, regexp_matches(l.line, '[^\x20\x09-\x0D]') AS wordy, kept.n IS NOT NULL AS k FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id AND l.n = kept.n)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(CASE WHEN k OR NOT wordy THEN o.line END, chr(10) ORDER BY o.n), '') END AS text,
+  count_if(wordy)::BIGINT AS n_lines, count_if(wordy AND NOT k)::BIGINT AS n_removed FROM d LEFT JOIN o ON d.doc_id = o.doc_id GROUP BY d.doc_id, d.text
+"""
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each page, written to the shared folder and read back by byte ranges."""
     folder = staged_path(spark, "warc")
@@ -126,5 +147,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_warc": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_warc": OP10_SQL}
