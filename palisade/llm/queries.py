@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, decontamination, language_id, line_dedup, packing, quality_rules, sharding, token_counts, warc
+from palisade.llm import chat_format, decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules, sharding, token_counts, warc
 from palisade.llm.common import read_table, staged_path
 
 SHARD_BYTES = 1 << 20
@@ -111,6 +111,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity group of every whole document, by five-word shingles at 0.75."""
+    return jaccard_join.linked(read_table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that repeat an earlier one up to one edit."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -147,5 +152,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
 ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_warc": OP10_SQL}
