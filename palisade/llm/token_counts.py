@@ -28,12 +28,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tiktoken._tiktoken import CoreBPE
 from tokenizers import Tokenizer
 
 from palisade.llm.splitting import Settler
 
 #: Pieces kept by a worker; then its memory starts anew. Longer pieces are never kept.
 KEPT_PIECES, KEPT_LENGTH = 600_000, 48
+#: Neighbour tests kept by a worker.
+KEPT_TESTS = 2_000_000
 #: Rows that go back to Spark at once.
 SLICE = 500
 
@@ -53,6 +56,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Followers(dict):
+    """Next token -> whether it may follow ``token``."""
+
+    __slots__ = ("token",)
+
+
+class Tokens(dict):
+    """Token -> its followers, the empty one for the start of a piece."""
+
+    def __missing__(self, token: bytes) -> Followers:
+        self[token] = f = Followers()
+        f.token = token
+        return f
+
+
 class PrefixCounter(dict):
     """Piece -> int8 differences of the token counts of its prefixes, as bytes. One for each worker."""
 
@@ -62,62 +80,49 @@ class PrefixCounter(dict):
         raw = lambda s: bytes(letters[c] for c in s)
         special = [t["content"] for t in spec["added_tokens"]]
         self.vocab = {raw(k): v for k, v in spec["model"]["vocab"].items() if k not in special}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+        self.core = CoreBPE(self.vocab, {}, r"(?s:.)+")
         self.longest = max(map(len, self.vocab))
-        self.beside: dict[tuple[bytes, bytes], bool] = {}
+        self.after = Tokens()
+        self.tests = 0
         self.special = special
         self.settler = Settler(Tokenizer.from_file(path))
         self.split = lambda text: self.settler.spans(JOINED, text)
         self.lead = regex.compile(r"\s{2,}")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain merging, for the short strings of neighbour tests."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min((self.rank.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best[0] == 1 << 60:
-                break
-            a, b = parts[best[1]], parts[best[1] + 1]
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
-
-    def may_follow(self, a: bytes, b: bytes) -> bool:
-        key = (a, b)
-        found = self.beside.get(key)
-        if found is None:
-            if len(self.beside) > 2_000_000:
-                self.beside.clear()
-            found = self.beside[key] = self.merged(a + b) == ([a, b] if a else [b])
-        return found
-
     def counts(self, piece: str) -> list[int]:
         """Tokens of each prefix of one piece, in characters, the empty one first."""
         data = piece.encode()
-        vocab, may, longest = self.vocab, self.may_follow, self.longest
-        last, n = [b""], [0]
+        vocab, longest, after = self.vocab, self.longest, self.after
+        last, n = [after[b""]], [0]
         for i in range(1, len(data) + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(i - longest if i > longest else 0, i):
                 t = data[j:i]
-                if t in vocab and may(last[j], t):
-                    last.append(t)
-                    n.append(n[j] + 1)
-                    break
+                if t in vocab:
+                    may = last[j].get(t)
+                    if may is None:
+                        may = self.may_follow(last[j], t)
+                    if may:
+                        last.append(after[t])
+                        n.append(n[j] + 1)
+                        break
             else:
                 raise ValueError(f"no encoding of {data[:i]!r}")
         if len(data) == len(piece):
             return n
         return [0, *(n[i + 1] for i, b in enumerate(data) if i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80)]
 
+    def may_follow(self, a: "Followers", b: bytes) -> bool:
+        """Whether token b may stand after the token of a: encoding both gives both back."""
+        self.tests += 1
+        if self.tests > KEPT_TESTS:
+            self.tests = 0
+            for f in self.after.values():
+                f.clear()
+        alone = [self.vocab[b]]
+        may = a[b] = self.core.encode_single_piece(a.token + b) == ([self.vocab[a.token], *alone] if a.token else alone)
+        return may
+
     def prefixes(self, piece: str) -> list[int]:
         """The same for a match of :data:`JOINED`, as the splitter cuts its prefixes."""
         if len(piece) == 3 and piece[0] == "'" and piece[1].isalpha():
@@ -136,7 +141,8 @@ class PrefixCounter(dict):
         return run + [base + x for x in tail]
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.diff(np.array(self.prefixes(piece))).astype(np.int8).tobytes()
+        n = self.prefixes(piece)
+        out = bytes([(b - a) & 255 for a, b in zip(n, n[1:])])
         if len(piece) <= KEPT_LENGTH:
             if len(self) >= KEPT_PIECES:
                 self.clear()
