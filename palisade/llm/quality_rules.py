@@ -124,8 +124,9 @@ def verdict(policy: str = CURRENT, bits: str = "failure_bits") -> Column:
 def apply_rules(df: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows of ``df`` that the policy keeps, with ``df``'s own columns."""
     own = df.select(F.struct("*").alias("__own"), F.col(text).alias("__text"))
-    kept = measured(own, "__text").withColumn("__bits", failure_bits()).where(verdict(policy, "__bits"))
-    return kept.select("__own.*")
+    # the row number keeps the optimizer from copying the measurements into a filter below them
+    judged = measured(own, "__text").select("__own", failure_bits().alias("__bits"), F.monotonically_increasing_id().alias("__row"))
+    return judged.where(verdict(policy, "__bits") & (F.col("__row") >= 0)).select("__own.*")
 
 
 def ablation(led: DataFrame, policy: str = CURRENT) -> DataFrame:
