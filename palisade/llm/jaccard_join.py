@@ -12,8 +12,11 @@ member is the pivot, and the join runs inside regions:
   most twice the radius. If every other member is farther, the pivot's cell is done and leaves the
   region; else the cell stays with the others as their boundary (window replication);
 - the pivot itself is done with in either case. What is left of a region, if it still spans two
-  components, is joined again with a new pivot. Regions that have shrunk to :data:`SMALL` members or fewer
-  meet all of theirs at once.
+  components, is joined again with new pivots, four times as many each time. Once no region has more
+  than :data:`CROSS` pairs across components, the pairs that share enough leading n-grams are compared.
+
+Before that, each set meets the least set that has one of its :data:`BANDS` least hashes, which puts
+nearly all of a group into one component at the cost of a few rows a set; the regions then settle the rest exactly.
 
 Equal sets count once. The global order puts n-grams of crowded hash buckets last, so regions of common
 passages are rare; it is a matter of cost alone. Distances are bounded from below by sizes and by parity
@@ -40,7 +43,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from palisade.llm.common import staged
+from palisade.llm.common import arrow_map, scratch, staged
 from palisade.llm.components import components
 from palisade.llm.line_dedup import with_small
 from palisade.llm.wordhash import SPACE_SPLIT, gathered, mixed, window_hash, words_of
@@ -49,8 +52,12 @@ WORDS = 5
 SIMILARITY = Fraction(3, 4)
 #: Hash buckets whose crowding orders n-grams, in bits; and buckets in a block of them.
 BUCKET_BITS, BLOCK_BITS = 24, 16
-#: Most members of a region whose members all meet each other.
-SMALL = 160
+#: Least-hash pivots that a set tries first.
+BANDS = 6
+#: Pairs across components up to which a region is joined without further pivots.
+CROSS = 4_000_000
+#: Members of a region from which on a pair is made once for all large regions.
+LARGE = 64
 
 
 def sets_of(texts: list[str], words: int = WORDS) -> Iterator[np.ndarray]:
@@ -79,6 +86,11 @@ def sketch(grams: np.ndarray) -> bytes:
     return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
 
 
+def least_hashes(grams: np.ndarray) -> list[int]:
+    """The least hash of a set under each of :data:`BANDS` orders."""
+    return [int(mixed(grams ^ np.uint64(0x9E3779B97F4A7C15 * (b + 1) & (1 << 64) - 1)).min().view(np.int64)) for b in range(BANDS)] if len(grams) else []
+
+
 def differing(a: bytes, b: bytes) -> int:
     """A lower bound of the elements that are in one of two sets only."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -96,9 +108,9 @@ def least_distance(nx: int, ny: int, kx: bytes, ky: bytes) -> float:
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """From docs(__i, __text): rows of kind 0 with a document's size, digest and sketch, and of kind 1
-    with a worker's bucket counts, a block each."""
-    schema = T.StructType([docs.schema["__i"], *(T.StructField(c, t) for c, t in (("kind", T.IntegerType()), ("n", T.LongType()), ("set", T.LongType()), ("data", T.BinaryType())))])
+    """From docs(__i, __text): rows of kind 0 with a document's size, digest, sketch and least hashes, and of
+    kind 1 with a worker's bucket counts, a block each."""
+    schema = T.StructType([docs.schema["__i"], *(T.StructField(c, t) for c, t in (("kind", T.IntegerType()), ("n", T.LongType()), ("set", T.LongType()), ("data", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))))])
     blocks = 1 << (BUCKET_BITS - BLOCK_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,27 +127,28 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for first, group in gathered(batch.column(1).to_pylist()):
                 rows = []
                 for grams in sets_of(group, words):
-                    rows.append((0, len(grams), digest(grams), sketch(grams)))
+                    rows.append((0, len(grams), digest(grams), sketch(grams), least_hashes(grams)))
                     waiting.append((grams >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
                     size += len(grams)
                 if size > 1 << 21:
                     count()
                     size = 0
-                a, b, c, d = zip(*rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], schema.names)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(rows)), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], schema.names)
         count()
         parts = [(i, part) for i, part in enumerate(seen.reshape(blocks, -1)) if part.any()]
         if parts:
             n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array([1] * n, pa.int32()), pa.array([i for i, _ in parts], pa.int64()), pa.nulls(n, pa.int64()), pa.array([zlib.compress(p.tobytes(), 1) for _, p in parts], pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array([1] * n, pa.int32()), pa.array([i for i, _ in parts], pa.int64()), pa.nulls(n, pa.int64()), pa.array([zlib.compress(p.tobytes(), 1) for _, p in parts], pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], schema.names)
 
     docs_type = to_arrow_type(docs.schema["__i"].dataType)
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def crowded(profile: DataFrame, total: int) -> bytes:
-    """One bit for each bucket: more than 16 + 4 times the mean of all. 2 MB, whatever the input."""
-    limit = 16 + 4 * total / (1 << BUCKET_BITS)
+    """One bit for each bucket that is well above the mean of all. 2 MB, whatever the input."""
+    mean = total / (1 << BUCKET_BITS)
+    limit = 24 + mean + 3 * mean**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -179,11 +192,16 @@ def prefixes(docs: DataFrame, flags: bytes, words: int = WORDS) -> DataFrame:
                     cols = (np.concatenate(grams).view(np.int64), np.repeat(d, k), np.repeat(n, k).astype(np.int32), places.astype(np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["s", "x", "n", "at"])
 
-    return docs.select("__i", "__text").mapInArrow(run, "s long, x long, n int, at int")
+    return arrow_map(docs.select("__i", "__text"), run, "s long, x long, n int, at int")
 
 
 def measured(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(x, y, link, least): whether the pair is linked, and a lower bound of its distance."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_measured(pairs, sizes, docs, words))
+
+
+def _measured(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     side = lambda c: sizes.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("data").alias(f"k{c}"), F.col("rep").alias(f"r{c}"))
     known = pairs.join(side("x"), "x").join(side("y"), "y")
     radius = float(1 - SIMILARITY)
@@ -235,46 +253,93 @@ def spanning(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.withColumn("__a", F.min("c").over(w)).withColumn("__b", F.max("c").over(w)).where("__a <> __b").drop("__a", "__b")
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose sets are in different components so far."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    return pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
+
+
+def close(regions: DataFrame, whole: bool) -> DataFrame:
+    """The pairs (x, y) across components that could be linked by what their leading n-grams tell.
+
+    Members of a large region share many of them, so there a pair is made where no earlier large region
+    holds both. In small regions a pair is made each time and counted: of two sets with the same order, all
+    shared n-grams up to the lesser of their last leading ones lead in both, so they share at most those and
+    what follows in the larger rest. Pairs that may also meet in large regions, or whose regions have lost
+    members on the way, are not judged by counts."""
+    t = SIMILARITY / (1 + SIMILARITY)
+    need = f"((n + n2) * {t.numerator} + {t.denominator - 1}) div {t.denominator}"
+    rest = lambda n: f"(({n} * {SIMILARITY.numerator} + {SIMILARITY.denominator - 1}) div {SIMILARITY.denominator} - 1)"
+    sized = f"x < x2 AND c <> c2 AND {SIMILARITY.denominator} * least(n, n2) >= {SIMILARITY.numerator} * greatest(n, n2)"
+    two = lambda df: df.select("s", *(F.col(c).alias(f"{c}2") for c in df.columns if c != "s"))
+    big = F.count("*").over(Window.partitionBy("s")) > LARGE
+    rows = staged(regions.withColumn("big", big), "regions-by-size")
+    earlier = F.collect_list("s").over(Window.partitionBy("x").orderBy("at", "s").rowsBetween(Window.unboundedPreceding, -1))
+    large = staged(rows.where("big").drop("big").withColumn("before", earlier), "regions-large")
+    in_large = large.select("x").distinct().withColumn("also", F.lit(True))
+    small = staged(rows.where("NOT big").drop("big").join(in_large, "x", "left").withColumn("also", F.col("also").isNotNull()), "regions-small")
+    once = large.join(two(large), "s").where(F.expr(f"{sized} AND NOT arrays_overlap(before, before2)")).select("x", F.col("x2").alias("y"))
+    met = small.join(two(small), "s").where(F.expr(sized))
+    counted = met.groupBy("x", "x2").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n", "n2", "also", "also2")])
+    enough = f"(also AND also2) OR shared >= {need} - greatest({rest('n')}, {rest('n2')})" if whole else "true"
+    return counted.where(F.expr(enough)).select("x", F.col("x2").alias("y")).unionByName(once).distinct()
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(id, n_shingles, component_id): a row for each row of ``docs``."""
     own = docs.select(F.col(id_col).alias("__i"), F.col(text).alias("__text"))
+    with scratch(docs.sparkSession) as keep:
+        rows, named = (keep(t) for t in _grouped(own, words))
+    out = rows.join(named, "set", "left")
+    real_set = (F.col("n") > 0) & F.col("__i").isNotNull()
+    return out.select(F.col("__i").alias(id_col), F.col("n").alias("n_shingles"), F.when(real_set, F.col("component")).otherwise(F.col("__i")).alias("component_id"))
+
+
+def _grouped(own: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Tables (__i, n, set) of all rows and (set, component) of all sets that are not empty."""
     profile = staged(profiles(own, words), "profiles")
-    rows = profile.where("kind = 0").select("__i", "n", "set")
+    rows = staged(profile.where("kind = 0").select("__i", "n", "set"), "rows")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sizes = profile.where("kind = 0 AND n > 0 AND __i IS NOT NULL").groupBy("set").agg(F.min("__i").alias("rep"), F.first("n").alias("n"), F.first("data").alias("data"))
+    sizes = profile.where("kind = 0 AND n > 0 AND __i IS NOT NULL").groupBy("set").agg(F.min("__i").alias("rep"), *[F.first(c).alias(c) for c in ("n", "data", "bands")])
     sizes = staged(sizes, "sets")
     real = own.where(F.col("__i").isNotNull())
+    links: list[DataFrame] = []
+
+    def meet(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Measure pairs (x, y); the measures and the labels of all links so far."""
+        found = measured(pairs, sizes, real, words)
+        links.append(found.where("link").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        return found, components(reduce(DataFrame.unionByName, links))
+
+    # pivots by least hashes: first the least one of each set, then the others that are in another component
+    banded = sizes.select(F.col("set").alias("x"), F.posexplode("bands").alias("band", "h"))
+    tried = banded.withColumn("y", F.min("x").over(Window.partitionBy("band", "h"))).where("x <> y").select("x", "y").distinct()
+    tried = staged(tried, "band-pairs")
+    _, labels = meet(tried.groupBy("x").agg(F.min("y").alias("y")))
+    _, labels = meet(apart(tried, labels))
     regions = staged(spanning(prefixes(real, crowded(profile, total), words), None).distinct(), "regions")
-    links, labels = [], None
+    regions, whole = staged(spanning(regions, labels), "regions"), True
     w = Window.partitionBy("s")
-    reach = 2 * float(1 - SIMILARITY) + 1e-9
+    reach, pivots = 2 * float(1 - SIMILARITY) + 1e-9, 1
     while not regions.isEmpty():
-        star = staged(regions.withColumn("pivot", F.min(F.struct("x", "c")).over(w)).select("s", "x", "n", "at", "c", F.col("pivot.x").alias("p"), F.col("pivot.c").alias("cp")), "stars")
-        found = measured(star.where("c <> cp").select("x", F.col("p").alias("y")).distinct(), sizes, real, words)
-        links.append(found.where("link").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        labels = components(reduce(DataFrame.unionByName, links))
-        told = star.where("x <> p").join(found.select("x", F.col("y").alias("p"), "link", "least"), ["x", "p"], "left")
+        each = regions.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        if each.where(F.col("k") * F.col("k") - F.col("kk") > 2 * CROSS).isEmpty():
+            _, labels = meet(close(regions, whole))
+            break
+        chosen = regions.withColumn("rank", F.row_number().over(w.orderBy("x"))).where(F.col("rank") <= pivots).select("s", F.col("x").alias("p"), F.col("c").alias("cp"))
+        star = staged(regions.join(staged(chosen, "pivots"), "s"), "stars").withColumn("hi", F.greatest("x", "p")).withColumn("lo", F.least("x", "p"))
+        found, labels = meet(star.where("c <> cp").select(F.col("hi").alias("x"), F.col("lo").alias("y")).distinct())
+        told = star.join(found.select(F.col("x").alias("hi"), F.col("y").alias("lo"), "link", "least"), ["hi", "lo"], "left")
         # members of the pivot's component that were not measured count as near and outside its cell
         cell = F.coalesce("link", F.lit(False))
-        near = F.max(~cell & (F.coalesce("least", F.lit(0.0)) <= reach)).over(w)
-        left = told.withColumn("near", near).where(~cell | F.col("near")).select("s", "x", "n", "at")
-        regions = staged(spanning(left, labels), "regions")
-        if regions.groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") > SMALL).isEmpty():
-            a, b = regions, regions.select("s", *(F.col(c).alias(f"{c}2") for c in ("x", "n", "at", "c")))
-            t = SIMILARITY / (1 + SIMILARITY)
-            need = f"((n + n2) * {t.numerator} + {t.denominator - 1}) div {t.denominator}"
-            meets = F.expr(f"x < x2 AND c <> c2 AND at <= n - {need} AND at2 <= n2 - {need}")
-            found = measured(a.join(b, "s").where(meets).select("x", F.col("x2").alias("y")).distinct(), sizes, real, words)
-            links.append(found.where("link").select(F.col("x").alias("a"), F.col("y").alias("b")))
-            labels = components(reduce(DataFrame.unionByName, links))
-            break
+        near = F.max((F.col("x") != F.col("p")) & ~cell & (F.coalesce("least", F.lit(0.0)) <= reach)).over(Window.partitionBy("s", "p"))
+        done = (F.col("x") == F.col("p")) | (cell & ~F.col("near"))
+        left = told.withColumn("near", near).groupBy("s", "x", "n", "at").agg(F.max(done).alias("done")).where("NOT done").drop("done")
+        regions, whole, pivots = staged(spanning(left, labels), "regions"), False, 4 * pivots
     named = sizes.select("set", F.col("rep").alias("component"))
-    if labels is not None:
+    if not labels.isEmpty():
         groups = staged(sizes.select("set", "rep").join(labels.select(F.col("node").alias("set"), "label"), "set"), "groups")
         least = staged(groups.groupBy("label").agg(F.min("rep").alias("least")), "group-ids")
         known = staged(groups.join(least, "label").select("set", "least"), "set-ids")
         named = staged(named.join(known, "set", "left").select("set", F.coalesce("least", "component").alias("component")), "set-ids")
-    out = rows.join(named, "set", "left")
-    real_set = (F.col("n") > 0) & F.col("__i").isNotNull()
-    return out.select(F.col("__i").alias(id_col), F.col("n").alias("n_shingles"), F.when(real_set, F.col("component")).otherwise(F.col("__i")).alias("component_id"))
-
+    return rows, staged(named, "set-ids") if not hasattr(named, "staged_path") else named

@@ -14,9 +14,9 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of a buffer hashed at once; a block ends at a byte outside words.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Characters of texts gathered into one buffer.
-GATHER = 1 << 21
+GATHER = 1 << 19
 
 
 def table(outside: bytes, lower: bool) -> np.ndarray:

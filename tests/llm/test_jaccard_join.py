@@ -55,10 +55,20 @@ def test_equals_brute_force(spark):
     assert len({c for _, c in got.values()}) < 380
 
 
+def test_large_regions_and_contraction(spark, monkeypatch):
+    """Pairs of large regions are made once; links beyond one task's share are contracted in rounds."""
+    docs = corpus(3, 200)
+    monkeypatch.setattr(J, "LARGE", 2)
+    monkeypatch.setattr("palisade.llm.components.ONE_TASK", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+
+
 def test_recursion_alone(spark, monkeypatch):
-    """Without the last step's meetings of whole regions, pivots after pivots give the same."""
+    """Without the last step's joins of whole regions and the first pivots, the recursion gives the same."""
     docs = corpus(2, 160)
-    monkeypatch.setattr(J, "SMALL", 1)
+    monkeypatch.setattr(J, "CROSS", 0)
+    monkeypatch.setattr(J, "BANDS", 0)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs)
 
