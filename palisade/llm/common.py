@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,18 +34,64 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Paths written in the scopes that are open, innermost last.
+_scopes: list[list[str]] = []
+#: Rows of an Arrow batch: texts may be long.
+BATCH_ROWS = 1000
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, and lost
     executors cost only the tasks that they ran."""
-    path = staged_path(df.sparkSession, name)
+    spark, path, began = df.sparkSession, staged_path(df.sparkSession, name), time.time()
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    if time.time() - began > 2:
+        spark.sparkContext._jvm.System.gc()  # the write's shuffle files go with its plan
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope whose staged tables are deleted at its end, but for those handed to the function it gives."""
+    own: list[str] = []
+    kept: set[str] = set()
+    _scopes.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.staged_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path in own:
+            if path not in kept:
+                delete(spark, path)
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in batches of at most :data:`BATCH_ROWS` rows, so that long texts do not pile up in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
 
 
 def release_staged(spark: SparkSession) -> None:
     """Delete what :func:`staged` wrote in this application. Results that still read it end here."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, shared_dir(spark))
 
 
 def text_or_empty(name: str) -> Column:

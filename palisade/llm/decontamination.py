@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade.llm.common import arrow_map
 from palisade.llm.wordhash import ALNUM_SPLIT, gathered, window_hash, words_of
 
 #: Fixed masks: 1 a word that counts, 0 one that is ignored. They pass substitutions of every fourth
@@ -146,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c) for c in cols[1:])], schema.names)
 
-        return rows.mapInArrow(run, schema)
+        return arrow_map(rows, run, schema)
 
     return reduce(DataFrame.unionByName, map(block, blocks_of(benchmark, item_col, item_text, block_words)))
 
@@ -162,5 +163,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
                 bad = {first + hit[0] for first, group in gathered(batch.column(text).to_pylist()) for hit in seeds.found_in(group)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = arrow_map(docs, run, docs.schema)
     return docs

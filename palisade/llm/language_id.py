@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palisade.llm.common import arrow_map
+
 UNKNOWN = "und"
 HIDDEN, LONGEST, EDGE = 16, 32, 256
 MAX_DOCS, MAX_PAIRS, STEPS, BATCH, RATE = 4000, 60_000, 500, 512, 0.01
@@ -229,4 +231,4 @@ def predicted(docs: DataFrame, net: Network | None, text: str = "text") -> DataF
                 found = reader.predict(batch.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palisade.llm.common import staged
+from palisade.llm.common import scratch, staged
 
 BOUND = 1
 MIN_CHARS = 20
@@ -111,19 +111,27 @@ def kept_places(docs: DataFrame, id_col: str, text: str, min_chars: int) -> Data
     return with_small(first.select("h1", "h2", "place"), dups, ["h1", "h2"], "left_anti").select("place.*")
 
 
+def wordy_lines(text: str) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+
+
+def changed_documents(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
+    """(__d, __t, __keep): documents that lose lines, with the numbers of those that stay."""
+    kept = kept_places(docs, id_col, text, min_chars).groupBy("__d", "__t").agg(F.collect_set("__n").alias("__keep"))
+    sizes = docs.select(F.col(id_col).alias("__d"), F.xxhash64(text).alias("__t"), F.size(F.coalesce(wordy_lines(text), F.array())).alias("__all")).where("__all > 0").distinct()
+    same = sizes["__d"].eqNullSafe(kept["__d"]) & (sizes["__t"] == kept["__t"])
+    return sizes.join(kept, same, "left").where(F.coalesce(F.size("__keep"), F.lit(0)) < F.col("__all")).select(sizes["__d"], sizes["__t"], F.coalesce("__keep", F.array().cast("array<int>")).alias("__keep"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text's repeated lines taken out, and __n_lines, __n_removed (lines with a word).
 
     Documents that lose nothing are told by counts alone; the others' line numbers meet their texts."""
-    kept = kept_places(docs, id_col, text, min_chars).groupBy("__d", "__t").agg(F.collect_set("__n").alias("__keep"))
-    wordy = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    sizes = docs.select(F.col(id_col).alias("__d"), F.xxhash64(text).alias("__t"), F.size(F.coalesce(wordy, F.array())).alias("__all")).where("__all > 0").distinct()
-    same = sizes["__d"].eqNullSafe(kept["__d"]) & (sizes["__t"] == kept["__t"])
-    changed = sizes.join(kept, same, "left").where(F.coalesce(F.size("__keep"), F.lit(0)) < F.col("__all")).select(sizes["__d"], sizes["__t"], F.coalesce("__keep", F.array().cast("array<int>")).alias("__keep"))
-    changed = staged(changed, "line-changed")
+    with scratch(docs.sparkSession) as keep:
+        changed = keep(staged(changed_documents(docs, id_col, text, min_chars), "line-changed"))
     side = F.broadcast(changed) if changed.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4 else changed
     rows = docs.join(side, docs[id_col].eqNullSafe(side["__d"]) & (F.xxhash64(docs[text]) == side["__t"]), "left")
-    parts = F.split(text, "\n")
+    parts, wordy = F.split(text, "\n"), wordy_lines(text)
     blank = F.filter(F.transform(parts, lambda x, i: F.when(~x.rlike("[^\\x20\\x09-\\x0D]"), i)), lambda i: i.isNotNull())
     rest = F.array_join(F.transform(F.array_sort(F.concat("__keep", blank)), lambda i: F.get(parts, i)), "\n")
     gone = F.col("__keep").isNotNull()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from palisade.llm.common import staged
+from palisade.llm.common import arrow_map, staged
 from palisade.llm.word_tokens import encoder
 
 CAPACITY = 4096
@@ -91,7 +91,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", path: str
                     [id_col, *longs, *["ids"] * keep_ids],
                 )
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:

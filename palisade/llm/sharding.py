@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import staged
+from palisade.llm.common import scratch, staged
 
 HASH_BITS = 60
 #: Bits of a round beyond those that an even spread would need.
@@ -56,18 +56,20 @@ def assign_shards(df: DataFrame, keys: list[str], n_bytes: Column, max_bytes: in
     """``df`` with shard (the bucket's bits, as text), shard_depth, shard_bytes, shard_docs."""
     own = F.struct("*").alias("__own")
     rows = df.select(own, hash60(*keys).alias("__h"), F.coalesce(n_bytes.cast("long"), F.lit(0).cast("long")).alias("__b"))
-    return _assign(rows, max_bytes, "").select(
+    with scratch(df.sparkSession) as keep:
+        assigned = _assign(rows, max_bytes, "", keep)
+    return assigned.select(
         *[F.col("__own")[c].alias(c) for c in df.columns if c not in ("shard", "shard_depth", "shard_bytes", "shard_docs")], "shard", "shard_depth", "shard_bytes", "shard_docs"
     )
 
 
-def _assign(rows: DataFrame, max_bytes: int, stem: str) -> DataFrame:
+def _assign(rows: DataFrame, max_bytes: int, stem: str, keep) -> DataFrame:
     slim = staged(rows.select("__h", "__b"), "shard-sizes")
     total = slim.agg(F.coalesce(F.sum("__b"), F.lit(0))).first()[0]
     depth = min(HASH_BITS, max(1, math.ceil(math.log2(max(1, total / max_bytes))) + SPARE_BITS))
     above, out = 0, rows.withColumn("__leaf", F.lit(None).cast("struct<leaf:int,shard_bytes:long,shard_docs:long>"))
     while True:
-        found = staged(leaves(slim, above, depth, max_bytes), "shard-leaves")
+        found = keep(staged(leaves(slim, above, depth, max_bytes), "shard-leaves"))
         got = found.select(F.col("p").alias("__p"), F.when(F.col("leaf").isNotNull(), F.struct("leaf", "shard_bytes", "shard_docs")).alias("__new"))
         out = out.withColumn("__p", prefix(F.col("__h"), depth)).join(got, "__p", "left").withColumn("__leaf", F.coalesce("__leaf", "__new")).drop("__p", "__new")
         left = found.where(F.col("leaf").isNull()).select(F.col("p").alias("__p"))
@@ -80,6 +82,6 @@ def _assign(rows: DataFrame, max_bytes: int, stem: str) -> DataFrame:
     done = done.select("__own", F.concat(F.lit(stem), bits).alias("shard"), F.col("__leaf.leaf").alias("shard_depth"), F.col("__leaf.shard_bytes").alias("shard_bytes"), F.col("__leaf.shard_docs").alias("shard_docs"))
     if depth < HASH_BITS or left.isEmpty():
         return done
-    same = staged(out.where(F.col("__leaf").isNull()).select("__own", "__h", "__b", F.monotonically_increasing_id().alias("__i")), "shard-equal-keys")
+    same = keep(staged(out.where(F.col("__leaf").isNull()).select("__own", "__h", "__b", F.monotonically_increasing_id().alias("__i")), "shard-equal-keys"))
     again = same.select("__own", hash60("__h", "__i").alias("__h"), "__b")
-    return done.unionByName(_assign(again, max_bytes, f"{stem}{'=' * (HASH_BITS // 4)}."))
+    return done.unionByName(_assign(again, max_bytes, f"{stem}{'=' * (HASH_BITS // 4)}.", keep))

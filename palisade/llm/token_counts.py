@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from tiktoken._tiktoken import CoreBPE
 from tokenizers import Tokenizer
 
+from palisade.llm.common import arrow_map
 from palisade.llm.splitting import Settler
 
 #: Pieces kept by a worker; then its memory starts anew. Longer pieces are never kept.
@@ -214,7 +215,7 @@ def with_counts(df: DataFrame, text: str = "text", path: str | None = None, tabl
                 made = [pa.array([n_tokens(t) for t in tables], pa.int64())] + [pa.array(tables, pa.binary())] * table
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(n for n, _, _ in outputs)])
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def truncated(df: DataFrame, budget: int, text: str = "text") -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.llm.common import arrow_map
+
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a member that must inflate to the start of a header.
 PROBE = 512
@@ -88,7 +90,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             disk.move(draft, name)
             yield pa.RecordBatch.from_pydict({"path": [name], "bytes": pa.array([size], pa.int64()), "records": pa.array([n], pa.int64())})
 
-    return rows.mapInArrow(run, "path string, bytes long, records long")
+    return arrow_map(rows, run, "path string, bytes long, records long")
 
 
 def fields(head: bytes) -> dict[str, str]:
@@ -187,4 +189,4 @@ def read_archives(spark: SparkSession, folder: str, split: int = DEFAULT_SPLIT)
                     if rows:
                         yield pack(rows)
 
-    return ranges.repartition(min(n, 1 << 16)).mapInArrow(run, RECORDS)
+    return arrow_map(ranges.repartition(min(n, 1 << 16)), run, RECORDS)
