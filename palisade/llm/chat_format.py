@@ -119,6 +119,10 @@ def _role(m: Mapping, c: Column) -> Column:
     return out
 
 
+def _item_turn(m: Mapping):
+    return lambda x: F.struct(_role(m, F.try_element_at(x, F.lit(m.role))).alias("role"), F.coalesce(F.try_element_at(x, F.lit(m.text)), F.lit("")).alias("text"))
+
+
 def turns_from_rows(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(id, turns) from a row a turn. The mapping is that of the table's fingerprint, or of the part
     of its columns that a row mapping needs, so extra columns do no harm."""
@@ -145,7 +149,7 @@ def turns_from_records(df: DataFrame, id_col: str, record: str, mappings: tuple[
         layout = F.when(hit, m.name).otherwise(layout)
         if m.kind == "messages":
             items = F.coalesce(F.try_variant_get("__v", m.list_path, "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))
-            own = F.transform(items, lambda x, m=m: F.struct(_role(m, F.try_element_at(x, F.lit(m.role))).alias("role"), F.coalesce(F.try_element_at(x, F.lit(m.text)), F.lit("")).alias("text")))
+            own = F.transform(items, _item_turn(m))
         else:
             parts = F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(F.try_variant_get("__v", p, "string"), F.lit("")).alias("text")) for r, p in m.fields])
             own = F.filter(parts, lambda x: x["text"] != "")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,11 +85,19 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow in batches of at most :data:`BATCH_ROWS` rows, so that long texts do not pile up in a worker."""
+    """mapInArrow in batches of at most :data:`BATCH_ROWS` rows, so that long texts do not pile up in a worker;
+    at the end of a task the worker, which Spark keeps, gives freed memory back to the system."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
         df.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+
+    def lean(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(lean, schema)
 
 
 def release_staged(spark: SparkSession) -> None:

@@ -213,7 +213,7 @@ def _measured(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int) -
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "y", "rx", "ry")), pa.array(low, pa.float64())], ["x", "y", "rx", "ry", "least"])
 
     id_type = sizes.schema["rep"].dataType.simpleString()
-    bounded = staged(known.mapInArrow(bound, f"x long, y long, rx {id_type}, ry {id_type}, least double"), "pair-bounds")
+    bounded = staged(arrow_map(known, bound, f"x long, y long, rx {id_type}, ry {id_type}, least double"), "pair-bounds")
     near = bounded.where(F.col("least") <= radius + 1e-9)
     ids = staged(near.select(F.explode(F.array("rx", "ry")).alias("__i")).distinct(), "pair-ids")
 
@@ -223,7 +223,7 @@ def _measured(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int) -
                 found = list(sets_of(group, words))
                 yield pa.RecordBatch.from_arrays([pa.array([digest(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], ["set", "grams"])
 
-    sets = staged(with_small(docs.select("__i", "__text"), ids, ["__i"], "left_semi").mapInArrow(grams, "set long, grams binary"), "pair-sets").dropDuplicates(["set"])
+    sets = staged(arrow_map(with_small(docs.select("__i", "__text"), ids, ["__i"], "left_semi"), grams, "set long, grams binary"), "pair-sets").dropDuplicates(["set"])
     sets = staged(sets, "pair-sets")
     both = near.select("x", "y").join(sets.select(F.col("set").alias("x"), F.col("grams").alias("gx")), "x").join(sets.select(F.col("set").alias("y"), F.col("grams").alias("gy")), "y")
     num, den = SIMILARITY.numerator, SIMILARITY.denominator
@@ -240,7 +240,7 @@ def _measured(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int) -
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(link, pa.bool_()), pa.array(low, pa.float64())], ["x", "y", "link", "least"])
 
     far = bounded.where(F.col("least") > radius + 1e-9).select("x", "y", F.lit(False).alias("link"), "least")
-    return staged(both.mapInArrow(exact, "x long, y long, link boolean, least double").unionByName(far), "pairs")
+    return staged(arrow_map(both, exact, "x long, y long, link boolean, least double").unionByName(far), "pairs")
 
 
 def spanning(regions: DataFrame, labels: DataFrame | None) -> DataFrame:

@@ -100,7 +100,10 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "n_letters": F.length(t) - count("[^\\p{L}]"),
         "n_repeat_words": covered,
     }
-    return df.select(*[c for c in df.columns if not c.startswith("__q_") and c not in values], *[v.cast("long").alias(k) for k, v in values.items()])
+    # a generator of one row: filters on the measurements stay above it, where they would else copy them
+    row = F.struct(*[v.cast("long").alias(k) for k, v in values.items()])
+    own = [c for c in df.columns if not c.startswith("__q_") and c not in values]
+    return df.select(*own, F.explode(F.array(row)).alias("__q_m")).select(*own, "__q_m.*")
 
 
 def failure_bits() -> Column:
@@ -124,9 +127,8 @@ def verdict(policy: str = CURRENT, bits: str = "failure_bits") -> Column:
 def apply_rules(df: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
     """The rows of ``df`` that the policy keeps, with ``df``'s own columns."""
     own = df.select(F.struct("*").alias("__own"), F.col(text).alias("__text"))
-    # the row number keeps the optimizer from copying the measurements into a filter below them
-    judged = measured(own, "__text").select("__own", failure_bits().alias("__bits"), F.monotonically_increasing_id().alias("__row"))
-    return judged.where(verdict(policy, "__bits") & (F.col("__row") >= 0)).select("__own.*")
+    judged = measured(own, "__text").withColumn("__bits", failure_bits())
+    return judged.where(verdict(policy, "__bits")).select("__own.*")
 
 
 def ablation(led: DataFrame, policy: str = CURRENT) -> DataFrame:

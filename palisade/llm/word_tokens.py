@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from palisade.llm.token_counts import byte_alphabet
 
 #: Words kept by a worker; then its memory starts anew. Longer words are never kept.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 48
+KEPT_WORDS, KEPT_LENGTH = 120_000, 48
 #: The vocabulary's splitter (fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters beyond those that all versions of Unicode treat alike; final sigma; separators that
