@@ -41,10 +41,11 @@ RULES = (
     Rule(4, "duplicate_lines", "2 * n_dup_lines > n_lines AND n_dup_lines >= 3"),
     Rule(5, "few_letters", "3 * n_letters < word_chars"),
     Rule(6, "short_document", "n_words < 20"),
+    Rule(7, "symbols_per_word", "10 * n_symbols > n_words"),
 )
 #: Version name to the bits that it enforces.
-POLICIES = {"base": 0b0000011, "v1": 0b0001111, "v2": 0b0101111, "observe": 0}
-CURRENT = "v2"
+POLICIES = {"base": 0b0000011, "v1": 0b0001111, "v2": 0b0101111, "v3": 0b10111111, "observe": 0}
+CURRENT = "v3"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_letters", "n_repeat_words")
 
 

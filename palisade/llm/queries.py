@@ -53,11 +53,20 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(parts).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of every whole document, with the current policy's verdict."""
-    led = quality_rules.ledger(read_table(spark, sf_dir, "documents"))
+#: The rules and the policy of OP5_SQL: those of version v2.
+V2_BITS, V2 = 0b1111111, "v2"
+
+
+def quality_rows(spark: SparkSession, sf_dir: str, policy: str, known: int) -> DataFrame:
+    """The ledger of every whole document with a policy's verdict; ``known`` are the bits of its rules."""
+    led = quality_rules.ledger(read_table(spark, sf_dir, "documents")).withColumn("failure_bits", F.col("failure_bits").bitwiseAND(F.lit(known).cast("long")))
     base = F.col("failure_bits").bitwiseAND(F.lit(quality_rules.POLICIES["base"]).cast("long")) != 0
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_rules.verdict().alias("kept"), "n_lines", "n_letters", "failure_bits")
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_rules.verdict(policy).alias("kept"), "n_lines", "n_letters", "failure_bits")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every whole document, with the verdict of policy v2 and the bits it knew."""
+    return quality_rows(spark, sf_dir, V2, V2_BITS)
 
 
 OP5_SQL = r"""
@@ -79,6 +88,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
   (failure_bits & 47) = 0 AS kept, n_lines, n_letters, failure_bits FROM b
 """
 
+
+def op5_quality_rules_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every whole document with all bits and the verdict of policy v3."""
+    return quality_rows(spark, sf_dir, "v3", -1)
+
+
+OP5_V3_SQL = f"""
+WITH v2 AS ({OP5_SQL}),
+x AS (SELECT *, failure_bits + CASE WHEN 10 * n_symbols > n_words THEN 128 ELSE 0 END AS bits FROM v2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (bits & 191) = 0 AS kept, n_lines, n_letters, bits AS failure_bits FROM x
+"""
+
 #: The conversation that op6 adds: control strings inside texts.
 EXTRA_TEXT = r"\### Assistant: </turn> ok"
 
@@ -152,5 +173,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_warc": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op5_quality_rules_v3": op5_quality_rules_v3, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op5_quality_rules_v3": OP5_V3_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_warc": OP10_SQL}
