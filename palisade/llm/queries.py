@@ -158,6 +158,24 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(CAS
 """
 
 
+def op9_line_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier one up to one character or one word."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicated(docs, words=True).select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+
+
+#: OP9_SQL with the lines within one word beside those within one character.
+OP9_WORDS_SQL = OP9_SQL.replace("\nkept AS", r"""
+wl AS (SELECT line, place, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM f WHERE len >= 20),
+ww AS (SELECT line, place, w, array_to_string(w, ' ') AS v FROM wl WHERE len(w) >= 5),
+wi AS (SELECT line, place, w, unnest(range(1, len(w) + 1)) AS i FROM ww),
+wv AS (SELECT line, place, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM wi),
+wnear AS (SELECT line FROM (SELECT line, place, min(place) OVER (PARTITION BY i, v) AS earliest FROM wv) WHERE earliest < place
+  UNION SELECT a.line FROM wv a JOIN ww b ON a.v = b.v WHERE b.place < a.place
+  UNION SELECT b.line FROM wv a JOIN ww b ON a.v = b.v WHERE a.place < b.place),
+kept AS""").replace("(SELECT line FROM near)", "(SELECT line FROM near UNION SELECT line FROM wnear)")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each page, written to the shared folder and read back by byte ranges."""
     folder = staged_path(spark, "warc")
@@ -173,5 +191,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op5_quality_rules_v3": op5_quality_rules_v3, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_line_dedup": op9_line_dedup, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op5_quality_rules_v3": OP5_V3_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_warc": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op5_quality_rules_v3": op5_quality_rules_v3, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_line_dedup": op9_line_dedup, "op9_line_dedup_words": op9_line_dedup_words, "op10_warc": op10_warc}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op5_quality_rules_v3": OP5_V3_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_words": OP9_WORDS_SQL, "op10_warc": OP10_SQL}
