@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 import time
@@ -23,10 +24,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset
-    (tests on one machine), a temporary folder that is then set as checkpoint folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset on a
+    local master (tests), a temporary folder that is then set as checkpoint folder. A cluster without one is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: executors of {master} need a folder that all of them share")
         found = "file://" + tempfile.mkdtemp(prefix="palisade-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -39,8 +43,10 @@ def staged_path(spark: SparkSession, name: str) -> str:
 
 #: Paths written in the scopes that are open, innermost last.
 _scopes: list[list[str]] = []
-#: Rows of an Arrow batch: texts may be long.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Rows and file bytes of a staged table that may be broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 4 << 20
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -57,6 +63,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def staged_bytes(df: DataFrame) -> int:
+    """Bytes of a staged table's files."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def with_small(left: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with a staged side, which is broadcast if its files and rows are within the bounds."""
+    fits = staged_bytes(small) <= BROADCAST_BYTES and small.count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(small) if fits else small, on, how)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A scope whose staged tables are deleted at its end, but for those handed to the function it gives."""
@@ -85,11 +104,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow in batches of at most :data:`BATCH_ROWS` rows, so that long texts do not pile up in a worker;
+    """mapInArrow in batches of at most :data:`BATCH_ROWS` rows or about :data:`BATCH_BYTES`, so that long texts do not pile up in a worker;
     at the end of a task the worker, which Spark keeps, gives freed memory back to the system."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(re.sub(r"\D", "", conf.get(name)) or 0) <= most or not conf.get(name).isdigit():
+            conf.set(name, str(most))  # the session's: batches are cut when a plan runs
 
     def lean(batches):
         yield from function(batches)

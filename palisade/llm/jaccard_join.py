@@ -2,26 +2,31 @@
 
 Documents are sets of word n-grams; 1 - |a & b| / |a | b| is a metric, and documents within
 ``1 - SIMILARITY`` of each other are linked. In such a space nearly all sets are at distance 1 from
-each other, so pivots drawn at random cannot tell regions apart: every document would lie on every boundary.
-Regions are therefore made where distances can be below 1. Linked sets share an n-gram among the first
-n - ceil(0.75 n) + 1 of each, in any one global order, so each of those n-grams is a region, its least
-member is the pivot, and the join runs inside regions:
-
-- members within the radius of the pivot are linked to it, and so to each other's component;
-- by the triangle inequality such a member can only link to one at distance d from the pivot if d is at
-  most twice the radius. If every other member is farther, the pivot's cell is done and leaves the
-  region; else the cell stays with the others as their boundary (window replication);
-- the pivot itself is done with in either case. What is left of a region, if it still spans two
-  components, is joined again with new pivots, four times as many each time. Once no region has more
-  than :data:`CROSS` pairs across components, the pairs that share enough leading n-grams are compared.
-
-Before that, each set meets the least set that has one of its :data:`BANDS` least hashes, which puts
-nearly all of a group into one component at the cost of a few rows a set; the regions then settle the rest exactly.
+each other, so pivots are drawn where distances can be below 1: linked sets share an n-gram among the
+first n - ceil(0.75 n) + 1 of each, in any one global order, and each of those n-grams is a first region.
+Then, round by round, until no region spans two components:
+
+- *pivots*: each region takes its most central member of each of a number of hash buckets (:data:`PIVOTS`, and
+  :data:`GROWTH` times as many each round); regions with the same pivots are one. The exact distance of every
+  member to every pivot of its region is measured, a pivot's own set being sent once to some members
+  and never a pair of sets to Spark. Members within the radius are linked;
+- *Voronoi cells and windows*: a member belongs to the cell of its nearest pivot, and is replicated into
+  the cell of every other pivot that is at most twice the radius farther. By the triangle inequality
+  a link between members of a region lies in the home cell of either. Pivots are done with their region;
+- *recursion*: inside a cell each set becomes its difference from the pivot, which leaves |x ^ y| as it was
+  and takes out what the whole cell shares. Linked sets have |x ^ y| <= (|x| + |y|) / 7, so their differences
+  share elements, and the more the farther they are from the pivot; if they share none, both are linked to it
+  already. The leading elements of the differences (:func:`leading`) are therefore the regions of the next round.
+
+Not all pairs of a region can give a new link: one of the two is at home in the cell, one is outside the pivot's
+component, and in mixed regions (:func:`leading`) one alone is linked to the pivot. The smallest of these sides is
+the region's *cover*; pivots come from it, and a region whose cover has no more members than pivots is done
+when they are measured. That is the only place where a pair of members is made as such.
+Before the first round, each set meets the least set that has one of its :data:`BANDS` least hashes: these
+pivots put nearly all of a group into one component at the cost of a few rows a set.
 
 Equal sets count once. The global order puts n-grams of crowded hash buckets last, so regions of common
-passages are rare; it is a matter of cost alone. Distances are bounded from below by sizes and by parity
-sketches (a bit flips for each element, so differing bits never exceed differing elements), and pairs that pass are
-compared set by set.
+passages are rare; it is a matter of cost alone.
 
 Defined cases: null and empty texts have no n-grams, form no links and are their own component. Fewer
 words than n make one n-gram of all. Rows of equal id count as one document. A null id gets a null
@@ -43,9 +48,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from palisade.llm.common import arrow_map, scratch, staged
+from palisade.llm.common import arrow_map, scratch, staged, with_small
 from palisade.llm.components import components
-from palisade.llm.line_dedup import with_small
 from palisade.llm.wordhash import SPACE_SPLIT, gathered, mixed, window_hash, words_of
 
 WORDS = 5
@@ -54,10 +58,10 @@ SIMILARITY = Fraction(3, 4)
 BUCKET_BITS, BLOCK_BITS = 24, 16
 #: Least-hash pivots that a set tries first.
 BANDS = 6
-#: Pairs across components up to which a region is joined without further pivots.
-CROSS = 4_000_000
-#: Members of a region from which on a pair is made once for all large regions.
-LARGE = 64
+#: Pivots of a region in the first round, and their growth from round to round.
+PIVOTS, GROWTH = 1, 32
+#: Members that meet one copy of their pivot's set; a pivot with more is sent more often.
+SPOKES = 128
 
 
 def sets_of(texts: list[str], words: int = WORDS) -> Iterator[np.ndarray]:
@@ -79,36 +83,13 @@ def digest(grams: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def sketch(grams: np.ndarray) -> bytes:
-    """Parity bits of a set: a power of two, at least twice the set's size up to 65,536."""
-    bits = min(1 << 16, max(1024, 2 << max(0, (len(grams) - 1)).bit_length()))
-    counts = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
-
-
 def least_hashes(grams: np.ndarray) -> list[int]:
     """The least hash of a set under each of :data:`BANDS` orders."""
     return [int(mixed(grams ^ np.uint64(0x9E3779B97F4A7C15 * (b + 1) & (1 << 64) - 1)).min().view(np.int64)) for b in range(BANDS)] if len(grams) else []
 
 
-def differing(a: bytes, b: bytes) -> int:
-    """A lower bound of the elements that are in one of two sets only."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def least_distance(nx: int, ny: int, kx: bytes, ky: bytes) -> float:
-    """A lower bound of the distance: differing elements over the largest union they allow."""
-    d = max(differing(kx, ky), abs(nx - ny))
-    return 2 * d / (nx + ny + d)
-
-
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """From docs(__i, __text): rows of kind 0 with a document's size, digest, sketch and least hashes, and of
+    """From docs(__i, __text): rows of kind 0 with a document's size, digest and least hashes, and of
     kind 1 with a worker's bucket counts, a block each."""
     schema = T.StructType([docs.schema["__i"], *(T.StructField(c, t) for c, t in (("kind", T.IntegerType()), ("n", T.LongType()), ("set", T.LongType()), ("data", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))))])
     blocks = 1 << (BUCKET_BITS - BLOCK_BITS)
@@ -127,7 +108,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             for first, group in gathered(batch.column(1).to_pylist()):
                 rows = []
                 for grams in sets_of(group, words):
-                    rows.append((0, len(grams), digest(grams), sketch(grams), least_hashes(grams)))
+                    rows.append((0, len(grams), digest(grams), None, least_hashes(grams)))
                     waiting.append((grams >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
                     size += len(grams)
                 if size > 1 << 21:
@@ -166,14 +147,18 @@ def crowded(profile: DataFrame, total: int) -> bytes:
     return bytes(flags)
 
 
-def prefixes(docs: DataFrame, flags: bytes, words: int = WORDS) -> DataFrame:
-    """(s, x, n, at): the leading n-grams of each set x, of n in all, crowded ones last, with their place
-    in the order. A worker sends equal sets once."""
-    sent = docs.sparkSession.sparkContext.broadcast(flags)
+def is_crowded(flags: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Whether each n-gram's bucket is flagged."""
+    at = grams >> np.uint64(64 - BUCKET_BITS)
+    return (flags[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def prefixes(docs: DataFrame, sent, words: int = WORDS) -> DataFrame:
+    """(s, x, w): the leading n-grams of each set x, crowded ones last, and the share w of crowded ones
+    in all of the set, which is highest in the middle of a group. A worker sends equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
-        done: set[int] = set()
+        flags, done = np.frombuffer(sent.value, np.uint8), set()
         for batch in batches:
             for _, group in gathered(batch.column(1).to_pylist()):
                 grams, owners = [], []
@@ -182,107 +167,163 @@ def prefixes(docs: DataFrame, flags: bytes, words: int = WORDS) -> DataFrame:
                         continue
                     done.add(d)
                     k = len(g) + int(-SIMILARITY * len(g) // 1) + 1
-                    last = full[(g >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                    last = is_crowded(flags, g)
                     lead = g[~last][:k]
                     grams.append(lead if len(lead) == k else np.concatenate([lead, g[last][: k - len(lead)]]))
-                    owners.append((d, len(g), k))
+                    owners.append((d, k, 1000 * int(last.sum()) // len(g)))
                 if grams:
-                    d, n, k = (np.array(c, np.int64) for c in zip(*owners))
-                    places = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                    cols = (np.concatenate(grams).view(np.int64), np.repeat(d, k), np.repeat(n, k).astype(np.int32), places.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["s", "x", "n", "at"])
-
-    return arrow_map(docs.select("__i", "__text"), run, "s long, x long, n int, at int")
+                    d, k, w = (np.array(c, np.int64) for c in zip(*owners))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(d, k)), pa.array(np.repeat(w, k).astype(np.int16))], ["s", "x", "w"])
 
+    return arrow_map(docs.select("__i", "__text"), run, "s long, x long, w short")
 
-def measured(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(x, y, link, least): whether the pair is linked, and a lower bound of its distance."""
-    with scratch(docs.sparkSession) as keep:
-        return keep(_measured(pairs, sizes, docs, words))
-
-
-def _measured(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    side = lambda c: sizes.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("data").alias(f"k{c}"), F.col("rep").alias(f"r{c}"))
-    known = pairs.join(side("x"), "x").join(side("y"), "y")
-    radius = float(1 - SIMILARITY)
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("nx", "ny", "kx", "ky")]
-            low = [least_distance(*v) for v in zip(*cols)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("x", "y", "rx", "ry")), pa.array(low, pa.float64())], ["x", "y", "rx", "ry", "least"])
 
-    id_type = sizes.schema["rep"].dataType.simpleString()
-    bounded = staged(arrow_map(known, bound, f"x long, y long, rx {id_type}, ry {id_type}, least double"), "pair-bounds")
-    near = bounded.where(F.col("least") <= radius + 1e-9)
-    ids = staged(near.select(F.explode(F.array("rx", "ry")).alias("__i")).distinct(), "pair-ids")
+def gram_sets(docs: DataFrame, sizes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(set, grams): the n-grams of the sets in ``nodes(x)``, from one document each."""
+    ids = staged(sizes.join(nodes.withColumnRenamed("x", "set"), "set").select(F.col("rep").alias("__i")).distinct(), "set-docs")
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, group in gathered(batch.column(1).to_pylist()):
                 found = list(sets_of(group, words))
                 yield pa.RecordBatch.from_arrays([pa.array([digest(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], ["set", "grams"])
 
-    sets = staged(arrow_map(with_small(docs.select("__i", "__text"), ids, ["__i"], "left_semi"), grams, "set long, grams binary"), "pair-sets").dropDuplicates(["set"])
-    sets = staged(sets, "pair-sets")
-    both = near.select("x", "y").join(sets.select(F.col("set").alias("x"), F.col("grams").alias("gx")), "x").join(sets.select(F.col("set").alias("y"), F.col("grams").alias("gy")), "y")
+    found = arrow_map(with_small(docs.select("__i", "__text"), ids, ["__i"], "left_semi"), run, "set long, grams binary")
+    return staged(staged(found, "set-grams").dropDuplicates(["set"]), "set-grams")
+
+
+def leading(own: np.ndarray, pivot: np.ndarray, inside: np.ndarray, missing: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a set's difference from its pivot by which links to sets of other components are found:
+    those for any pair, and those for pairs of which one set is linked to the pivot.
+
+    Let a set have e extra elements, q of them crowded, and lack d of the pivot's p. It is linked to the pivot
+    if 4 d + 3 e <= p, and two sets x, y are linked if they share, of extra and lacking elements, at least
+    (4 (d + d') + 3 (e + e') - p) / 7. For one set and any partner this bounds from below how many of each
+    kind are shared; a partner that is not linked to the pivot has 4 d' + 3 e' > p, which says more:
+
+    - extras: (3 e + d - p) / 4, and more than 3 (e - d) / 7; less the q that may be crowded ones;
+    - if no rare extra is shared, lacking ones: (4 d + 3 e - 4 q - p) / 3, and more than (4 d + 3 e - 7 q) / 7;
+    - if neither is shared, crowded extras: (4 d + 3 e - p) / 4, and more than (4 d + 3 e) / 7.
+
+    Of two sets of different components one at least is not linked to the pivot. Of k elements of which at least m
+    are shared, the first k - m + 1 in an order common to the cell suffice. Which kind an element is
+    depends on itself and the pivot alone. Elements that most members share come last: a lacking one that is
+    rare elsewhere is the pivot's own."""
+    extra, lacks = own[~inside], pivot[missing]
+    a, b = is_crowded(flags, extra), is_crowded(flags, lacks)
+    rare, common, lacks = extra[~a], extra[a], np.concatenate([lacks[b], lacks[~b]])
+    e, q, d, p = len(extra), len(common), len(lacks), len(pivot)
+    far = 4 * d + 3 * e
+    linked = far <= p
+    up = lambda n, by: -(-n // by)
+    # by kind: the bound for any partner, and that for a partner which is not linked to the pivot
+    extras = up(3 * e + d - p, 4), max(up(3 * e + d - p, 4), 3 * (e - d) // 7 + 1)
+    lacking = up(far - 4 * q - p, 3), max(up(far - 4 * q - p, 3), (far - 7 * q) // 7 + 1)
+    crowd = up(far - p, 4), max(up(far - p, 4), far // 7 + 1)
+    first = lambda these, least: these[: max(0, len(these) - max(1, least) + 1)]
+
+    def without_rare(k: int) -> list[np.ndarray]:
+        if extras[k] > q:
+            return []
+        return [first(lacks, lacking[k])] + ([first(common, crowd[k])] if lacking[k] <= 0 else [])
+
+    nothing = lacks[:0]
+    return np.concatenate([first(rare, extras[linked] - q), *([] if linked else without_rare(1))]), np.concatenate([nothing, *without_rare(int(linked))])
+
+
+def measured(pairs: DataFrame, grams: DataFrame, sent) -> DataFrame:
+    """(x, p, link, dist, lead, mixed) of distinct pairs (x, p, cell) of a member x and its pivot p, x <> p.
+
+    A pivot's set and up to :data:`SPOKES` of its members' sets come to one task in turn, so a task
+    holds two sets at a time. ``lead``, ``mixed``: :func:`leading`, for the pairs that ``cell`` marks."""
+    loads = staged(pairs.groupBy("p").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("copies")), "pivot-loads")
+    set_of = lambda c: grams.select(F.col("set").alias(c), "grams")
+    spokes = pairs.join(loads, "p").select("p", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int").alias("part"), F.lit(1).alias("role"), "x", "cell").join(set_of("x"), "x")
+    hubs = loads.select("p", F.explode(F.expr("sequence(0, copies - 1)")).alias("part"), F.lit(0).alias("role"), F.col("p").alias("x"), F.lit(False).alias("cell")).join(set_of("p"), "p")
+    names = ["p", "part", "role", "x", "cell", "grams"]
+    dealt = spokes.select(names).unionByName(hubs.select(names)).repartition("p", "part").sortWithinPartitions("p", "part", "role")
     num, den = SIMILARITY.numerator, SIMILARITY.denominator
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, hub = np.frombuffer(sent.value, np.uint8), np.empty(0, np.uint64)
         for batch in batches:
-            link, low = [], []
-            for a, b in zip(batch.column("gx"), batch.column("gy")):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                union = len(a) + len(b) - shared
-                link.append(den * shared >= num * union)
-                low.append(1 - shared / union)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(link, pa.bool_()), pa.array(low, pa.float64())], ["x", "y", "link", "least"])
+            rows = []
+            for p, role, x, cell, g in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), batch.column(5)):
+                own = np.frombuffer(g.as_buffer(), np.uint64)
+                if not role:
+                    hub = own.copy()
+                    continue
+                at = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
+                inside = hub[at] == own
+                shared = int(inside.sum())
+                union = len(own) + len(hub) - shared
+                lead = (None, None)
+                if cell:
+                    missing = np.ones(len(hub), bool)
+                    missing[at[inside]] = False
+                    lead = (part.view(np.int64) for part in leading(own, hub, inside, missing, flags))
+                rows.append((x, p, den * shared >= num * union, 1 - shared / union, *lead))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["x", "p", "link", "dist", "lead", "mixed"])
+
+    return staged(arrow_map(dealt, run, "x long, p long, link boolean, dist double, lead array<long>, mixed array<long>"), "pivot-distances")
+
+
+def spanning(regions: DataFrame, labels: DataFrame, name: str = "regions") -> DataFrame:
+    """Regions (s, x, home, mixed, link, pc) as (s, x, c, a, m, n, inner): with the component c of x, whether x is in the
+    region's cover, the sizes of region and cover, and whether pairs inside the cover matter. ``pc`` is the component of the
+    cell's pivot.
+
+    Left out are regions inside one component, those without a member whose home the cell is (its links
+    are found in other cells), and mixed ones whose members are all linked to the pivot or all not."""
+    named = regions.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("c", F.coalesce("label", "x"))
+    sides = {"home": F.col("home"), "out": F.coalesce(F.col("c") != F.col("pc"), F.lit(True)), "link": F.col("link"), "rest": ~F.col("link")}
+    rows = staged(named.select("s", "x", "c", "mixed", *[v.alias(k) for k, v in sides.items()]), f"{name}-labelled")
+    wide = rows.groupBy("s").agg(F.min("c").alias("__a"), F.max("c").alias("__b"), F.count("*").alias("m"), F.bool_or("mixed").alias("mixed"), *[F.count_if(k).alias(k) for k in sides])
+    wide = wide.where("__a <> __b AND home > 0 AND (NOT mixed OR link > 0 AND rest > 0)")
+    cover = F.least(*[F.struct(F.when(F.col("mixed") | F.lit(k in ("home", "out")), F.col(k)).otherwise(F.col("m")).alias("n"), F.lit(k).alias("side")) for k in sides])
+    wide = staged(wide.withColumn("cover", cover).select("s", "m", "cover.n", "cover.side"), f"{name}-wide")
+    a = reduce(lambda rest, k: F.when(F.col("side") == k, F.col(k)).otherwise(rest), sides, F.lit(False))
+    return staged(with_small(rows, wide, ["s"], "inner").select("s", "x", "c", a.alias("a"), "m", "n", F.col("side").isin("home", "out").alias("inner")), name)
 
-    far = bounded.where(F.col("least") > radius + 1e-9).select("x", "y", F.lit(False).alias("link"), "least")
-    return staged(arrow_map(both, exact, "x long, y long, link boolean, least double").unionByName(far), "pairs")
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (x, p) whose sets are in different components so far."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    return pairs.join(of("x"), "x", "left").join(of("p"), "p", "left").where(F.coalesce("lx", "x") != F.coalesce("lp", "p")).select("x", "p")
 
-def spanning(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Regions (s, x, n, at) with labels c; those inside one component are left out."""
-    if labels is None:
-        rows = regions.withColumn("c", F.col("x"))
-    else:
-        rows = staged(regions, "regions").join(labels.select(F.col("node").alias("x"), F.col("label")), "x", "left").select("s", "x", "n", "at", F.coalesce("label", "x").alias("c"))
-    w = Window.partitionBy("s")
-    return rows.withColumn("__a", F.min("c").over(w)).withColumn("__b", F.max("c").over(w)).where("__a <> __b").drop("__a", "__b")
 
+def with_pivots(regions: DataFrame, centre: DataFrame, pivots: int, turn: int) -> DataFrame:
+    """(g, done, inner, ps, x, c): members of regions with their pivots ``ps`` (p, pc); regions (s, ...) of equal pivots are one.
+
+    A region whose cover has at most ``pivots`` members takes them all and is ``done`` then. Others take those that
+    are most in the middle by ``centre`` (x, w) and have most company."""
+    weight = regions.groupBy("x").agg(F.sum("m").alias("company")).join(centre, "x").select("x", F.struct("w", "company").alias("w"))
+    bucket = F.when(F.col("n") <= pivots, F.col("x")).otherwise(F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(pivots)))
+    ranked = regions.where("a").join(weight, "x").groupBy("s", bucket.alias("bucket")).agg(F.max(F.struct("w", F.struct(F.col("x").alias("p"), F.col("c").alias("pc")).alias("p"))).alias("best"), F.first("inner").alias("inner"), (F.max("n") <= pivots).alias("done"))
+    chosen = ranked.groupBy("s").agg(F.array_sort(F.collect_set("best.p")).alias("ps"), F.first("inner").alias("inner"), F.first("done").alias("done"))
+    chosen = staged(chosen.withColumn("g", F.xxhash64(F.col("ps")["p"], "inner", "done")), "pivots")
+    groups = chosen.groupBy("g").agg(*[F.first(c).alias(c) for c in ("done", "inner", "ps")])
+    return staged(regions.select("s", "x", "c").join(chosen.select("s", "g"), "s").select("g", "x", "c").distinct().join(groups, "g"), "members")
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose sets are in different components so far."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    return pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
-
-
-def close(regions: DataFrame, whole: bool) -> DataFrame:
-    """The pairs (x, y) across components that could be linked by what their leading n-grams tell.
-
-    Members of a large region share many of them, so there a pair is made where no earlier large region
-    holds both. In small regions a pair is made each time and counted: of two sets with the same order, all
-    shared n-grams up to the lesser of their last leading ones lead in both, so they share at most those and
-    what follows in the larger rest. Pairs that may also meet in large regions, or whose regions have lost
-    members on the way, are not judged by counts."""
-    t = SIMILARITY / (1 + SIMILARITY)
-    need = f"((n + n2) * {t.numerator} + {t.denominator - 1}) div {t.denominator}"
-    rest = lambda n: f"(({n} * {SIMILARITY.numerator} + {SIMILARITY.denominator - 1}) div {SIMILARITY.denominator} - 1)"
-    sized = f"x < x2 AND c <> c2 AND {SIMILARITY.denominator} * least(n, n2) >= {SIMILARITY.numerator} * greatest(n, n2)"
-    two = lambda df: df.select("s", *(F.col(c).alias(f"{c}2") for c in df.columns if c != "s"))
-    big = F.count("*").over(Window.partitionBy("s")) > LARGE
-    rows = staged(regions.withColumn("big", big), "regions-by-size")
-    earlier = F.collect_list("s").over(Window.partitionBy("x").orderBy("at", "s").rowsBetween(Window.unboundedPreceding, -1))
-    large = staged(rows.where("big").drop("big").withColumn("before", earlier), "regions-large")
-    in_large = large.select("x").distinct().withColumn("also", F.lit(True))
-    small = staged(rows.where("NOT big").drop("big").join(in_large, "x", "left").withColumn("also", F.col("also").isNotNull()), "regions-small")
-    once = large.join(two(large), "s").where(F.expr(f"{sized} AND NOT arrays_overlap(before, before2)")).select("x", F.col("x2").alias("y"))
-    met = small.join(two(small), "s").where(F.expr(sized))
-    counted = met.groupBy("x", "x2").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n", "n2", "also", "also2")])
-    enough = f"(also AND also2) OR shared >= {need} - greatest({rest('n')}, {rest('n2')})" if whole else "true"
-    return counted.where(F.expr(enough)).select("x", F.col("x2").alias("y")).unionByName(once).distinct()
+
+def star(members: DataFrame) -> DataFrame:
+    """(x, p, cell): the pairs to measure. Those of regions that are done need no differences, and no pairs inside a component."""
+    both = F.array_contains(F.col("ps")["p"], F.col("x"))
+    rows = members.select("x", "c", "done", "inner", both.alias("both"), F.explode("ps").alias("v")).select("*", "v.p", "v.pc")
+    rows = rows.where("x <> p AND NOT (both AND p > x) AND NOT (done AND (c = pc OR both AND NOT inner))")
+    return rows.groupBy("x", "p").agg(F.bool_or(~F.col("done") & ~F.col("both")).alias("cell"))
+
+
+def cells(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(x, p, home): each member in the cell of its nearest pivot, its home, and in those of pivots within the
+    window. ``found`` holds the measured distances; pivots themselves are in no cell of their own region."""
+    rest = members.where(~F.col("done") & ~F.array_contains(F.col("ps")["p"], F.col("x"))).select("g", "x", F.explode(F.col("ps")["p"]).alias("p"))
+    told = rest.join(found.select("x", "p", "dist"), ["x", "p"])
+    nearest = F.min(F.struct("dist", "p")).over(Window.partitionBy("g", "x"))  # one row a pivot of the region
+    told = told.withColumn("near", nearest).where(F.col("dist") <= F.col("near.dist") + 2 * float(1 - SIMILARITY) + 1e-9)
+    return told.groupBy("x", "p").agg(F.bool_or(F.col("p") == F.col("near.p")).alias("home"))
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -300,46 +341,48 @@ def _grouped(own: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     profile = staged(profiles(own, words), "profiles")
     rows = staged(profile.where("kind = 0").select("__i", "n", "set"), "rows")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sizes = profile.where("kind = 0 AND n > 0 AND __i IS NOT NULL").groupBy("set").agg(F.min("__i").alias("rep"), *[F.first(c).alias(c) for c in ("n", "data", "bands")])
-    sizes = staged(sizes, "sets")
+    sizes = staged(profile.where("kind = 0 AND n > 0 AND __i IS NOT NULL").groupBy("set").agg(F.min("__i").alias("rep"), F.first("bands").alias("bands")), "sets")
     real = own.where(F.col("__i").isNotNull())
+    sent = own.sparkSession.sparkContext.broadcast(crowded(profile, total))
+
+    # pivots by least hashes, and first regions by leading n-grams
+    banded = sizes.select(F.col("set").alias("x"), F.posexplode("bands").alias("band", "h"))
+    least = staged(banded.groupBy("band", "h").agg(F.min("x").alias("p"), F.count("*").alias("k")).where("k > 1").select("band", "h", "p"), "band-pivots")
+    tried = staged(with_small(banded, least, ["band", "h"], "inner").where("x <> p").select("x", "p").distinct(), "band-pairs")
+    leads = staged(prefixes(real, sent, words), "leads")
+    shared = staged(leads.groupBy("s").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("s"), "leads-shared")
+    regions = staged(with_small(leads, shared, ["s"], "left_semi").distinct(), "regions")
+    centre = staged(regions.select("x", "w").distinct(), "centre")
+    nodes = staged(regions.select("x").union(tried.select("x")).union(tried.select("p")).distinct(), "nodes")
+    grams = gram_sets(real, sizes, nodes, words)
     links: list[DataFrame] = []
 
     def meet(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Measure pairs (x, y); the measures and the labels of all links so far."""
-        found = measured(pairs, sizes, real, words)
-        links.append(found.where("link").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        """Measure pairs (x, p, cell); the measures and the labels of all links so far."""
+        found = measured(staged(pairs, "pairs"), grams, sent)
+        links.append(found.where("link").select(F.col("x").alias("a"), F.col("p").alias("b")))
         return found, components(reduce(DataFrame.unionByName, links))
 
-    # pivots by least hashes: first the least one of each set, then the others that are in another component
-    banded = sizes.select(F.col("set").alias("x"), F.posexplode("bands").alias("band", "h"))
-    tried = banded.withColumn("y", F.min("x").over(Window.partitionBy("band", "h"))).where("x <> y").select("x", "y").distinct()
-    tried = staged(tried, "band-pairs")
-    _, labels = meet(tried.groupBy("x").agg(F.min("y").alias("y")))
-    _, labels = meet(apart(tried, labels))
-    regions = staged(spanning(prefixes(real, crowded(profile, total), words), None).distinct(), "regions")
-    regions, whole = staged(spanning(regions, labels), "regions"), True
-    w = Window.partitionBy("s")
-    reach, pivots = 2 * float(1 - SIMILARITY) + 1e-9, 1
+    # first the least pivot of each set, then the others that are in another component
+    _, labels = meet(tried.groupBy("x").agg(F.min("p").alias("p"), F.lit(False).alias("cell")))
+    _, labels = meet(apart(tried, labels).withColumn("cell", F.lit(False)))
+    plain = {"home": F.lit(True), "mixed": F.lit(False), "link": F.lit(False), "pc": F.lit(None).cast("long")}
+    regions, pivots, turn = spanning(regions.withColumns(plain), labels), PIVOTS, 0
     while not regions.isEmpty():
-        each = regions.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        if each.where(F.col("k") * F.col("k") - F.col("kk") > 2 * CROSS).isEmpty():
-            _, labels = meet(close(regions, whole))
-            break
-        chosen = regions.withColumn("rank", F.row_number().over(w.orderBy("x"))).where(F.col("rank") <= pivots).select("s", F.col("x").alias("p"), F.col("c").alias("cp"))
-        star = staged(regions.join(staged(chosen, "pivots"), "s"), "stars").withColumn("hi", F.greatest("x", "p")).withColumn("lo", F.least("x", "p"))
-        found, labels = meet(star.where("c <> cp").select(F.col("hi").alias("x"), F.col("lo").alias("y")).distinct())
-        told = star.join(found.select(F.col("x").alias("hi"), F.col("y").alias("lo"), "link", "least"), ["hi", "lo"], "left")
-        # members of the pivot's component that were not measured count as near and outside its cell
-        cell = F.coalesce("link", F.lit(False))
-        near = F.max((F.col("x") != F.col("p")) & ~cell & (F.coalesce("least", F.lit(0.0)) <= reach)).over(Window.partitionBy("s", "p"))
-        done = (F.col("x") == F.col("p")) | (cell & ~F.col("near"))
-        left = told.withColumn("near", near).groupBy("s", "x", "n", "at").agg(F.max(done).alias("done")).where("NOT done").drop("done")
-        regions, whole, pivots = staged(spanning(left, labels), "regions"), False, 4 * pivots
+        members = with_pivots(regions, centre, pivots, turn)
+        found, labels = meet(star(members))
+        inside = found.where("lead IS NOT NULL").join(staged(cells(members, found), "cells"), ["x", "p"])
+        own = labels.select(F.col("node").alias("p"), F.col("label").alias("pc"))
+        inside = staged(inside.join(own, "p", "left").withColumn("pc", F.coalesce("pc", "p")), "cell-members")
+        wide = spanning(inside.select(F.col("p").alias("s"), "x", "home", F.lit(False).alias("mixed"), "link", "pc"), labels, "cells-by-component")
+        kinds = F.array(F.struct(F.lit(False).alias("mixed"), F.col("lead").alias("of")), F.struct(F.lit(True).alias("mixed"), F.col("mixed").alias("of")))
+        again = inside.join(wide.select(F.col("s").alias("p"), "x"), ["p", "x"]).select("p", "pc", "x", "home", "link", F.explode(kinds).alias("k"))
+        again = again.select("p", "pc", "x", "home", "link", "k.mixed", F.explode("k.of").alias("e")).withColumn("s", F.xxhash64("p", "mixed", "e"))
+        regions, pivots, turn = spanning(again, labels), GROWTH * pivots, turn + 1
     named = sizes.select("set", F.col("rep").alias("component"))
     if not labels.isEmpty():
         groups = staged(sizes.select("set", "rep").join(labels.select(F.col("node").alias("set"), "label"), "set"), "groups")
         least = staged(groups.groupBy("label").agg(F.min("rep").alias("least")), "group-ids")
         known = staged(groups.join(least, "label").select("set", "least"), "set-ids")
-        named = staged(named.join(known, "set", "left").select("set", F.coalesce("least", "component").alias("component")), "set-ids")
-    return rows, staged(named, "set-ids") if not hasattr(named, "staged_path") else named
+        named = named.join(known, "set", "left").select("set", F.coalesce("least", "component").alias("component"))
+    return rows, staged(named, "set-ids")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palisade.llm.common import WORD, scratch, staged
+from palisade.llm.common import WORD, scratch, staged, with_small
 
 BOUND = 1
 MIN_CHARS = 20
@@ -79,11 +79,6 @@ CHARS = Unit(False, BLOCK, SMALL)
 WORDS = Unit(True, 16, 4)
 
 
-def with_small(left: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join with a staged side, broadcast if it has at most :data:`BROADCAST_ROWS` rows."""
-    return left.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on, how)
-
-
 def line_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(__d, __t, __n, line, h1, h2) for each line with a word: place, line, 128 bits of hash."""
     rows = docs.select(F.col(id_col).alias("__d"), F.xxhash64(text).alias("__t"), F.posexplode(F.split(text, "\n")).alias("__n", "line"))

@@ -55,24 +55,62 @@ def test_equals_brute_force(spark):
     assert len({c for _, c in got.values()}) < 380
 
 
-def test_large_regions_and_contraction(spark, monkeypatch):
-    """Pairs of large regions are made once; links beyond one task's share are contracted in rounds."""
+def test_contraction(spark, monkeypatch):
+    """Links beyond one task's share are contracted in rounds; a pivot's members are dealt over several copies of it."""
     docs = corpus(3, 200)
-    monkeypatch.setattr(J, "LARGE", 2)
+    monkeypatch.setattr(J, "SPOKES", 3)
     monkeypatch.setattr("palisade.llm.components.ONE_TASK", 0)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs)
 
 
 def test_recursion_alone(spark, monkeypatch):
-    """Without the last step's joins of whole regions and the first pivots, the recursion gives the same."""
+    """Without the first pivots, and with few pivots a region whose number grows slowly, the recursion gives the same."""
     docs = corpus(2, 160)
-    monkeypatch.setattr(J, "CROSS", 0)
     monkeypatch.setattr(J, "BANDS", 0)
+    monkeypatch.setattr(J, "PIVOTS", 2)
+    monkeypatch.setattr(J, "GROWTH", 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs)
 
 
+def hard_group(seed, n):
+    """Near copies of one text at all distances from it: no component holds them, all share leading n-grams."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(3000)}" for _ in range(120)]
+    docs = []
+    for d in range(n):
+        w = list(base)
+        for i in r.sample(range(len(w)), r.choice([1, 3, 5, 8, 10, 12])):
+            w[i] = f"w{r.randrange(3000)}"
+        docs.append((d, " ".join(w)))
+    return docs
+
+
+def test_pivots_cells_and_few_pairs(spark, monkeypatch):
+    """The default path draws pivots, cells and second regions, and measures a number of pairs near the number of documents."""
+    docs = hard_group(4, 300)
+    pivots, pairs, rounds = [], [], []
+    real_pivots, real_measured = J.with_pivots, J.measured
+
+    def with_pivots(regions, *rest):
+        out = real_pivots(regions, *rest)
+        pivots.append(out.selectExpr("explode(ps.p)").distinct().count())
+        rounds.append(regions.count())
+        return out
+
+    def measured(found, *rest):
+        pairs.append(found.count())
+        return real_measured(found, *rest)
+
+    monkeypatch.setattr(J, "with_pivots", with_pivots)
+    monkeypatch.setattr(J, "measured", measured)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    assert len(rounds) >= 2 and all(pivots)
+    assert sum(pairs) < 300 * 299 // 2 // 8
+
+
 def test_defined_cases(spark):
     same = "a b c d e f g h"
     rows = [(5, None), (6, ""), (7, same), (3, same.upper()), (3, same.upper()), (None, same), (9, "a b"), (8, "A b"), (2, "\n\t ")]
