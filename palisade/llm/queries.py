@@ -180,15 +180,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each page, written to the shared folder and read back by byte ranges."""
     folder = staged_path(spark, "warc")
     warc.write_archives(warc.marked(read_table(spark, sf_dir, "pages")), folder).agg(F.sum("records")).collect()
-    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(spark, folder, columns=("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
 OP10_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
 k AS (SELECT payload_digest, payload_bytes, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY ALL)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper IS NOT NULL AND keeper IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op5_quality_rules_v3": op5_quality_rules_v3, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_line_dedup": op9_line_dedup, "op9_line_dedup_words": op9_line_dedup_words, "op10_warc": op10_warc}

@@ -9,9 +9,12 @@ candidate only if its first bytes inflate to a WARC header, and owns the records
 range; a record may end beyond it. After a valid member the next one starts where it ended; where that
 fails, the search goes on from there. Ranges need no index, and any cut of a file gives the same records.
 
-Defined cases: null payloads are empty. Pages of equal id and payload tie; the later one in the order
-of (id) is the response, and a tie of both gives one response by row order. Empty tables give no files and no
-records. Extra columns are ignored. Bytes between members that are no record are skipped.
+Payloads are hashed where they are read; only digests, lengths and ids are grouped, and the responses that
+have revisits are joined back to the rows, broadcast within the bounds of :func:`palisade.llm.common.with_small`.
+
+Defined cases: null payloads are empty. Rows that repeat the id and the payload of a response are responses
+too, so every revisit refers to an id that has one. A null id is below all others: such a page revisits, unless
+all of equal payload have none. Empty tables give no files and no records. Extra columns are ignored. Bytes between members that are no record are skipped.
 """
 
 from __future__ import annotations
@@ -28,22 +31,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import arrow_map
+from palisade.llm.common import arrow_map, staged, with_small
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a member that must inflate to the start of a header.
 PROBE = 512
 BLOCK = 1 << 20
 DEFAULT_SPLIT = 8 << 20
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+#: Columns of a record that is read.
+RECORDS = {"page_id": "long", "url": "string", "record_type": "string", "refers_to": "long", "payload_bytes": "long", "payload_digest": "string", "payload": "binary"}
+KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
 def marked(pages: DataFrame, least: int = 1000) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
-    best = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(best, ["payload_digest", "payload_bytes"], "left")
+    large = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes")
+    best = staged(large.agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL").drop("n"), "responses")
+    rows = with_small(rows, best, ["payload_digest", "payload_bytes"], "left")
     again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keeper")).alias("refers_to"))
 
@@ -163,30 +169,30 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[dict]:
         at = found[1]
 
 
-def read_archives(spark: SparkSession, folder: str, split: int = DEFAULT_SPLIT) -> DataFrame:
-    """Every record of the folder's ``.warc.gz`` files, by byte ranges of ``split`` bytes."""
+def read_archives(spark: SparkSession, folder: str, split: int = DEFAULT_SPLIT, columns: tuple[str, ...] = tuple(RECORDS)) -> DataFrame:
+    """Every record of the folder's ``.warc.gz`` files, by byte ranges of ``split`` bytes; only ``columns`` leave a worker."""
     disk, root = _open(folder)
     found = disk.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
     files = [(f.path, f.size) for f in found if f.is_file and f.path.endswith(".warc.gz")]
     ranges = spark.createDataFrame(files, "path string, size long").select("path", "size", F.explode(F.expr(f"sequence(0L, greatest(size - 1, 0L), {split}L)")).alias("start"))
     n = max(1, sum(-(-s // split) for _, s in files))
-    keys = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [KINDS[RECORDS[k]] for k in columns]
+    bulky = "payload" in columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, _ = _open(folder)
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(keys, kinds)], keys)
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], list(columns))
         for batch in batches:
             for path, size, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 with own.open_input_file(path) as file:
                     rows, held = [], 0
                     for r in records_in(file, size, start, start + split):
-                        rows.append(r)
-                        held += len(r["payload"])
+                        rows.append([r[k] for k in columns])
+                        held += bulky and len(r["payload"])
                         if held > BLOCK * 4 or len(rows) >= 1000:
                             yield pack(rows)
                             rows, held = [], 0
                     if rows:
                         yield pack(rows)
 
-    return arrow_map(ranges.repartition(min(n, 1 << 16)), run, RECORDS)
+    return arrow_map(ranges.repartition(min(n, 1 << 16)), run, ", ".join(f"{k} {RECORDS[k]}" for k in columns))

@@ -268,3 +268,15 @@ def test_warc_round_trip_at_any_split(spark, tmp_path):
     assert gzip.open(next((tmp_path / "w").glob("*.gz"))).read().startswith(b"WARC/1.1")
     W.write_archives(W.marked(pages.limit(0)), str(tmp_path / "e")).collect()
     assert W.read_archives(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_warc_ties_and_null_ids(spark, tmp_path):
+    """Rows that repeat a response are responses, a null id revisits; column pruning keeps the payload in the worker."""
+    x, y = "x" * 1500, "y" * 1500
+    rows = [(5, x), (5, x), (4, x), (None, x), (None, y), (None, y), (7, "z"), (8, "z")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").withColumn("keeper", F.lit(9)).repartition(2)
+    W.write_archives(W.marked(pages), str(tmp_path / "w")).collect()
+    got = W.read_archives(spark, str(tmp_path / "w"), columns=("page_id", "record_type", "refers_to"))
+    assert got.columns == ["page_id", "record_type", "refers_to"]
+    want = [(5, "response", None), (5, "response", None), (4, "revisit", 5), (None, "revisit", 5), (None, "response", None), (None, "response", None), (7, "response", None), (8, "response", None)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
