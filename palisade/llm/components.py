@@ -63,5 +63,5 @@ def _contracted(links: DataFrame, keep) -> DataFrame:
         half = staged(edges.join(a, "a").select("a2", "b"), "edges")
         edges = staged(half.join(b, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
     if labels is None:
-        return keep(edges).select(F.col("a").alias("node"), F.col("b").alias("label"))
+        return keep(staged(edges.select(F.col("a").alias("node"), F.col("b").alias("label")), "labels"))
     return keep(labels)

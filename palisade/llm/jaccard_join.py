@@ -2,8 +2,8 @@
 
 Documents are sets of word n-grams; 1 - |a & b| / |a | b| is a metric, and documents within
 ``1 - SIMILARITY`` of each other are linked. In such a space nearly all sets are at distance 1 from
-each other, so pivots are drawn where distances can be below 1: linked sets share an n-gram among the
-first n - ceil(0.75 n) + 1 of each, in any one global order, and each of those n-grams is a first region.
+each other, so pivots are drawn where distances can be below 1: linked sets share n-grams among the
+first of each in any one global order (:func:`least_shared` at least), and each of those n-grams is a first region.
 Then, round by round, until no region spans two components:
 
 - *pivots*: each region takes its most central member of each of a number of hash buckets (:data:`PIVOTS`, and
@@ -60,6 +60,8 @@ BUCKET_BITS, BLOCK_BITS = 24, 16
 BANDS = 6
 #: Pivots of a region in the first round, and their growth from round to round.
 PIVOTS, GROWTH = 1, 32
+#: One in so many n-grams makes a prefix longer, and a set without as many shared ones is linked to none.
+SHARED = 16
 #: Members that meet one copy of their pivot's set; a pivot with more is sent more often.
 SPOKES = 128
 
@@ -154,8 +156,8 @@ def is_crowded(flags: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sent, words: int = WORDS) -> DataFrame:
-    """(s, x, w): the leading n-grams of each set x, crowded ones last, and the share w of crowded ones
-    in all of the set, which is highest in the middle of a group. A worker sends equal sets once."""
+    """(s, x, w, crowded): the leading n-grams s of each set x, crowded ones last, and the share w of crowded
+    ones in all of the set, which is highest in the middle of a group. A worker sends equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, done = np.frombuffer(sent.value, np.uint8), set()
@@ -166,30 +168,56 @@ def prefixes(docs: DataFrame, sent, words: int = WORDS) -> DataFrame:
                     if not len(g) or (d := digest(g)) in done:
                         continue
                     done.add(d)
-                    k = len(g) + int(-SIMILARITY * len(g) // 1) + 1
+                    k = min(len(g), len(g) + int(-SIMILARITY * len(g) // 1) + least_shared(len(g)))
                     last = is_crowded(flags, g)
                     lead = g[~last][:k]
                     grams.append(lead if len(lead) == k else np.concatenate([lead, g[last][: k - len(lead)]]))
                     owners.append((d, k, 1000 * int(last.sum()) // len(g)))
                 if grams:
                     d, k, w = (np.array(c, np.int64) for c in zip(*owners))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.repeat(d, k)), pa.array(np.repeat(w, k).astype(np.int16))], ["s", "x", "w"])
+                    s = np.concatenate(grams)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.repeat(d, k)), pa.array(np.repeat(w, k).astype(np.int16)), pa.array(is_crowded(flags, s))], ["s", "x", "w", "crowded"])
 
-    return arrow_map(docs.select("__i", "__text"), run, "s long, x long, w short")
+    return arrow_map(docs.select("__i", "__text"), run, "s long, x long, w short, crowded boolean")
+
+
+def least_shared(n: int) -> int:
+    """Leading n-grams that a set of n must share with one that is linked to it; prefixes are longer by as many."""
+    return 1 + n // SHARED
+
+
+def first_regions(docs: DataFrame, sent, words: int) -> DataFrame:
+    """(s, x, w): leading n-grams that more than one set has, so far as is known: those of crowded buckets are all
+    kept, others are compared within their few rows."""
+    few = Window.partitionBy("s", F.when(F.col("crowded"), F.pmod(F.xxhash64("x"), F.lit(1 << 16))).otherwise(-1))
+    rows = prefixes(docs, sent, words).withColumn("a", F.min("x").over(few)).withColumn("b", F.max("x").over(few))
+    return staged(rows.where("crowded OR a <> b").select("s", "x", "w").distinct(), "first-regions")
+
+
+def enough(regions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of regions (s, x, ...) whose set is in as many regions as a link to another set takes: with the
+    longer prefixes, linked sets share as many leading n-grams as the smaller of them must."""
+    least = F.expr(f"1 + ((n * {SIMILARITY.numerator} + {SIMILARITY.denominator - 1}) div {SIMILARITY.denominator}) div {SHARED}")
+    counts = regions.groupBy("x").agg(F.count("*").alias("k")).join(sizes.select(F.col("set").alias("x"), "n"), "x")
+    return with_small(regions, staged(counts.where(F.col("k") >= least).select("x"), "in-regions"), ["x"], "left_semi")
 
 
 def gram_sets(docs: DataFrame, sizes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(set, grams): the n-grams of the sets in ``nodes(x)``, from one document each."""
-    ids = staged(sizes.join(nodes.withColumnRenamed("x", "set"), "set").select(F.col("rep").alias("__i")).distinct(), "set-docs")
+    ids = staged(sizes.join(nodes.withColumnRenamed("x", "set").distinct(), "set").select(F.col("rep").alias("__i")).distinct(), "set-docs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             for _, group in gathered(batch.column(1).to_pylist()):
-                found = list(sets_of(group, words))
-                yield pa.RecordBatch.from_arrays([pa.array([digest(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], ["set", "grams"])
+                found = {digest(g): g.tobytes() for g in sets_of(group, words)}
+                new = [d for d in found if d not in done]
+                done.update(new)
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[d] for d in new], pa.binary())], ["set", "grams"])
 
     found = arrow_map(with_small(docs.select("__i", "__text"), ids, ["__i"], "left_semi"), run, "set long, grams binary")
-    return staged(staged(found, "set-grams").dropDuplicates(["set"]), "set-grams")
+    return staged(found.dropDuplicates(["set"]), "set-grams")
 
 
 def leading(own: np.ndarray, pivot: np.ndarray, inside: np.ndarray, missing: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,47 +366,55 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: i
 
 def _grouped(own: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """Tables (__i, n, set) of all rows and (set, component) of all sets that are not empty."""
-    profile = staged(profiles(own, words), "profiles")
-    rows = staged(profile.where("kind = 0").select("__i", "n", "set"), "rows")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sizes = staged(profile.where("kind = 0 AND n > 0 AND __i IS NOT NULL").groupBy("set").agg(F.min("__i").alias("rep"), F.first("bands").alias("bands")), "sets")
+    with scratch(own.sparkSession) as keep:
+        profile = staged(profiles(own, words), "profiles")
+        rows = keep(staged(profile.where("kind = 0").select("__i", "n", "set"), "rows"))
+        total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        sets = profile.where("kind = 0 AND n > 0 AND __i IS NOT NULL").groupBy("set")
+        sizes = keep(staged(sets.agg(F.min("__i").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets"))
+        sent = own.sparkSession.sparkContext.broadcast(crowded(profile, total))
     real = own.where(F.col("__i").isNotNull())
-    sent = own.sparkSession.sparkContext.broadcast(crowded(profile, total))
-
-    # pivots by least hashes, and first regions by leading n-grams
-    banded = sizes.select(F.col("set").alias("x"), F.posexplode("bands").alias("band", "h"))
-    least = staged(banded.groupBy("band", "h").agg(F.min("x").alias("p"), F.count("*").alias("k")).where("k > 1").select("band", "h", "p"), "band-pivots")
-    tried = staged(with_small(banded, least, ["band", "h"], "inner").where("x <> p").select("x", "p").distinct(), "band-pairs")
-    leads = staged(prefixes(real, sent, words), "leads")
-    shared = staged(leads.groupBy("s").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a <> b").select("s"), "leads-shared")
-    regions = staged(with_small(leads, shared, ["s"], "left_semi").distinct(), "regions")
-    centre = staged(regions.select("x", "w").distinct(), "centre")
-    nodes = staged(regions.select("x").union(tried.select("x")).union(tried.select("p")).distinct(), "nodes")
-    grams = gram_sets(real, sizes, nodes, words)
     links: list[DataFrame] = []
 
-    def meet(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def meet(pairs: DataFrame, grams: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Measure pairs (x, p, cell); the measures and the labels of all links so far."""
         found = measured(staged(pairs, "pairs"), grams, sent)
-        links.append(found.where("link").select(F.col("x").alias("a"), F.col("p").alias("b")))
+        links.append(staged(found.where("link").select(F.col("x").alias("a"), F.col("p").alias("b")), "found-links"))
         return found, components(reduce(DataFrame.unionByName, links))
 
-    # first the least pivot of each set, then the others that are in another component
-    _, labels = meet(tried.groupBy("x").agg(F.min("p").alias("p"), F.lit(False).alias("cell")))
-    _, labels = meet(apart(tried, labels).withColumn("cell", F.lit(False)))
+    # pivots by least hashes: first the least one of each set, then the others that are in another component
+    with scratch(own.sparkSession) as keep:
+        banded = sizes.select(F.col("set").alias("x"), F.posexplode("bands").alias("band", "h"))
+        least = staged(banded.groupBy("band", "h").agg(F.min("x").alias("p"), F.count("*").alias("k")).where("k > 1").select("band", "h", "p"), "band-pivots")
+        tried = staged(with_small(banded, least, ["band", "h"], "inner").where("x <> p").select("x", "p").distinct(), "band-pairs")
+        grams = gram_sets(real, sizes, tried.select("x").union(tried.select("p")), words)
+        _, labels = meet(tried.groupBy("x").agg(F.min("p").alias("p"), F.lit(False).alias("cell")), grams)
+        _, labels = meet(apart(tried, labels).withColumn("cell", F.lit(False)), grams)
+        for kept in (*links, labels):
+            keep(kept)
+
     plain = {"home": F.lit(True), "mixed": F.lit(False), "link": F.lit(False), "pc": F.lit(None).cast("long")}
-    regions, pivots, turn = spanning(regions.withColumns(plain), labels), PIVOTS, 0
+    with scratch(own.sparkSession) as keep:
+        found = first_regions(real, sent, words)
+        centre = keep(staged(found.select("x", "w").distinct(), "centre"))
+        regions = spanning(enough(found, sizes).withColumns(plain), labels)
+        regions = keep(spanning(enough(regions, sizes).withColumns(plain), labels))
+    grams = gram_sets(real, sizes, regions.select("x"), words)
+    pivots, turn = PIVOTS, 0
     while not regions.isEmpty():
-        members = with_pivots(regions, centre, pivots, turn)
-        found, labels = meet(star(members))
-        inside = found.where("lead IS NOT NULL").join(staged(cells(members, found), "cells"), ["x", "p"])
-        own = labels.select(F.col("node").alias("p"), F.col("label").alias("pc"))
-        inside = staged(inside.join(own, "p", "left").withColumn("pc", F.coalesce("pc", "p")), "cell-members")
-        wide = spanning(inside.select(F.col("p").alias("s"), "x", "home", F.lit(False).alias("mixed"), "link", "pc"), labels, "cells-by-component")
-        kinds = F.array(F.struct(F.lit(False).alias("mixed"), F.col("lead").alias("of")), F.struct(F.lit(True).alias("mixed"), F.col("mixed").alias("of")))
-        again = inside.join(wide.select(F.col("s").alias("p"), "x"), ["p", "x"]).select("p", "pc", "x", "home", "link", F.explode(kinds).alias("k"))
-        again = again.select("p", "pc", "x", "home", "link", "k.mixed", F.explode("k.of").alias("e")).withColumn("s", F.xxhash64("p", "mixed", "e"))
-        regions, pivots, turn = spanning(again, labels), GROWTH * pivots, turn + 1
+        with scratch(own.sparkSession) as keep:
+            members = with_pivots(regions, centre, pivots, turn)
+            found, labels = meet(star(members), grams)
+            inside = found.where("lead IS NOT NULL").join(staged(cells(members, found), "cells"), ["x", "p"])
+            parent = labels.select(F.col("node").alias("p"), F.col("label").alias("pc"))
+            inside = staged(inside.join(parent, "p", "left").withColumn("pc", F.coalesce("pc", "p")), "cell-members")
+            wide = spanning(inside.select(F.col("p").alias("s"), "x", "home", F.lit(False).alias("mixed"), "link", "pc"), labels, "cells-by-component")
+            kinds = F.array(F.struct(F.lit(False).alias("mixed"), F.col("lead").alias("of")), F.struct(F.lit(True).alias("mixed"), F.col("mixed").alias("of")))
+            again = inside.join(wide.select(F.col("s").alias("p"), "x"), ["p", "x"]).select("p", "pc", "x", "home", "link", F.explode(kinds).alias("k"))
+            again = again.select("p", "pc", "x", "home", "link", "k.mixed", F.explode("k.of").alias("e")).withColumn("s", F.xxhash64("p", "mixed", "e"))
+            regions, pivots, turn = keep(spanning(again, labels)), GROWTH * pivots, turn + 1
+            keep(labels)
+            keep(links[-1])
     named = sizes.select("set", F.col("rep").alias("component"))
     if not labels.isEmpty():
         groups = staged(sizes.select("set", "rep").join(labels.select(F.col("node").alias("set"), "label"), "set"), "groups")
