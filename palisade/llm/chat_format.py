@@ -50,17 +50,19 @@ class Mapping:
     list_path: str = ""
     fields: tuple[tuple[str, str], ...] = ()
     #: Source role to canonical role; others stay as they are.
-    roles: tuple[tuple[str, str], ...] = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+    roles: tuple[tuple[str, str], ...] = ()
 
     @property
     def fingerprint(self) -> str:
         return hashlib.sha256(self.shape.encode()).hexdigest()
 
 
+CHAT_ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 MAPPINGS = (
     Mapping("turn_rows", "{conv_id,role,text,turn}", "rows", order="turn", role="role", text="text"),
+    Mapping("sharegpt_rows", "{conv_id,from,turn,value}", "rows", order="turn", role="from", text="value", roles=CHAT_ROLES),
     Mapping("openai_messages", "{messages:[{content,role}]}", "messages", list_path="$.messages", role="role", text="content"),
-    Mapping("sharegpt", "{conversations:[{from,value}]}", "messages", list_path="$.conversations", role="from", text="value"),
+    Mapping("sharegpt", "{conversations:[{from,value}]}", "messages", list_path="$.conversations", role="from", text="value", roles=CHAT_ROLES),
     Mapping("alpaca", "{input,instruction,output}", "fields", fields=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
     Mapping("instruction_output", "{instruction,output}", "fields", fields=(("user", "$.instruction"), ("assistant", "$.output"))),
     Mapping("prompt_completion", "{completion,prompt}", "fields", fields=(("user", "$.prompt"), ("assistant", "$.completion"))),
@@ -124,16 +126,24 @@ def _item_turn(m: Mapping):
 
 
 def turns_from_rows(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(id, turns) from a row a turn. The mapping is that of the table's fingerprint, or of the part
-    of its columns that a row mapping needs, so extra columns do no harm."""
-    names = set(df.columns)
-    m = next((m for m in mappings if m.kind == "rows" and m.shape == table_shape(df.schema)), None) or next(
-        (m for m in mappings if m.kind == "rows" and {m.order, m.role, m.text} <= names), None
-    )
-    if m is None:
+    """(id, turns) from a row a turn. Each row is a record of the columns that a row mapping needs (the id as
+    ``conv_id``), and the fingerprint of its field paths selects the mapping; rows of unknown layout are an error."""
+    named = {"conv_id": id_col}
+    turn_type = "struct<o:string,role:string,text:string>"
+    turn, order = F.lit(None), None
+    for m in mappings:
+        needs = [named.get(c, c) for c in ("conv_id", m.order, m.role, m.text)]
+        if m.kind != "rows" or not set(needs) <= set(df.columns):
+            continue
+        order = df.schema[m.order].dataType.simpleString()
+        turn_type = f"struct<o:{order},role:string,text:string>"
+        record = F.struct(*[F.col(c).alias(k) for k, c in zip(("conv_id", m.order, m.role, m.text), needs)])
+        own = F.struct(F.col(m.order).alias("o"), _role(m, F.col(m.role)).alias("role"), F.coalesce(F.col(m.text), F.lit("")).alias("text"))
+        turn = F.when(fingerprint(F.to_variant_object(record)) == shape_key(m), own.cast(turn_type)).otherwise(turn.cast(turn_type))
+    if order is None:
         raise ValueError(f"no row mapping for {table_shape(df.schema)}")
-    turn = F.struct(F.col(m.order).alias("o"), _role(m, F.col(m.role)).alias("role"), F.coalesce(F.col(m.text), F.lit("")).alias("text"))
-    grouped = df.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    known = F.coalesce(turn, F.raise_error(F.lit("a row of unknown layout")).cast(turn_type))
+    grouped = df.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(known)).alias("turns"))
     return grouped.select(id_col, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 

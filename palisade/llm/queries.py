@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,10 +106,12 @@ EXTRA_TEXT = r"\### Assistant: </turn> ok"
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -7, formatted and read back."""
+    """All conversations, rows by turn, and conversation -7, a record of messages: two layouts that their
+    fingerprints tell, formatted and read back."""
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
-    back = chat_format.parsed(chat_format.formatted(chat_format.turns_from_rows(rows.unionByName(extra))))
+    extra = json.dumps({"messages": [{"role": role, "content": EXTRA_TEXT} for role in ("user", "assistant")]})
+    record = chat_format.turns_from_records(spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(extra).alias("record")), "conv_id", "record")
+    back = chat_format.parsed(chat_format.formatted(chat_format.turns_from_rows(rows).unionByName(record.drop("layout"))))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),

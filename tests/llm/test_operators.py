@@ -280,3 +280,17 @@ def test_warc_ties_and_null_ids(spark, tmp_path):
     assert got.columns == ["page_id", "record_type", "refers_to"]
     want = [(5, "response", None), (5, "response", None), (4, "revisit", 5), (None, "revisit", 5), (None, "response", None), (None, "response", None), (7, "response", None), (8, "response", None)]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_chat_row_layouts_by_fingerprint(spark):
+    """Turn rows keep their roles, other layouts map theirs; both reach the same turns. Ties, nulls and clashing columns."""
+    rows = [(1, 0, "human", "q"), (1, 1, "bot", None), (2, 0, "user", "b"), (2, 0, "user", "a"), (2, None, None, "first")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' AS o", "1 AS turns")
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in C.turns_from_rows(plain).collect()}
+    assert got == {1: [("human", "q"), ("bot", "")], 2: [("", "first"), ("user", "a"), ("user", "b")]}
+    shared = plain.selectExpr("conv_id AS id", "turn", "role AS `from`", "text AS value").where("id = 1")
+    chat = {r.id: [tuple(t) for t in r.turns] for r in C.turns_from_rows(shared, "id").collect()}
+    record = spark.createDataFrame([(1, '{"conversations": [{"from": "human", "value": "q"}, {"from": "bot", "value": ""}]}'), (2, '{"messages": null}'), (3, '{"messages": []}')], "id long, r string")
+    told = {r.id: r.turns and [tuple(t) for t in r.turns] for r in C.turns_from_records(record, "id", "r").collect()}
+    assert chat == {1: [("user", "q"), ("assistant", "")]} and told[1] == chat[1]
+    assert C.turns_from_rows(plain.limit(0)).count() == 0
