@@ -189,8 +189,9 @@ def least_shared(n: int) -> int:
 def first_regions(docs: DataFrame, sent, words: int) -> DataFrame:
     """(s, x, w): leading n-grams that more than one set has, so far as is known: those of crowded buckets are all
     kept, others are compared within their few rows."""
-    few = Window.partitionBy("s", F.when(F.col("crowded"), F.pmod(F.xxhash64("x"), F.lit(1 << 16))).otherwise(-1))
-    rows = prefixes(docs, sent, words).withColumn("a", F.min("x").over(few)).withColumn("b", F.max("x").over(few))
+    few = Window.partitionBy("s", "salt")
+    rows = prefixes(docs, sent, words).withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("x"), F.lit(1 << 16))).otherwise(-1))
+    rows = rows.select("*", F.min("x").over(few).alias("a"), F.max("x").over(few).alias("b"))
     return staged(rows.where("crowded OR a <> b").select("s", "x", "w").distinct(), "first-regions")
 
 
