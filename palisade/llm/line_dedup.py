@@ -17,7 +17,7 @@ the same way, with arrays of words in place of strings (:class:`Unit`).
 
 Defined cases: null texts stay null, empty ones empty. Rows equal in id and text are one document,
 and each row keeps the same lines; rows of equal id and other texts are told apart by the text. Null ids sort
-first. Extra columns are kept; internal names start with ``__``.
+first. Extra columns are kept, but for those named like an output (:data:`OUTPUTS`), which are replaced.
 """
 
 from __future__ import annotations
@@ -28,15 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palisade.llm.common import WORD, scratch, staged, with_small
+from palisade.llm.common import BROADCAST_ROWS, WORD, scratch, staged, with_small
 
 BOUND = 1
+#: Columns that :func:`deduplicated` adds; those of these names in its input are replaced.
+OUTPUTS = ("__n_lines", "__n_removed")
 MIN_CHARS = 20
 MIN_LINE_WORDS = 5
 #: Characters of a block at either level, and most blocks of a line or a block.
 BLOCK, SMALL, MOST = 128, 16, 64
-#: Rows of a side that may be broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -103,9 +103,20 @@ def block_keys(least: int, unit: Unit = CHARS) -> Column:
 
 
 def company(rows: DataFrame, key: str = "key") -> DataFrame:
-    """The rows whose key another line has too."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("__a", F.min("h1").over(w)).withColumn("__b", F.max("h1").over(w)).where("__a <> __b").drop("__a", "__b")
+    """The rows of a written table whose key another line has too. Keys are aggregated, so a hot one is no task's."""
+    shared = rows.groupBy(key).agg(F.min("h1").alias("__a"), F.max("h1").alias("__b")).where("__a <> __b").select(key)
+    return with_small(rows, staged(shared, "line-shared"), [key], "left_semi")
+
+
+def char_keys(least: int) -> Column:
+    """The keys of :func:`block_keys` for ``line``; those of two blocks, as nearly all lines have, are written out without lambdas."""
+    keys = []
+    for x in (0, 1):
+        m = f"(n - {x})"
+        width = f"cast(({m} + 1) div 2 as int)"
+        keys += [f"xxhash64({m}, 0, '', substring(line, {width} + {x} + 1))", f"xxhash64({m}, 1, substring(line, 1, {width}), substring(line, 2 * {width} + {x} + 1))"]
+    two = F.expr(f"n >= greatest({least}, 3) AND n <= {2 * CHARS.block}")
+    return F.when(two, F.expr(f"array({', '.join(keys)})")).otherwise(F.transform(block_keys(least), lambda b: b["key"]))
 
 
 def near_duplicates(lines: DataFrame, first: DataFrame, min_chars: int = MIN_CHARS, unit: Unit = CHARS, keys: str = "keys") -> DataFrame:
@@ -128,7 +139,8 @@ def near_duplicates(lines: DataFrame, first: DataFrame, min_chars: int = MIN_CHA
         f"transform(sequence(0, {count} - 1), j -> struct(xxhash64(key, m, j, {unit.part('block', '1', f'j * {width}')}, {unit.rest('block', f'(j + 1) * {width} + x + 1')}) as key,"
         f" {unit.part('block', f'j * {width} + 1', f'least({width}, m - j * {width}) + x')} as part))"
     )
-    level2 = staged(company(blocks.select("h1", "h2", "place", F.explode(small).alias("s")).select("h1", "h2", "place", F.col("s.key").alias("key"), F.col("s.part").alias("part"))), "line-parts")
+    parts = staged(blocks.select("h1", "h2", "place", F.explode(small).alias("s")).select("h1", "h2", "place", F.col("s.key").alias("key"), F.col("s.part").alias("part")), "line-parts")
+    level2 = company(parts)
     # deletions: as one side of an insertion (any position) and of a replacement (that position)
     cut = f"concat({unit.part('part', '1', 'p')}, {unit.rest('part', 'p + 2')})"
     spots = f"if({unit.size('part')} = 0, cast(array() as array<int>), sequence(0, {unit.size('part')} - 1))"
@@ -136,19 +148,18 @@ def near_duplicates(lines: DataFrame, first: DataFrame, min_chars: int = MIN_CHA
         f"concat(array(struct(xxhash64(key, -1, part) as v, 0 as kind)), array_distinct(transform({spots}, p -> struct(xxhash64(key, -1, {cut}) as v, 1 as kind))),"
         f" transform({spots}, p -> struct(xxhash64(key, p, {cut}) as v, 2 as kind)))"
     )
-    near = level2.withColumn("v", F.explode(variants)).select("h1", "h2", "place", "part", "v.v", "v.kind")
-    w = Window.partitionBy("v")
-    earliest = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("place", "part"))).over(w)
-    near = near.withColumn("own", earliest(0)).withColumn("cut", earliest(1)).withColumn("at", earliest(2))
+    near = staged(level2.withColumn("v", F.explode(variants)).select("h1", "h2", "place", "part", "v.v", "v.kind"), "line-variants")
+    earliest = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("place", "part")))
+    met = near.groupBy("v").agg(earliest(0).alias("own"), earliest(1).alias("cut"), earliest(2).alias("at"), F.count("*").alias("k")).where("k > 1").drop("k")
     other = F.when(F.col("kind") == 0, F.col("cut")).when(F.col("kind") == 1, F.col("own")).otherwise(F.col("at"))
-    near = near.withColumn("o", other).where(F.col("o").isNotNull() & (F.col("o.place") < F.col("place")) & unit.close())
+    near = near.join(met, "v").withColumn("o", other).where(F.col("o").isNotNull() & (F.col("o.place") < F.col("place")) & unit.close())
     return near.select("h1", "h2").distinct()
 
 
 def kept_places(docs: DataFrame, id_col: str, text: str, min_chars: int, words: bool = False) -> DataFrame:
     """(__d, __t, __n) of the lines that stay, a row a distinct line."""
     lines = line_rows(docs, id_col, text)
-    keyed = lines.withColumn("n", F.length("line")).withColumn("keys", F.transform(block_keys(min_chars), lambda b: b["key"]))
+    keyed = lines.withColumn("n", F.length("line")).withColumn("keys", char_keys(min_chars))
     aggs = [F.first("keys").alias("keys")]
     if words:
         split = keyed.withColumn("line", WORDS.items("line", min_chars)).withColumn("n", F.size("line"))
@@ -162,14 +173,15 @@ def kept_places(docs: DataFrame, id_col: str, text: str, min_chars: int, words:
     return with_small(first.select("h1", "h2", "place"), dups, ["h1", "h2"], "left_anti").select("place.*")
 
 
-def wordy_lines(text: str) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+def n_wordy(text) -> Column:
+    """Lines with a word: one match from a line's first such character to its end, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D][^\\n]*")), F.lit(0))
 
 
 def changed_documents(docs: DataFrame, id_col: str, text: str, min_chars: int, words: bool = False) -> DataFrame:
     """(__d, __t, __keep): documents that lose lines, with the numbers of those that stay."""
     kept = kept_places(docs, id_col, text, min_chars, words).groupBy("__d", "__t").agg(F.collect_set("__n").alias("__keep"))
-    sizes = docs.select(F.col(id_col).alias("__d"), F.xxhash64(text).alias("__t"), F.size(F.coalesce(wordy_lines(text), F.array())).alias("__all")).where("__all > 0").distinct()
+    sizes = docs.select(F.col(id_col).alias("__d"), F.xxhash64(text).alias("__t"), n_wordy(F.col(text)).alias("__all")).where("__all > 0").distinct()
     same = sizes["__d"].eqNullSafe(kept["__d"]) & (sizes["__t"] == kept["__t"])
     return sizes.join(kept, same, "left").where(F.coalesce(F.size("__keep"), F.lit(0)) < F.col("__all")).select(sizes["__d"], sizes["__t"], F.coalesce("__keep", F.array().cast("array<int>")).alias("__keep"))
 
@@ -180,15 +192,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     Documents that lose nothing are told by counts alone; the others' line numbers meet their texts."""
     with scratch(docs.sparkSession) as keep:
         changed = keep(staged(changed_documents(docs, id_col, text, min_chars, words), "line-changed"))
-    side = F.broadcast(changed) if changed.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4 else changed
+    n_docs, n_kept = changed.agg(F.count("*"), F.coalesce(F.sum(F.size("__keep")), F.lit(0))).first()
+    side = F.broadcast(changed) if n_docs <= BROADCAST_ROWS and n_kept <= 4 * BROADCAST_ROWS else changed
     rows = docs.join(side, docs[id_col].eqNullSafe(side["__d"]) & (F.xxhash64(docs[text]) == side["__t"]), "left")
-    parts, wordy = F.split(text, "\n"), wordy_lines(text)
+    t = docs[text]
+    parts = F.split(t, "\n")
     blank = F.filter(F.transform(parts, lambda x, i: F.when(~x.rlike("[^\\x20\\x09-\\x0D]"), i)), lambda i: i.isNotNull())
-    rest = F.array_join(F.transform(F.array_sort(F.concat("__keep", blank)), lambda i: F.get(parts, i)), "\n")
-    gone = F.col("__keep").isNotNull()
-    n = F.coalesce(F.size(wordy), F.lit(0))
-    return rows.select(
-        *[F.when(gone, rest).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns],
-        F.greatest(n, F.lit(0)).cast("long").alias("__n_lines"),
-        F.when(gone, n - F.size("__keep")).otherwise(F.lit(0)).cast("long").alias("__n_removed"),
-    )
+    rest = F.array_join(F.transform(F.array_sort(F.concat(side["__keep"], blank)), lambda i: F.get(parts, i)), "\n")
+    gone = side["__keep"].isNotNull()
+    own = [F.when(gone, rest).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns if c not in OUTPUTS]
+    return rows.select(*own, n_wordy(t).cast("long").alias("__n_lines"), F.when(gone, n_wordy(t) - F.size(side["__keep"])).otherwise(F.lit(0)).cast("long").alias("__n_removed"))

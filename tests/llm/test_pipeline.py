@@ -59,11 +59,18 @@ def test_stages_equal_brute_force(spark, tmp_path):
 
 def test_nulls_repeats_and_extra_columns_pass_all_stages(spark, tmp_path):
     text = " ".join(f"w{i}" for i in range(80))
-    rows = [(1, text, 0), (1, text, 0), (2, None, 0), (None, text + " x", 0), (3, "", 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, __n_removed int")
+    rows = [(1, text), (1, text), (2, None), (None, text + " x"), (3, ""), (4, "a line of its own, long enough\n" + text + " y\n" + text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clashing = ["__n_removed", "__n_lines", "__own", "__keep", "__text", "component_id", "item_id", "n_words", "failure_bits", "n_shingles"]
+    wide = df.selectExpr("*", *[f"{i} AS {c}" for i, c in enumerate(clashing)])
     spark.createDataFrame([(0, "nothing of the sort is in here at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for _, stage in pipeline.STAGES[:-1]:
-        for some in (df, df.limit(0)):
-            out = stage(spark, some.drop("__n_removed").withColumnRenamed("nope", "x"), str(tmp_path))
-            assert out.count() <= some.count()
+    for name, stage in pipeline.STAGES[:-1]:
+        want = sorted(map(tuple, stage(spark, df, str(tmp_path)).collect()), key=repr)
+        got = stage(spark, wide, str(tmp_path))
+        assert got.columns == wide.columns, name
+        assert sorted((tuple(r)[:2] for r in got.collect()), key=repr) == want, name
+        assert all(tuple(r)[2:] == tuple(range(len(clashing))) for r in got.collect()), name
+        assert stage(spark, wide.limit(0), str(tmp_path)).count() == 0
+    packs = pipeline.STAGES[-1][1](spark, wide, str(tmp_path)).collect()
+    assert len({r.doc_id for r in packs}) == 5
     assert quality_rules.CURRENT in quality_rules.POLICIES and packing.CAPACITY == 4096 and decontamination.MIN_WORDS == 10
