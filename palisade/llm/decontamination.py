@@ -3,9 +3,9 @@
 Texts become lower-case words. A seed is the hash of the words that a fixed mask selects from a
 window, so substituted words at ignored positions leave it alone. Seeds of the benchmark are joined
 with those of the documents; a hit fixes a document, an item and a diagonal, and on that diagonal the
-best-scoring run of matching words (a match 1, a substitution -1.5) is the overlap. An item is found in
-a document if its overlaps match at least :data:`MIN_WORDS` of its words, or three fifths of a shorter
-item.
+best-scoring runs of matching words (a match 1, a substitution -1.5) are the overlaps: the best one, then the best
+to its left and right, for as long as they hold :data:`MIN_ITEM` matches. An item is found in a document if its
+overlaps match at least :data:`MIN_WORDS` of its words, or three fifths of a shorter item; substituted words do not count.
 
 The benchmark is a query set: it is taken in blocks of at most ``block_words`` words, each of which
 workers hold whole; every block meets all rows, and no row is shuffled.
@@ -87,16 +87,23 @@ class Seeds:
             found.append(np.stack([doc[at], item, (at - begin[doc[at]]) - (which - self.at[item])], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
-    def overlap(self, words: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int, int]:
-        """The best run on a diagonal: matches, length, first word in the item and in the document."""
+    def overlaps(self, words: np.ndarray, item: int, diagonal: int) -> Iterator[tuple[np.ndarray, int, int]]:
+        """The runs on a diagonal: item positions that match, first word in the item and in the document."""
         own = self.words[self.at[item] : self.at[item + 1]]
         a, b = max(0, -diagonal), min(len(own), len(words) - diagonal)
         same = own[a:b] == words[a + diagonal : b + diagonal]
-        total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -1.5))])
-        gain = total[1:] - np.minimum.accumulate(total[:-1])
-        end = int(gain.argmax()) + 1
-        start = int(total[:end].argmin())
-        return int(same[start:end].sum()), end - start, a + start, a + start + diagonal
+        open_ranges = [(0, b - a)]
+        while open_ranges:
+            low, high = open_ranges.pop()
+            part = same[low:high]
+            if part.sum() < MIN_ITEM:
+                continue
+            total = np.concatenate([[0.0], np.cumsum(np.where(part, 1.0, -1.5))])
+            end = int((total[1:] - np.minimum.accumulate(total[:-1])).argmax()) + 1
+            start = int(total[:end].argmin())
+            if part[start:end].sum() >= MIN_ITEM:
+                yield a + low + start + np.flatnonzero(part[start:end]), a + low + start, a + low + start + diagonal
+                open_ranges += [(low, low + start), (low + end, high)]
 
     def found_in(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(text, item, matched words, item words, first item word, first document word)."""
@@ -106,15 +113,14 @@ class Seeds:
             groups.setdefault((d, i), []).append(g)
         for (d, i), diagonals in groups.items():
             size = int(self.at[i + 1] - self.at[i])
-            covered, best = np.zeros(size, bool), (0, 0, 0, 0)
+            covered, best = np.zeros(size, bool), (0, 0, 0)
             for g in diagonals:
-                run = self.overlap(words[begin[d] : begin[d + 1]], i, g)
-                if run[0] >= MIN_ITEM:
-                    covered[run[2] : run[2] + run[1]] = True
-                    best = max(best, run)
+                for matches, own, other in self.overlaps(words[begin[d] : begin[d + 1]], i, g):
+                    covered[matches] = True
+                    best = max(best, (len(matches), own, other))
             need = min(MIN_WORDS, math.ceil(0.6 * size))
             if size >= MIN_ITEM and covered.sum() >= need and best[0] >= min(need, 6):
-                yield d, i, int(covered.sum()), size, best[2], best[3]
+                yield d, i, int(covered.sum()), size, best[1], best[2]
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, item_text: str, block_words: int) -> list[DataFrame]:
