@@ -3,7 +3,8 @@
 The network reads white-space words as byte sequences with a boundary symbol at both ends, labels every
 byte position with a distribution over languages, and a document's probabilities are the mean of those of
 all its positions. States start anew at every word, so a position's label depends on its word alone and
-a worker computes each distinct word once; long runs are cut every :data:`LONGEST` bytes.
+a worker computes each distinct word once; long runs are cut at characters, every :data:`LONGEST` bytes at most (:func:`pieces`),
+in training and in use.
 
 Training is backpropagation through time on a bounded sample: about ``max_docs`` labelled
 documents, chosen by a hash of their id, and of those the (language, word) pairs with the least hashes, at
@@ -46,6 +47,18 @@ class Direction:
     u: np.ndarray  # (HIDDEN, 3 * HIDDEN)
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A word in runs of at most :data:`LONGEST` bytes, never cut inside a character."""
+    out, at = [], 0
+    while at < len(word):
+        end = min(at + LONGEST, len(word))
+        while end < len(word) and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return out
+
+
 def _sigmoid(a: np.ndarray) -> np.ndarray:
     return np.tanh(a * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
@@ -121,7 +134,7 @@ class Network:
     def scores(self, words: list[bytes]) -> np.ndarray:
         """(words, languages): the sum over a word's positions of their probabilities."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        parts = [(i, w[k : k + LONGEST]) for i, w in enumerate(words) for k in range(0, len(w), LONGEST)]
+        parts = [(i, p) for i, w in enumerate(words) for p in pieces(w)]
         lengths = np.fromiter((len(p) for _, p in parts), np.int64, len(parts))
         for n in np.unique(lengths):
             where = np.flatnonzero(lengths == n)
@@ -138,9 +151,10 @@ def fitted(pairs: list[tuple[str, str, int]], steps: int = STEPS) -> Network | N
         return None
     langs = sorted({p[0] for p in pairs})
     net, r = Network(langs), np.random.default_rng(1)
-    words = [p[1].encode()[:LONGEST] for p in pairs]
-    labels = np.array([langs.index(p[0]) for p in pairs])
-    counts = np.minimum(np.array([p[2] for p in pairs], float), 50)
+    runs = [(langs.index(lang), piece, n) for lang, word, n in pairs for piece in pieces(word.encode())]
+    words = [piece for _, piece, _ in runs]
+    labels = np.array([lang for lang, _, _ in runs])
+    counts = 1 + np.log2(np.array([n for _, _, n in runs], float))  # frequent words weigh more, but do not drown the rest
     share = np.bincount(labels, counts, len(langs))
     weights = (counts.sum() / len(langs) / share)[labels].astype(np.float32)
     lengths = np.array([len(w) for w in words])
