@@ -1,4 +1,4 @@
-"""Command line: scan, baseline-create, baseline-check, import-hashes. Exit codes: 0 ok, 1 findings, 2 usage, 3 error, 4 conflict."""
+"""Command line: scan, baseline-create, baseline-update, baseline-check, import-hashes. Exit codes: 0 ok, 1 findings, 2 usage, 3 error, 4 conflict."""
 
 from __future__ import annotations
 
@@ -6,9 +6,14 @@ import argparse
 import json
 import sys
 
-from palisade.config import ConfigError, ScanConfig
-from palisade.operators import baseline, hashdb, report
-from palisade.operators.findings import scanned
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from palisade.config import DEFAULT_EXCLUDES, ConfigError, ScanConfig
+from palisade.operators import baseline, hashdb, report, tables, whitelist
+from palisade.operators.findings import has_risk, scanned
+from palisade.operators.rules import RULES, external_rules
+from palisade.operators.urls import normal_domain
 from palisade.sources import sitefiles, stores
 
 
@@ -23,7 +28,7 @@ class Parser(argparse.ArgumentParser):
 
 def parser() -> Parser:
     p = Parser(prog="palisade", allow_abbrev=False)
-    p.add_argument("command", choices=["scan", "baseline-create", "baseline-check", "import-hashes"])
+    p.add_argument("command", choices=["scan", "baseline-create", "baseline-update", "baseline-check", "import-hashes"])
     p.add_argument("--document-root", default="")
     p.add_argument("--scan-path", action="append", default=[])
     p.add_argument("--exclude", action="append", default=[])
@@ -32,12 +37,10 @@ def parser() -> Parser:
     p.add_argument("--action", default="report")
     p.add_argument("--batch-size", default="50")
     p.add_argument("--max-file-mb", default="100")
-    for flag in ("force", "entropy", "no-entropy", "no-ast", "no-urls", "no-prefilter", "execute", "json"):
+    for flag in ("force", "entropy", "no-entropy", "no-ast", "no-urls", "no-prefilter", "execute", "json", "no-default-excludes"):
         p.add_argument(f"--{flag}", action="store_true")
-    p.add_argument("--report", default="")
-    p.add_argument("--baseline", default="")
-    p.add_argument("--feed", default="")
-    p.add_argument("--hash-db", default="")
+    for option in ("report", "baseline", "feed", "hash-db", "hash-prefixes", "domains", "signatures", "whitelist", "suppressions", "agents", "handlers", "modules", "quarantine"):
+        p.add_argument(f"--{option}", default="")
     return p
 
 
@@ -46,8 +49,12 @@ def config_of(a) -> ScanConfig:
         raise Usage("cli_conflicting_flags:entropy")
     if a.action in ("quarantine", "delete") and a.execute and not a.force:
         raise Usage("cli_destructive_action_requires_force")
+    if a.action in ("quarantine", "delete") and a.execute and not a.quarantine:
+        raise Usage("cli_missing_value:quarantine")
+    root = a.document_root.rstrip("/")
+    excludes = [] if a.no_default_excludes else [root + e for e in DEFAULT_EXCLUDES]
     return ScanConfig.of(
-        document_root=a.document_root, scan_paths=a.scan_path, exclude_paths=a.exclude, scan_profile=a.scan_profile, profile=a.profile, action=a.action, batch_size=a.batch_size, max_file_mb=a.max_file_mb,
+        document_root=a.document_root, scan_paths=a.scan_path, exclude_paths=excludes + a.exclude, scan_profile=a.scan_profile, profile=a.profile, action=a.action, batch_size=a.batch_size, max_file_mb=a.max_file_mb,
         dry_run=not a.execute, entropy=a.entropy, entropy_off=a.no_entropy, ast=not a.no_ast, urls=not a.no_urls, prefilter=not a.no_prefilter,
     )
 
@@ -58,6 +65,71 @@ def session():
     return SparkSession.builder.appName("palisade").getOrCreate()
 
 
+def table(spark, path: str):
+    """A JSON-lines or Parquet table."""
+    return spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+
+
+def known_hashes(spark, a, files):
+    """Findings of the hash database, or its warning for every file if it cannot be read; None without one."""
+    if not a.hash_db:
+        return None
+    if not a.hash_db.endswith(".json"):
+        return hashdb.hash_findings(hashdb.matches(files, hashdb.database(spark.read.parquet(a.hash_db))))
+    try:
+        items = [(i, *(x.get(k) for k in ("hash", "name", "family", "category", "severity"))) for i, x in enumerate(stores.read_items(a.hash_db)) if isinstance(x, dict)]
+        index = [(str(x),) for x in stores.read_items(a.hash_prefixes, "prefixes")] if a.hash_prefixes else []
+    except stores.StoreError as e:
+        return hashdb.warning_findings(files, str(e))
+    db = hashdb.database(spark.createDataFrame(items, "ord long, hash string, name string, family string, category string, severity string"))
+    return hashdb.hash_findings(hashdb.matches(files, db, spark.createDataFrame(index, "prefix string") if index else None, len(index[0][0]) if index else 8))
+
+
+def domain_list(spark, path: str):
+    if not path:
+        return None
+    items = [x if isinstance(x, dict) else {"domain": x} for x in stores.read_items(path)]
+    rows = [(i, x.get("domain"), x.get("severity") or "critical", x.get("tags") or []) for i, x in enumerate(items)]
+    return spark.createDataFrame(rows, "ord long, domain string, severity string, tags array<string>").withColumn("domain", normal_domain(F.col("domain"))).where("domain <> ''")
+
+
+def scan(spark, a, config: ScanConfig):
+    """Results of files and, where given, of agents and handlers, whitelisted and suppressed."""
+    files = sitefiles.read(spark, config).where("content IS NOT NULL").select("path", "content")
+    rules = list(RULES)
+    if a.signatures:
+        with open(a.signatures, errors="replace") as f:
+            rules += external_rules(f.read())
+    columns = ["file_path", "file_hash", "normalized_hash", "findings", "score", "severity", "status", "tags"]
+    res = scanned(files, config, rules, hash_findings=known_hashes(spark, a, files), domains=domain_list(spark, a.domains), code=config.ast).select(columns)
+    modules = table(spark, a.modules) if a.modules else None
+    none = F.lit(None).cast("string")
+    if a.agents:
+        res = res.unionByName(tables.scan_agents(table(spark, a.agents), modules, config).select(columns))
+    if a.handlers:
+        found = tables.scan_handlers(table(spark, a.handlers), modules, files, config)
+        res = res.unionByName(found.withColumn("normalized_hash", none).select(columns))
+    if a.whitelist:
+        res = whitelist.whitelisted(res, stores.Rules(a.whitelist).all(), config).select(columns)
+    if a.suppressions:
+        res = whitelist.suppressed(res, stores.Suppressions(a.suppressions).frame(spark), config).select(columns)
+    state, planned = whitelist.planned_action(F.col("status"), has_risk(F.col("findings")), config.action, config.dry_run)
+    return res.withColumns({"action_status": state, "planned_action": planned})
+
+
+def act(res, a, config: ScanConfig) -> dict[str, int]:
+    """Move or delete the files of pending results, one after the other: each at most once, whatever tasks repeat."""
+    done = {"applied": 0, "failed": 0}
+    store = stores.Quarantine(a.quarantine, config.document_root)
+    for r in res.where("action_status = 'pending' AND NOT file_path LIKE 'bitrix-db://%'").select("file_path").toLocalIterator():
+        try:
+            store.take(r["file_path"], "scan", delete=config.action == "delete")
+            done["applied"] += 1
+        except (OSError, stores.StoreError):
+            done["failed"] += 1
+    return done
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     try:
         a = parser().parse_args(argv)
@@ -71,28 +143,33 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             items.write.mode("overwrite").parquet(a.hash_db)
             print(json.dumps(counters.first().asDict()))
             return 0
-        files = sitefiles.read(spark, config).where("content IS NOT NULL")
-        if a.command == "baseline-create":
-            baseline.snapshot(files, config).write.mode("overwrite" if a.force else "errorifexists").parquet(a.baseline)
+        if a.command.startswith("baseline"):
+            files = sitefiles.read(spark, config).where("content IS NOT NULL")
+            if a.command == "baseline-check":
+                res = baseline.results(baseline.difference(spark.read.parquet(a.baseline), baseline.snapshot(files, config)), config)
+                got = baseline.counts(res).first().asDict()
+                print(json.dumps(got))
+                return 1 if got["findings_total"] else 0
+            if a.command == "baseline-update":
+                spark.read.parquet(a.baseline).schema  # there must be one
+            replace = a.force or a.command == "baseline-update"
+            baseline.snapshot(files, config).write.mode("overwrite" if replace else "errorifexists").parquet(a.baseline)
             return 0
-        if a.command == "baseline-check":
-            res = baseline.results(baseline.difference(spark.read.parquet(a.baseline), baseline.snapshot(files, config)), config)
-            got = baseline.counts(res).first().asDict()
-            print(json.dumps(got))
-            return 1 if got["findings_total"] else 0
-        known = hashdb.hash_findings(hashdb.matches(files, hashdb.database(spark.read.parquet(a.hash_db)))) if a.hash_db else None
-        res = scanned(files.select("path", "content"), config, hash_findings=known, code=config.ast)
+        config.confined()
+        res = scan(spark, a, config)
         if a.report:
             res.write.mode("overwrite").json(a.report)
             res = spark.read.schema(res.schema).json(a.report)
         got = report.summary(res).first().asDict()
+        if config.action != "report" and not config.dry_run:
+            got |= act(res, a, config)
         print(json.dumps(got))
-        return report.exit_code(got["found_total"], got["runtime_errors_total"])
+        return report.exit_code(got["found_total"], got["runtime_errors_total"] + got.get("failed", 0))
     except (Usage, ConfigError) as e:
         code = str(e)
         print(code, file=sys.stderr)
         return 4 if code == "scan_already_running" else 3 if code.startswith("scan_path") else 2
-    except (OSError, stores.StoreError) as e:
+    except (OSError, stores.StoreError, AnalysisException) as e:
         print(e, file=sys.stderr)
         return 3
 

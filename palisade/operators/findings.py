@@ -100,34 +100,45 @@ def summed(df: DataFrame, config: ScanConfig = ScanConfig(), existing_tags: str
     return df.withColumn("status", verdict(F.col("score"), config.thresholds)).withColumn("tags", result_tags(F.col("file_path"), F.col("findings"), F.col(existing_tags) if existing_tags else None))
 
 
-def scanned(files: DataFrame, config: ScanConfig = ScanConfig(), rules=RULES, hash_findings: DataFrame | None = None, domains: DataFrame | None = None, code: bool = False, paths: bool = True) -> DataFrame:
-    """Verdicts of ``files(path, content)``: a row for each, with all findings in analyzer order.
+def fenced(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: what stands above reads them, and does not copy their expressions."""
+    own = [c for c in df.columns if c not in values]
+    row = F.struct(*[v.alias(k) for k, v in values.items()])
+    return df.select(*own, F.explode(F.array(row)).alias("__row")).select(*own, "__row.*")
 
-    Map-only unless a hash or domain list is given; ``code`` adds the source-code analyzers."""
+
+def scanned(files: DataFrame, config: ScanConfig = ScanConfig(), rules=RULES, hash_findings: DataFrame | None = None, domains: DataFrame | None = None, code: bool = False, paths: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Verdicts of ``files(path, content)``: a row for each, with all findings in analyzer order, and the columns ``keep``.
+
+    Map-only unless a hash or domain list is given; those meet findings by path when the content has been
+    left behind. ``code`` adds the source-code analyzers."""
     from palisade.operators.code import with_code_findings
 
-    df = files.select("path", "content")
-    if config.urls:
-        df = df.withColumn("__u", url_info(F.col("content")))
-    if domains is not None and config.urls:
-        found = match_domains(df.where("__u IS NOT NULL").select("path", F.col("__u.domain").alias("domain")), domains)
-        df = df.join(found, "path", "left")
-    if hash_findings is not None and config.hash_db:
-        df = df.join(hash_findings, "path", "left")
+    df = files.select("path", "content", *keep)
     if code and config.ast:
         df = with_code_findings(df, config)
     p, c = F.col("path"), F.col("content")
-    parts = [rule_findings(p, c, [r for r in rules if r.pattern is None], paths=paths)]
-    if hash_findings is not None and config.hash_db:
-        parts.append(F.coalesce(F.col("hash_findings"), no_findings()))
-    parts.append(rule_findings(p, c, [r for r in rules if r.pattern is not None], config.prefilter))
+    after = [rule_findings(p, c, [r for r in rules if r.pattern is not None], config.prefilter)]
     if code and config.ast:
-        parts.append(F.when(extension(p).isin(AST_EXTENSIONS) & (F.octet_length(c) <= config.ast_max_bytes), F.col("code_findings")).otherwise(no_findings()))
-    parts.append(htaccess_findings(p, c))
+        after.append(F.when(extension(p).isin(AST_EXTENSIONS) & (F.octet_length(c) <= config.ast_max_bytes), F.col("code_findings")).otherwise(no_findings()))
+    after.append(htaccess_findings(p, c))
     if config.entropy_enabled():
-        parts.append(entropy_findings(p, c, config.entropy_min_length, config.entropy_threshold, config.entropy_window))
+        after.append(entropy_findings(p, c, config.entropy_min_length, config.entropy_threshold, config.entropy_window))
+    parts = {"__before": rule_findings(p, c, [r for r in rules if r.pattern is None], paths=paths).cast(FINDINGS), "__after": F.concat(*[x.cast(FINDINGS) for x in after])}
+    if config.urls:
+        parts["__u"] = url_info(c)
+    df = fenced(df.withColumns({"file_hash": file_hash(c), "normalized_hash": normalized_hash(c, config)}), **parts).drop("content", "code_findings")
+    if domains is not None and config.urls:
+        seen = files.select("path", url_info(F.col("content")).alias("__u")).where("__u IS NOT NULL").select("path", F.col("__u.domain").alias("domain"))
+        df = df.join(match_domains(seen, domains), "path", "left")
+    known = [F.col("__before")]
+    if hash_findings is not None and config.hash_db:
+        df = df.join(hash_findings, "path", "left")
+        known.append(F.coalesce(F.col("hash_findings"), no_findings()).cast(FINDINGS))
+    known.append(F.col("__after"))
     if config.urls:
-        parts.append(url_findings(p, F.col("__u"), F.col("match") if domains is not None else None))
-    df = df.select(p.alias("file_path"), file_hash(c).alias("file_hash"), normalized_hash(c, config).alias("normalized_hash"), F.concat(*[x.cast(FINDINGS) for x in parts]).alias("findings"))
-    df = df.withColumn("findings", tagged(deduped(F.col("findings")), F.col("file_path"), config.document_root))
+        known.append(url_findings(p, F.col("__u"), F.col("match") if domains is not None else None).cast(FINDINGS))
+    df = df.select(p.alias("file_path"), "file_hash", "normalized_hash", *keep, F.concat(*known).alias("findings"))
+    df = fenced(df, findings=deduped(F.col("findings")))
+    df = fenced(df, findings=tagged(F.col("findings"), F.col("file_path"), config.document_root))
     return summed(df, config)

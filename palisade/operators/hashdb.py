@@ -50,6 +50,15 @@ def hash_findings(found: DataFrame) -> DataFrame:
     return found.select("path", some(f).alias("hash_findings"))
 
 
+def warning_findings(files: DataFrame, message: str) -> DataFrame:
+    """(path, hash_findings): what every file gets when the database cannot be read; no risk by itself."""
+    f = finding(
+        "hash_db_runtime_warning", name="Hash database runtime warning", category="hash_db", severity="info", score=0, excerpt=F.lit(message), target="hash_db", rule_type="hash_db", file=F.col("path"), type="runtime_warning",
+        source="hash_database", trace=F.to_json(F.struct(F.lit(message).alias("warning"))), tags=F.array(F.lit("engine:hash_db")),
+    )
+    return files.select("path", some(f).alias("hash_findings"))
+
+
 def import_feed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From feed rows (ord, hash, name, family, category, severity, tags): (items in hash order, counters).
 

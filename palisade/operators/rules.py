@@ -47,7 +47,7 @@ RULES = (
     _r("php_obfuscation_helpers", "php_obfuscation", "medium", 2, r"\b(gzinflate|gzuncompress|str_rot13)\s*\(", "gzinflate gzuncompress str_rot13", PHPX),
     _r("php_hex_pack", "php_obfuscation", "medium", 3, r"""\bpack\s*\(\s*["']H\*["']""", "pack H*", PHPX, "all"),
     _r("php_request_callable", "webshell_behavior", "high", 6, r"\$_(GET|POST|REQUEST|COOKIE)\s*\[[^\]]+\]\s*\(", "$_GET $_POST $_REQUEST $_COOKIE", PHPX),
-    _r("php_dangerous_include_from_request", "filesystem_abuse", "high", 6, r"\b(include|require|include_once|require_once)\s*\(?\s*\$_(GET|POST|REQUEST|COOKIE)", "$_GET $_POST $_REQUEST $_COOKIE", PHPX),
+    _r("php_dangerous_include_from_request", "filesystem_abuse", "high", 6, r"\b(include|require|include_once|require_once)\s*\(?\s*\$_(GET|POST|REQUEST|COOKIE)", "include require include_once require_once", PHPX),
     _r("php_input_write", "webshell_behavior", "high", 6, r"""file_put_contents\s*\(\s*["']php:\/\/input["']\s*,""", "file_put_contents php://input", PHPX, "all"),
     _r("php_wrapper_filter", "filesystem_abuse", "high", 5, r"php:\/\/filter", "php://filter", [*PHPX, "txt"]),
     _r("php_preg_replace_eval", "php_code_execution", "high", 5, r"""preg_replace\s*\(\s*['"].*\/e['"]\s*,""", "preg_replace", PHPX),

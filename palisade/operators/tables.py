@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.config import ScanConfig
 from palisade.functions.hashes import collapsed
 from palisade.functions.paths import lowered
-from palisade.operators.findings import deduped, has_risk, scanned, summed, tagged, with_fields
+from palisade.operators.findings import deduped, fenced, has_risk, scanned, summed, tagged, with_fields
 from palisade.operators.rules import java_pattern
 from palisade.schema import FINDINGS, finding, no_findings, severity_of, some, weight
 
@@ -81,18 +81,17 @@ def agent_findings(name: Column, module: Column, active: Column, installed: Colu
 
 
 def scan_agents(agents: DataFrame, modules: DataFrame | None = None, config: ScanConfig = ScanConfig(), code: bool = True) -> DataFrame:
-    """Results of agents with findings: heuristics first, then the analyzers on each agent's code."""
-    rows = with_installed(strings(agents, AGENT), "MODULE_ID", modules)
-    rows = rows.withColumn("file_path", virtual_path("b_agent", F.col("ID"))).withColumn("content", F.concat(F.lit("<?php\n"), F.rtrim("NAME"), F.lit(";\n")))
+    """Results of agents with findings: those of the analyzers on each agent's code, then the heuristics on its row.
+    An agent without a name has no result. One pass: an agent's columns stay in its row."""
+    rows = with_installed(strings(agents, AGENT), "MODULE_ID", modules).where(F.trim("NAME") != "")
+    rows = rows.withColumn("path", F.concat(virtual_path("b_agent", F.col("ID")), F.lit(".php"))).withColumn("content", F.concat(F.lit("<?php\n"), F.rtrim("NAME"), F.lit(";\n")))
     trace = F.to_json(F.struct(F.lit("b_agent").alias("table"), F.col("ID").alias("id"), F.col("MODULE_ID").alias("module_id"), F.col("ACTIVE").alias("active"), F.col("NEXT_EXEC").alias("next_exec"), F.lit("").alias("last_exec")))
-    rows = rows.withColumn("own", agent_findings(F.col("NAME"), F.col("MODULE_ID"), F.col("ACTIVE"), F.col("installed"), trace))
-    inner = scanned(rows.select(F.concat("file_path", F.lit(".php")).alias("path"), "content"), config, code=code, paths=False)
-    inner = inner.select(F.regexp_replace("file_path", "\\.php$", "").alias("file_path"), F.col("findings").alias("__code"), "normalized_hash", "file_hash")
-    decorated = F.transform("__code", lambda f: with_fields(f, target=F.lit("db_agent"), source=F.lit("b_agent.NAME"), tags=F.array_union(F.coalesce(f["tags"], F.array().cast("array<string>")), F.array(*map(F.lit, AGENT_TAGS))), trace=F.to_json(F.struct(f["trace"].alias("detector_trace"), f["target"].alias("detector_target"), F.lit("b_agent").alias("table")))))
-    df = rows.drop("content").join(inner, "file_path")
-    df = df.select("ID", "file_path", "file_hash", "normalized_hash", F.concat("own", decorated.cast(FINDINGS)).alias("findings")).where(F.size("findings") > 0)
-    df = df.withColumn("findings", tagged(deduped(F.col("findings")), F.col("file_path"), config.document_root))
-    return summed(df, config)
+    rows = fenced(rows, own=agent_findings(F.col("NAME"), F.col("MODULE_ID"), F.col("ACTIVE"), F.col("installed"), trace).cast(FINDINGS))
+    df = scanned(rows, config, code=code, paths=False, keep=("ID", "own")).withColumn("file_path", F.regexp_replace("file_path", "\\.php$", ""))
+    no_tags = F.array().cast("array<string>")
+    decorated = F.transform("findings", lambda f: with_fields(f, target=F.lit("db_agent"), source=F.lit("b_agent.NAME"), tags=F.array_union(F.coalesce(f["tags"], no_tags), F.array(*map(F.lit, AGENT_TAGS))), trace=F.to_json(F.struct(f["trace"].alias("detector_trace"), f["target"].alias("detector_target"), F.lit("b_agent").alias("table")))))
+    df = fenced(df.select("ID", "file_path", "file_hash", "normalized_hash", "own", "findings"), findings=deduped(F.concat(decorated.cast(FINDINGS), F.col("own")))).drop("own").where(F.size("findings") > 0)
+    return summed(fenced(df, findings=tagged(F.col("findings"), F.col("file_path"), config.document_root)), config)
 
 
 def handler_excerpt() -> Column:

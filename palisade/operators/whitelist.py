@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.config import ScanConfig, normal_path
 from palisade.functions.paths import lowered
-from palisade.operators.findings import summed
+from palisade.operators.findings import fenced, summed
 from palisade.operators.rules import java_pattern
 
 #: A rule is a dict: id, type (path, path_regex, hash, signature, file_signature) and what it needs of path, pattern, hash, signature_id.
@@ -62,20 +62,29 @@ def matched_rule(rules: list[dict], path: Column, file_hash: Column, signature:
 def whitelisted(results: DataFrame, rules: list[dict], config: ScanConfig = ScanConfig()) -> DataFrame:
     """``results`` with kept findings, ``ignored`` (struct of finding and rule id) and sums anew; tags never shrink."""
     with_rule = F.transform("findings", lambda f: F.struct(f.alias("finding"), matched_rule(rules, F.col("file_path"), F.col("file_hash"), f["signature_id"]).alias("rule_id")))
-    df = results.withColumn("__all", with_rule).withColumn("__tags", F.col("tags"))
-    df = df.withColumn("ignored", F.filter("__all", lambda x: x["rule_id"].isNotNull()))
-    df = df.withColumn("findings", F.transform(F.filter("__all", lambda x: x["rule_id"].isNull()), lambda x: x["finding"]))
-    return _again(df, config)
+    df = fenced(results.withColumn("__tags", F.col("tags")), __all=with_rule)
+    ignored = F.filter("__all", lambda x: x["rule_id"].isNotNull())
+    return _again(fenced(df, ignored=ignored, findings=F.transform(F.filter("__all", lambda x: x["rule_id"].isNull()), lambda x: x["finding"])), config)
+
+
+#: Suppressed fingerprints that are tested within a row; longer lists are joined.
+IN_ROW = 1000
 
 
 def suppressed(results: DataFrame, fingerprints: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """Findings whose fingerprint is in ``fingerprints(fingerprint)`` are set aside. An equi-join of exploded
-    fingerprints, so the list may be of any size."""
-    marks = results.select("file_path", F.explode(F.transform("findings", lambda f: f["fingerprint"])).alias("fingerprint")).distinct()
-    hit = marks.join(fingerprints.select("fingerprint").distinct(), "fingerprint", "left_semi").groupBy("file_path").agg(F.collect_set("fingerprint").alias("__gone"))
-    df = results.join(hit, "file_path", "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<string>"))).withColumn("__tags", F.col("tags"))
-    df = df.withColumn("ignored", F.filter("findings", lambda f: F.array_contains("__gone", f["fingerprint"])))
-    df = df.withColumn("findings", F.filter("findings", lambda f: ~F.array_contains("__gone", f["fingerprint"])))
+    """Findings whose fingerprint is in ``fingerprints(fingerprint)`` are set aside. A list of at most :data:`IN_ROW`
+    goes to every row; a longer one meets the exploded fingerprints in an equi-join."""
+    marks = fingerprints.select("fingerprint").where("fingerprint IS NOT NULL").distinct()
+    few = marks.limit(IN_ROW + 1).collect()
+    if len(few) <= IN_ROW:
+        gone = F.array(*[F.lit(r["fingerprint"]) for r in few]).cast("array<string>")
+        df = results.withColumn("__gone", gone)
+    else:
+        own = results.select("file_path", F.explode(F.transform("findings", lambda f: f["fingerprint"])).alias("fingerprint")).distinct()
+        hit = own.join(marks, "fingerprint", "left_semi").groupBy("file_path").agg(F.collect_set("fingerprint").alias("__gone"))
+        df = results.join(hit, "file_path", "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<string>")))
+    hit = lambda f: F.array_contains("__gone", f["fingerprint"])
+    df = fenced(df.withColumn("__tags", F.col("tags")), ignored=F.filter("findings", hit), findings=F.filter("findings", lambda f: ~hit(f)))
     return _again(df.drop("__gone"), config)
 
 

@@ -158,6 +158,20 @@ def read_feed(path: str) -> list[dict]:
     return [{"ord": i, **r, "hash": r.get("hash") or r.get("sha256")} for i, r in enumerate(rows)]
 
 
+def read_items(path: str, key: str = "items") -> list:
+    """The list of a JSON database: hash items, hash prefixes or suspicious domains."""
+    try:
+        with open(path) as f:
+            got = json.load(f)
+    except OSError:
+        raise StoreError("database_not_readable") from None
+    except ValueError:
+        raise StoreError("database_json_invalid") from None
+    if not isinstance(got, dict) or not isinstance(got.get(key), list):
+        raise StoreError("database_format_invalid")
+    return got[key]
+
+
 def allowed_feed_url(url: str, hosts: tuple[str, ...] = ()) -> bool:
     """Only https on the listed hosts, or a local file; nothing is fetched here."""
     m = re.fullmatch(r"https://([^/:@]+)(/[^?#]*)", url)

@@ -163,13 +163,15 @@ def test_tables(spark):
     modules = spark.createDataFrame([("main",)], "module_id string")
     got = {r.ID: [f.signature_id for f in r.findings] for r in tables.scan_agents(agents, modules).collect()}
     assert set(got) == {"2", "3", "4"} and got["4"] == ["bitrix_agent_unknown_module"]
-    assert got["2"][:2] == ["bitrix_agent_encoded_payload", "bitrix_agent_dangerous_php_execution"] and "bitrix_agent_request_to_sink" in got["3"]
+    assert got["2"][-2:] == ["bitrix_agent_encoded_payload", "bitrix_agent_dangerous_php_execution"] and got["2"][0].startswith("php_") and "bitrix_agent_request_to_sink" in got["3"]
     rows = [("1", "main", "OnCustom", "main", "CFoo", "run", "1"), ("2", "main", "OnProlog", "gone", "CFoo", "bar", "1"), ("3", "main", "OnX", "main", "", "shell_exec", "1"), ("4", "main", "OnX", "", "CEvil", "go", "1")]
     handlers = spark.createDataFrame(rows, "ID string, FROM_MODULE_ID string, MESSAGE_ID string, TO_MODULE_ID string, TO_CLASS string, TO_METHOD string, SORT string")
     files = frame(spark, {"/s/local/php_interface/init.php": "<?php class CEvil { function go() {} } eval($_POST['a']);"})
     out = {r.ID: r for r in tables.scan_handlers(handlers, modules, files, ScanConfig.of(document_root="/s")).collect()}
     assert set(out) == {"2", "3", "4"} and (out["2"].score, out["2"].severity) == (7, "high")
     assert [f.signature_id for f in out["4"].findings] == ["bitrix_event_empty_module", "bitrix_event_handler_file_suspicious", "bitrix_event_request_to_sink"]
+    twice = spark.createDataFrame([("7", "main", "eval($x);", "Y"), ("7", "main", "shell_exec($x);", "Y"), ("8", "", "  ", "Y"), ("9", "gone", None, "Y")], agents.schema)
+    assert sorted((r.ID, r.findings[-1].excerpt[:4]) for r in tables.scan_agents(twice, modules).collect()) == [("7", "eval"), ("7", "shel")]
     unknown = tables.scan_agents(agents, None).collect()
     assert {r.ID for r in unknown} == {"2", "3"}
 
@@ -266,3 +268,32 @@ def test_cli_exit_codes(spark, site, tmp_path, capsys):
     assert cli.main(["baseline-check", "--document-root", str(site), "--baseline", base], spark) == 0
     (site / "new.php").write_text("<?php")
     assert cli.main(["baseline-check", "--document-root", str(site), "--baseline", base], spark) == 1
+
+
+def test_cli_lists_and_actions(spark, site, tmp_path, capsys):
+    import hashlib
+    import json
+
+    def put(name, value):
+        (tmp_path / name).write_text(value if isinstance(value, str) else json.dumps(value))
+        return str(tmp_path / name)
+
+    def run(*args):
+        code = cli.main(["scan", "--document-root", str(site), *args], spark)
+        return code, json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    capsys.readouterr()
+    code, plain = run("--action", "delete")  # dry
+    assert code == 1 and (site / "a.php").exists()
+    digest = hashlib.sha256((site / "lib/z.js").read_bytes()).hexdigest()
+    known = put("hashes.json", {"items": [{"hash": digest, "name": "M"}]})
+    agents = put("agents.json", '{"ID": "1", "MODULE_ID": "main", "NAME": "eval($_POST[1]);", "ACTIVE": "Y", "NEXT_EXEC": ""}')
+    more = run("--hash-db", known, "--agents", agents)[1]
+    assert more["findings_total"] > plain["findings_total"] + 1 and more["processed_total"] == plain["processed_total"] + 1
+    warned = run("--hash-db", put("broken.json", "{"))[1]
+    assert warned["found_total"] == plain["found_total"] and warned["informational_total"] > plain["informational_total"]
+    rules = put("rules.json", {"rules": [{"id": "r", "type": "path_regex", "pattern": ".*", "active": True}]})
+    doing = ("--action", "delete", "--execute", "--force", "--quarantine", str(tmp_path / "q"))
+    assert run(*doing, "--whitelist", rules)[1]["applied"] == 0 and (site / "a.php").exists()
+    got = run(*doing)[1]
+    assert got["applied"] == got["found_total"] > 0 and not got["failed"] and not (site / "a.php").exists()
