@@ -406,10 +406,11 @@ _RULES = {
 
 
 def rule_scan(spark, sf):
-    from palisade.operators.findings import summed, tagged
+    from palisade.operators.findings import fenced, summed, tagged
 
-    df = files(spark, sf).select(F.col("path").alias("file_path"), file_hash(F.col("content")).alias("file_hash"), tagged(rule_findings(F.col("path"), F.col("content")), F.col("path"), "/site").alias("findings"))
-    return summed(df)
+    df = files(spark, sf).select(F.col("path").alias("file_path"), file_hash(F.col("content")).alias("file_hash"), "content")
+    df = fenced(df, findings=rule_findings(F.col("file_path"), F.col("content"))).drop("content")
+    return summed(fenced(df, findings=tagged(F.col("findings"), F.col("file_path"), "/site")))
 
 
 for _k, (_rule, _cond) in _RULES.items():
@@ -427,7 +428,10 @@ for _k, (_rule, _cond) in _RULES.items():
 _HASHED = O.TEMPLATES[3][2]
 
 
-@query("whitelist_hash")
+@query(
+    "whitelist_hash",
+    sql_all_rules() + ", one AS (SELECT sha256(content) AS h FROM files WHERE doc_id = 3), marked AS (SELECT path FROM files WHERE sha256(content) = (SELECT h FROM one)) SELECT path AS file_path, count(*)::INT AS n_ignored, 0::INT AS score FROM found WHERE path IN (SELECT path FROM marked) GROUP BY path",
+)
 def q_white_hash(spark, sf):
     one = files(spark, sf).where("doc_id = 3").select(F.sha2("content", 256)).first()[0]
     df = whitelist.whitelisted(rule_scan(spark, sf), [{"id": "w5", "type": "hash", "hash": one}]).where(F.size("ignored") > 0)

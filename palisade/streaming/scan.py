@@ -17,11 +17,13 @@ from palisade.sources import sitefiles
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
+    """A folder that driver and executors share; a temporary one on a local master alone."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ConfigError("spark.checkpoint.dir is not set")
         base = "file://" + tempfile.mkdtemp(prefix="palisade-stream-")
     return f"{base.rstrip('/')}/scan-{uuid.uuid4().hex[:12]}"
 
