@@ -42,10 +42,10 @@ TOKEN_LIMIT = 1024
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte-level BPE tokens of every whole document, from its prefix table."""
+    """Byte-level BPE tokens of every whole document, with the prefix table that they come from."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = token_counts.with_counts(docs, table=False)
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+    counted = token_counts.with_counts(docs)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "prefix_deltas")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
