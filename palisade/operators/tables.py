@@ -24,6 +24,8 @@ METHOD = r"\b(eval|assert|system|exec|shell_exec|passthru|proc_open)\b"
 CRITICAL_EVENTS = "OnPageStart OnBeforeProlog OnProlog OnEpilog OnBeforeUserLogin OnAfterUserLogin OnBeforeUserRegister OnAfterUserRegister OnBeforeIBlockElementAdd OnBeforeIBlockElementUpdate OnSaleOrderSaved OnBeforeEventSend OnBeforeMailSend".lower().split()
 AGENT = ("ID", "MODULE_ID", "NAME", "ACTIVE", "NEXT_EXEC")
 HANDLER = ("ID", "FROM_MODULE_ID", "MESSAGE_ID", "TO_MODULE_ID", "TO_CLASS", "TO_METHOD", "SORT")
+#: Every handler meets the start-up files, so these go to as many shares of the handlers.
+INIT_SHARES = 16
 AGENT_TAGS = ("entity:db_agent", "engine:bitrix_db", "risk:persistence")
 
 
@@ -128,9 +130,10 @@ def resolved(handlers: DataFrame, files: DataFrame, document_root: str = "") ->
     inits = [f"{root}/{p}/php_interface/init.php" for p in ("local", "bitrix")]
     p = lowered(F.col("path"))
     pattern = f"^{root}/(?:local|bitrix)/modules/([^/]+)/(?:include\\.php|lib/.*\\.php)$"
-    keyed = files.withColumn("__k", F.when(p.isin(*inits), F.lit("init")).otherwise(F.nullif(F.regexp_extract(p, pattern, 1), F.lit("")))).where("__k IS NOT NULL")
+    shares = F.array(*[F.lit(f"init {i}") for i in range(INIT_SHARES)])
+    keyed = files.withColumn("__k", F.explode(F.when(p.isin(*inits), shares).otherwise(F.array_compact(F.array(F.nullif(F.regexp_extract(p, pattern, 1), F.lit("")))))))
     safe = F.trim("TO_MODULE_ID").rlike("^[a-zA-Z0-9_.-]+$")
-    wanted = handlers.withColumn("__k", F.explode(F.array_compact(F.array(F.lit("init"), F.when(safe, F.lower(F.trim("TO_MODULE_ID")))))))
+    wanted = handlers.withColumn("__k", F.explode(F.array_compact(F.array(F.concat(F.lit("init "), F.pmod(F.xxhash64("ID"), F.lit(INIT_SHARES)).cast("string")), F.when(safe, F.lower(F.trim("TO_MODULE_ID")))))))
     cls, method = F.regexp_extract(F.trim("TO_CLASS"), "([^\\\\]*)$", 1), F.trim("TO_METHOD")
     ident = "^[A-Za-z_][A-Za-z0-9_]*$"
     has_class = F.expr("regexp_like(content, concat('(?i)(?<![A-Za-z0-9_])(?:class|trait)\\\\s+', __c, '(?![A-Za-z0-9_])'))")
