@@ -300,13 +300,13 @@ def measured(pairs: DataFrame, grams: DataFrame, sent) -> DataFrame:
 
 
 def spanning(regions: DataFrame, labels: DataFrame, name: str = "regions") -> DataFrame:
-    """Regions (s, x, home, mixed, link, pc) as (s, x, c, a, m, n, inner): with the component c of x, whether x is in the
+    """Regions (s, x, home, mixed, link, pc and, if known, c) as (s, x, c, a, m, n, inner): with the component c of x, whether x is in the
     region's cover, the sizes of region and cover, and whether pairs inside the cover matter. ``pc`` is the component of the
     cell's pivot.
 
     Left out are regions inside one component, those without a member whose home the cell is (its links
     are found in other cells), and mixed ones whose members are all linked to the pivot or all not."""
-    named = regions.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("c", F.coalesce("label", "x"))
+    named = regions if "c" in regions.columns else regions.join(labels.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("c", F.coalesce("label", "x"))
     sides = {"home": F.col("home"), "out": F.coalesce(F.col("c") != F.col("pc"), F.lit(True)), "link": F.col("link"), "rest": ~F.col("link")}
     rows = staged(named.select("s", "x", "c", "mixed", *[v.alias(k) for k, v in sides.items()]), f"{name}-labelled")
     wide = rows.groupBy("s").agg(F.min("c").alias("__a"), F.max("c").alias("__b"), F.count("*").alias("m"), F.bool_or("mixed").alias("mixed"), *[F.count_if(k).alias(k) for k in sides])
@@ -411,8 +411,8 @@ def _grouped(own: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
             inside = staged(inside.join(parent, "p", "left").withColumn("pc", F.coalesce("pc", "p")), "cell-members")
             wide = spanning(inside.select(F.col("p").alias("s"), "x", "home", F.lit(False).alias("mixed"), "link", "pc"), labels, "cells-by-component")
             kinds = F.array(F.struct(F.lit(False).alias("mixed"), F.col("lead").alias("of")), F.struct(F.lit(True).alias("mixed"), F.col("mixed").alias("of")))
-            again = inside.join(wide.select(F.col("s").alias("p"), "x"), ["p", "x"]).select("p", "pc", "x", "home", "link", F.explode(kinds).alias("k"))
-            again = again.select("p", "pc", "x", "home", "link", "k.mixed", F.explode("k.of").alias("e")).withColumn("s", F.xxhash64("p", "mixed", "e"))
+            again = inside.join(wide.select(F.col("s").alias("p"), "x", "c"), ["p", "x"]).select("p", "pc", "x", "c", "home", "link", F.explode(kinds).alias("k"))
+            again = again.select("p", "pc", "x", "c", "home", "link", "k.mixed", F.explode("k.of").alias("e")).withColumn("s", F.xxhash64("p", "mixed", "e"))
             regions, pivots, turn = keep(spanning(again, labels)), GROWTH * pivots, turn + 1
             keep(labels)
             keep(links[-1])
