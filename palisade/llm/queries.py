@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import chat_format, decontamination, jaccard_join, language_id, line_dedup, packing, quality_rules, sharding, token_counts, warc
+from palisade.llm import chat_format, decontamination, hard_negatives, jaccard_join, language_id, line_dedup, merkle, packing, quality_rules, sharding, token_counts, url_filter, warc
 from palisade.llm.common import read_table, staged_path
 
 SHARD_BYTES = 1 << 20
@@ -194,5 +194,77 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper IS NOT NULL AND
   CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to FROM d LEFT JOIN k USING (payload_digest, payload_bytes)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op5_quality_rules_v3": op5_quality_rules_v3, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_line_dedup": op9_line_dedup, "op9_line_dedup_words": op9_line_dedup_words, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op5_quality_rules_v3": OP5_V3_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_words": OP9_WORDS_SQL, "op10_warc": OP10_SQL}
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the manifest by language, and what it says of a copy in which some texts were lower-cased."""
+    docs = read_table(spark, sf_dir, "documents").select(*MANIFEST_FIELDS)
+    altered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
+    values = [F.col(c) for c in MANIFEST_FIELDS[:-1]]
+    lowered = merkle.leaf_digest(*values, F.translate("text", url_filter.UPPER, url_filter.LOWER))
+    made = merkle.manifest(docs, MANIFEST_FIELDS, "lang", ["doc_id"], {"doc_id": F.col("doc_id"), "altered": F.when(altered & F.col("text").isNotNull(), lowered)})
+    rows = made.leaves.select(
+        F.col("own.doc_id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", F.lit(made.root).cast("string").alias("root"), merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("own.altered", "digest"), F.col("steps")).alias("folded_root"),
+    )
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: CRC-32 over the digits of doc_id, from the table of its bytes; steps are texts with a bar where the digest from below goes.
+OP11_SQL = r"""
+WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, _: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+d AS (SELECT *, row_number() OVER () AS r, coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS tree,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+    || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS body,
+    coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low,
+    coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0, false) AS hit FROM documents, k),
+l AS (SELECT r, doc_id, lang, tree, sha256(head || body) AS leaf, CASE WHEN hit THEN sha256(head || low) ELSE sha256(head || body) END AS other FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+up AS (SELECT tree, 0 AS lv, pos, n, leaf AS h FROM p
+  UNION ALL SELECT tree, lv + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY tree, lv + 1, pos // 8, (n + 7) // 8),
+s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY (SELECT min(lang) FROM p WHERE p.tree = up.tree) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS lv, pos, n, subroot AS h FROM s
+  UNION ALL SELECT lv + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lv + 1, pos // 8, (n + 7) // 8),
+own AS (SELECT r, 0 AS top, u.lv, string_agg(CASE WHEN u.pos < p.pos // 8 ** u.lv THEN u.h WHEN u.pos > p.pos // 8 ** u.lv THEN u.h ELSE '|' END, '' ORDER BY u.pos) AS step
+    FROM p JOIN up u ON u.tree = p.tree AND u.n > 1 AND u.pos // 8 = (p.pos // 8 ** u.lv) // 8 GROUP BY r, u.lv
+  UNION ALL SELECT r, 1, u.lv, string_agg(CASE WHEN u.pos <> s.pos // 8 ** u.lv THEN u.h ELSE '|' END, '' ORDER BY u.pos)
+    FROM p JOIN s USING (tree) JOIN top u ON u.n > 1 AND u.pos // 8 = (s.pos // 8 ** u.lv) // 8 GROUP BY r, u.lv),
+proof AS (SELECT r, list(step ORDER BY top, lv) AS steps FROM own GROUP BY r),
+f AS (SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(steps, []) AS steps, other FROM p JOIN s USING (tree) LEFT JOIN proof USING (r))
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256,
+  list_reduce(list_prepend(other, steps), lambda a, x: sha256(replace(x, '|', a))) AS folded_root,
+  list_reduce(list_prepend(other, steps), lambda a, x: sha256(replace(x, '|', a))) = root AS verified FROM f
+""".replace("8 ** u.lv", "(8 ** u.lv)::BIGINT")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector, after some labels were moved on by one."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.select("vec_id", label.alias("label"), "embedding"))
+
+
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.q, c.q)::BIGINT AS score FROM e a, e c WHERE a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+#: Longest first where two fit.
+URL_RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"), url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every page's URL: its longest rule's, else the language models'."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, URL_RULES, url_filter.trained(pages, URL_RULES))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op5_quality_rules_v3": op5_quality_rules_v3, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_line_dedup": op9_line_dedup, "op9_line_dedup_words": op9_line_dedup_words, "op10_warc": op10_warc, "op11_merkle_manifest": op11_merkle_manifest, "op12_hard_negatives": op12_hard_negatives, "op13_url_filter": op13_url_filter}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op5_quality_rules_v3": OP5_V3_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_words": OP9_WORDS_SQL, "op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL}
