@@ -9,6 +9,7 @@ from palisade.config import AST_EXTENSIONS, ScanConfig
 from palisade.functions.hashes import file_hash, fingerprint, normalized_hash
 from palisade.functions.paths import extension, path_tags
 from palisade.operators.entropy import entropy_findings
+from palisade.operators.hashdb import Known, with_known
 from palisade.operators.htaccess import htaccess_findings
 from palisade.operators.rules import RULES, rule_findings
 from palisade.operators.urls import match_domains, url_findings, url_info
@@ -26,10 +27,24 @@ def dedupe_key(f: Column) -> Column:
     return F.when(f["signature_id"] == "", F.lit(None)).when(bare, f["signature_id"]).otherwise(whole)
 
 
-def deduped(findings: Column) -> Column:
-    """The first of each key, in order."""
-    keys = F.transform(findings, dedupe_key)
-    return F.filter(findings, lambda f, i: F.get(keys, i).isNull() | (F.array_position(keys, F.get(keys, i)) == i + 1))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def deduped(findings: Column, key=dedupe_key) -> Column:
+    """The first of each key, in order; findings without a key stay. One sort of (key, place), and one of the places
+    that stand first of their keys, so the work of a file grows with n log n of its findings."""
+
+    def first_places(pairs):
+        firsts = F.filter(pairs, lambda x, j: (j == 0) | (F.get(pairs, j - 1)["k"] != x["k"]))
+        return F.array_sort(F.transform(firsts, lambda x: x["i"]))
+
+    def of(fs):
+        own = lambda f, i: F.struct(F.coalesce(key(f), F.concat(F.lit("\x00"), i.cast("string"))).alias("k"), i.alias("i"))
+        return F.transform(let(F.array_sort(F.transform(fs, own)), first_places), lambda i: F.get(fs, i))
+
+    return let(findings, of)
 
 
 def normal_tags(tags: Column) -> Column:
@@ -107,11 +122,8 @@ def fenced(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(*own, F.explode(F.array(row)).alias("__row")).select(*own, "__row.*")
 
 
-def scanned(files: DataFrame, config: ScanConfig = ScanConfig(), rules=RULES, hash_findings: DataFrame | None = None, domains: DataFrame | None = None, code: bool = False, paths: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Verdicts of ``files(path, content)``: a row for each, with all findings in analyzer order, and the columns ``keep``.
-
-    Map-only unless a hash or domain list is given; those meet findings by path when the content has been
-    left behind. ``code`` adds the source-code analyzers."""
+def analyzed(files: DataFrame, config: ScanConfig, rules, code: bool, paths: bool, keep: tuple[str, ...]) -> DataFrame:
+    """``files(path, content)`` with hashes, the findings before and after those of known hashes, and the URL; without contents."""
     from palisade.operators.code import with_code_findings
 
     df = files.select("path", "content", *keep)
@@ -127,18 +139,34 @@ def scanned(files: DataFrame, config: ScanConfig = ScanConfig(), rules=RULES, ha
     parts = {"__before": rule_findings(p, c, [r for r in rules if r.pattern is None], paths=paths).cast(FINDINGS), "__after": F.concat(*[x.cast(FINDINGS) for x in after])}
     if config.urls:
         parts["__u"] = url_info(c)
-    df = fenced(df.withColumns({"file_hash": file_hash(c), "normalized_hash": normalized_hash(c, config)}), **parts).drop("content", "code_findings")
-    if domains is not None and config.urls:
-        seen = files.select("path", url_info(F.col("content")).alias("__u")).where("__u IS NOT NULL").select("path", F.col("__u.domain").alias("domain"))
-        df = df.join(match_domains(seen, domains), "path", "left")
+    return fenced(df.withColumns({"file_hash": file_hash(c), "normalized_hash": normalized_hash(c, config)}), **parts).drop("content", "code_findings")
+
+
+def concluded(df: DataFrame, config: ScanConfig, keep: tuple[str, ...] = (), match: bool = False) -> DataFrame:
+    """Verdicts from the columns of :func:`analyzed`, with ``hash_findings`` and the domain ``match`` where they are there."""
     known = [F.col("__before")]
-    if hash_findings is not None and config.hash_db:
-        df = df.join(hash_findings, "path", "left")
+    if "hash_findings" in df.columns:
         known.append(F.coalesce(F.col("hash_findings"), no_findings()).cast(FINDINGS))
     known.append(F.col("__after"))
     if config.urls:
-        known.append(url_findings(p, F.col("__u"), F.col("match") if domains is not None else None).cast(FINDINGS))
-    df = df.select(p.alias("file_path"), "file_hash", "normalized_hash", *keep, F.concat(*known).alias("findings"))
+        known.append(url_findings(F.col("path"), F.col("__u"), F.col("match") if match else None).cast(FINDINGS))
+    df = df.select(F.col("path").alias("file_path"), "file_hash", "normalized_hash", *keep, F.concat(*known).alias("findings"))
     df = fenced(df, findings=deduped(F.col("findings")))
     df = fenced(df, findings=tagged(F.col("findings"), F.col("file_path"), config.document_root))
     return summed(df, config)
+
+
+def scanned(files: DataFrame, config: ScanConfig = ScanConfig(), rules=RULES, hash_findings: DataFrame | None = None, domains: DataFrame | None = None, code: bool = False, paths: bool = True, keep: tuple[str, ...] = (), known: Known | None = None) -> DataFrame:
+    """Verdicts of ``files(path, content)``: a row for each, with all findings in analyzer order, and the columns ``keep``.
+
+    Map-only unless a hash or domain list is given. ``known`` meets the files by their hashes, in the same
+    pass; ``hash_findings`` (path, hash_findings) and ``domains`` by path when the content has been left behind. ``code`` adds the source-code analyzers."""
+    df = analyzed(files, config, rules, code, paths, keep)
+    if domains is not None and config.urls:
+        seen = files.select("path", url_info(F.col("content")).alias("__u")).where("__u IS NOT NULL").select("path", F.col("__u.domain").alias("domain"))
+        df = df.join(match_domains(seen, domains), "path", "left")
+    if known is not None and config.hash_db:
+        df = with_known(df, known)
+    elif hash_findings is not None and config.hash_db:
+        df = df.join(hash_findings, "path", "left")
+    return concluded(df, config, keep, domains is not None)

@@ -13,12 +13,13 @@ NUMERIC = ("score", "length", "entropy", "line", "offset")
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """One row of counters; error rows count as processed alone."""
+    """One row of counters; error rows count as processed alone, rows of tables (``origin`` db) as found and not as processed."""
     f = F.col("findings")
     error = F.col("status") == "error"
     info = F.exists(f, lambda x: x["score"] <= 0)
+    file = F.col("origin") == "file" if "origin" in results.columns else F.lit(True)
     return results.agg(
-        F.count("*").alias("processed_total"), F.count_if(~error & has_risk(f)).alias("found_total"), F.count_if(~error & info).alias("informational_files"), F.count_if(F.col("status") == "skipped").alias("skipped_total"),
+        F.count_if(file).alias("processed_total"), F.count_if(~error & has_risk(f)).alias("found_total"), F.count_if(~error & info).alias("informational_files"), F.count_if(F.col("status") == "skipped").alias("skipped_total"),
         F.count_if(error).alias("runtime_errors_total"), F.coalesce(F.sum(F.size(f)), F.lit(0)).cast("long").alias("findings_total"),
         F.coalesce(F.sum(F.size(F.filter(f, lambda x: x["score"] <= 0))), F.lit(0)).cast("long").alias("informational_total"),
     )

@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 from palisade.config import ConfigError, ScanConfig
 from palisade.operators import report
 from palisade.operators.findings import scanned
-from palisade.sources import sitefiles
+from palisade.operators.hashdb import Known
+from palisade.operators.rules import RULES
+from palisade.operators.tables import scan_agents, scan_handlers
+from palisade.operators.trees import tree_scanned
+from palisade.schema import FINDINGS
+from palisade.sources import sitefiles, stores
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,17 +54,39 @@ def scan_stream_once(spark: SparkSession, files: DataFrame, config: ScanConfig =
     return spark.read.schema("file_path string, score int, severity string, status string").json(f"{base}/out")
 
 
+RESULT_SCHEMA = f"file_path string, file_hash string, normalized_hash string, findings {FINDINGS}, score int, severity string, status string, tags array<string>, error string, origin string"
+
+
 class ScanRun:
-    """A stepwise scan of a tree: start, step, status, cancel. One run at a time for a work folder."""
+    """A scan of a tree in steps: start, step, status, cancel, report; one run at a time for a work folder that driver and tasks share.
 
-    def __init__(self, spark: SparkSession, config: ScanConfig, work: str):
+    A step is one micro-batch of the ``sitefiles`` stream: its offset in the checkpoint says where the scan stands, so a run
+    that another process opens again goes on there, and tasks, not the driver, read the files. Results are written by batch.
+    A second stream reads them and keeps the counters in its state. Agents and handlers, if given, come at
+    the end of a run that was not cancelled; they count as found, not as processed."""
+
+    def __init__(self, spark: SparkSession, config: ScanConfig, work: str, known: Known | None = None, domains: DataFrame | None = None, agents: DataFrame | None = None, handlers: DataFrame | None = None, modules: DataFrame | None = None, rules=RULES):
         config.confined()
-        self.spark, self.config, self.work = spark, config, work
+        self.spark, self.config, self.work, self.rules = spark, config, work, rules
+        self.known, self.domains, self.agents, self.handlers, self.modules = known, domains, agents, handlers, modules
         self.marker = os.path.join(work, "active.json")
-        self.state_path = os.path.join(work, "session.json")
+
+    # -- the session's own files: a few lines each
+
+    def folder(self, *names: str) -> str:
+        active = stores.read_json(self.marker) or stores.read_json(os.path.join(self.work, "latest.json")) or {}
+        if not active.get("scan_id"):
+            raise ConfigError("scan_session_not_found")
+        return os.path.join(self.work, active["scan_id"], *names)
 
     def start(self) -> dict:
+        """Take the folder for a new run. A marker whose session is missing or over does not count."""
         os.makedirs(self.work, 0o700, exist_ok=True)
+        held = stores.read_json(self.marker)
+        if held is not None:
+            session = stores.read_json(os.path.join(self.work, str(held.get("scan_id")), "session.json"))
+            if session is None or session["status"] != "running":
+                os.remove(self.marker)
         try:
             fd = os.open(self.marker, os.O_CREAT | os.O_EXCL | os.O_WRONLY, 0o600)
         except FileExistsError:
@@ -67,57 +94,90 @@ class ScanRun:
         scan_id = time.strftime("%Y%m%d_%H%M%S_", time.gmtime()) + uuid.uuid4().hex[:8]
         with os.fdopen(fd, "w") as f:
             json.dump({"scan_id": scan_id}, f)
-        return self._save({"scan_id": scan_id, "status": "running", "cursor": 0, "processed_total": 0, "found_total": 0, "findings_total": 0})
+        stores.write_json(os.path.join(self.work, "latest.json"), {"scan_id": scan_id})
+        os.makedirs(self.folder("results"), 0o700)
+        return self._save({"scan_id": scan_id, "status": "running", "offset": None, "processed_total": 0, "found_total": 0, "findings_total": 0, "runtime_errors_total": 0})
 
     def _save(self, state: dict) -> dict:
-        draft = self.state_path + ".tmp"
-        with open(draft, "w") as f:
-            json.dump(state, f)
-        os.replace(draft, self.state_path)
+        stores.write_json(self.folder("session.json"), state)
         return state
 
     def status(self) -> dict:
-        with open(self.state_path) as f:
-            return json.load(f)
+        state = stores.read_json(self.folder("session.json"))
+        if state is None:
+            raise ConfigError("scan_session_not_found")
+        return state
+
+    def _release(self) -> None:
+        if os.path.exists(self.marker):
+            os.remove(self.marker)
+
+    # -- the streams
+
+    def _batch(self, rows: DataFrame, number: int) -> None:
+        rows = rows.persist()  # at most batch_size files; whole and chunked ones are read apart
+        res = tree_scanned(rows, self.config, self.rules, self.known, self.domains, self.config.ast).withColumn("origin", F.lit("file"))
+        res.write.mode("overwrite").json(self.folder("results", f"batch={number}"))
+        rows.unpersist()
+
+    def _advance(self) -> dict | None:
+        """One micro-batch of files; the offset it came to, None if nothing was left."""
+        query = sitefiles.read_stream(self.spark, self.config).writeStream.foreachBatch(self._batch).option("checkpointLocation", self.folder("files-checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        ends = [end for p in query.recentProgress if (end := json.loads(p.json)["sources"][0]["endOffset"])]
+        return ends[-1] if ends else None
+
+    def _counted(self) -> dict:
+        """Let the counters take in the results that are new."""
+        place = self.folder("counters")
+        stream = self.spark.readStream.schema(RESULT_SCHEMA).option("recursiveFileLookup", "true").json(self.folder("results"))
 
-    def results_path(self, state: dict) -> str:
-        return os.path.join(self.work, state["scan_id"])
+        def save(df: DataFrame, number: int) -> None:
+            stores.write_json(place + ".json", df.first().asDict())  # one row
+
+        query = report.summary(stream).writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", self.folder("counters-checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return stores.read_json(place + ".json", {})
 
     def step(self) -> dict:
-        """Scan the next ``batch_size`` files; the run ends when none are left."""
+        """Scan the next files; the run is finished when none are left."""
         state = self.status()
         if state["status"] != "running":
             return state
-        begin = state["cursor"]
-        listed = [f for i, f in enumerate(sitefiles.walk(self.config)) if begin <= i < begin + self.config.batch_size]
-        if listed:
-            rows = [r for f in listed for r in sitefiles.read_rows(*f, self.config.max_file_mb << 20)]
-            df = self.spark.createDataFrame(rows, sitefiles.SCHEMA).where("content IS NOT NULL").select("path", "content")
-            place = f"{self.results_path(state)}/batch={begin}"
-            scanned(df, self.config, code=self.config.ast).write.mode("overwrite").json(place)
-            got = report.summary(self._read(place)).first().asDict()
-            state |= {k: state[k] + got[k] for k in ("processed_total", "found_total", "findings_total")}
-            state["cursor"] = begin + len(listed)
-        if len(listed) < self.config.batch_size:
+        offset = self._advance()
+        state["offset"] = offset or state["offset"]
+        if state["offset"] is None or sitefiles.StreamReader.frontier(self.config, state["offset"]).next_node() is None:
+            self._append_tables()
             state["status"] = "finished"
-            self._release()
-        return self._save(state)
-
-    def _read(self, place: str) -> DataFrame:
-        from palisade.schema import FINDINGS
-
-        schema = f"file_path string, file_hash string, normalized_hash string, findings {FINDINGS}, score int, severity string, status string, tags array<string>"
-        return self.spark.read.schema(schema).json(place)
-
-    def results(self) -> DataFrame:
-        return self._read(self.results_path(self.status())).drop("batch")
+        return self._closed(state | self._counted())
+
+    def _append_tables(self) -> None:
+        columns = ["file_path", "file_hash", "normalized_hash", "findings", "score", "severity", "status", "tags"]
+        none = F.lit(None).cast("string")
+        for name, table in (("agents", self.agents), ("handlers", self.handlers)):
+            if table is None:
+                continue
+            if name == "agents":
+                res = scan_agents(table, self.modules, self.config)
+            else:
+                files = sitefiles.read(self.spark, self.config).where("chunked = false AND error IS NULL").select("path", "content")
+                res = scan_handlers(table, self.modules, files, self.config).withColumn("normalized_hash", none)
+            res.select(*columns, none.alias("error"), F.lit("db").alias("origin")).write.mode("overwrite").json(self.folder("results", name))
 
     def cancel(self) -> dict:
+        """Stop where the scan stands. What was found so far is the report."""
         state = self.status()
         if state["status"] == "running":
             state["status"] = "cancelled"
+            state |= self._counted()
+        return self._closed(state)
+
+    def _closed(self, state: dict) -> dict:
+        self._save(state)
+        if state["status"] != "running":
+            stores.write_json(self.folder("report.json"), {"format": "palisade-report", "format_version": 1, "partial": state["status"] == "cancelled", "summary": {k: v for k, v in state.items() if k != "offset"}, "config": self.config.to_dict()})
             self._release()
-        return self._save(state)
+        return state
 
     def run_to_completion(self, limit: int = 1_000_000) -> dict:
         state = self.start()
@@ -127,6 +187,14 @@ class ScanRun:
             state = self.step()
         return state
 
-    def _release(self) -> None:
-        if os.path.exists(self.marker):
-            os.remove(self.marker)
+    # -- what it found
+
+    def results(self) -> DataFrame:
+        """All results so far, of whole batches."""
+        return self.spark.read.schema(RESULT_SCHEMA).option("recursiveFileLookup", "true").json(self.folder("results"))
+
+    def report(self) -> dict:
+        got = stores.read_json(self.folder("report.json"))
+        if got is None:
+            raise ConfigError("report_not_found")
+        return got

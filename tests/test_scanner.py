@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import json
 import os
 import random
@@ -217,14 +218,15 @@ def test_sitefiles_source_and_streams(spark, site, tmp_path):
     again = ScanRun(spark, config, str(tmp_path / "work2"))
     again.start()
     again.step()
-    assert again.cancel()["status"] == "cancelled" and again.results().count() == 2
+    assert again.cancel()["status"] == "cancelled" and again.results().count() == 2 and again.report()["partial"]
 
 
 def test_chunked_reading(site):
     big = site / "big.php"
     big.write_bytes(b"a" * 70_000)
     rows = list(sitefiles.read_rows(str(big), 70_000, 0.0, 1000))
-    assert [len(r[4]) for r in rows] == [32_768, 33_280, 4_976]
+    assert [len(r[4]) for r in rows] == [32_768, 33_280, 4_976] and [r[7] for r in rows] == [0, 32_256, 65_024]
+    assert [r[10] for r in rows] == [None, None, hashlib.sha256(b"a" * 70_000).hexdigest()]
 
 
 def test_stores_and_quarantine(site, tmp_path):
