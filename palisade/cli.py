@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from palisade.config import DEFAULT_EXCLUDES, ConfigError, ScanConfig
 from palisade.operators import baseline, hashdb, report, tables, whitelist
-from palisade.operators.findings import has_risk, scanned
+from palisade.operators.findings import has_risk
 from palisade.operators.rules import RULES, external_rules
-from palisade.operators.urls import normal_domain
+from palisade.operators.trees import tree_scanned
 from palisade.sources import sitefiles, stores
+from palisade.streaming.scan import ScanRun
 
 
 class Usage(Exception):
@@ -37,9 +38,9 @@ def parser() -> Parser:
     p.add_argument("--action", default="report")
     p.add_argument("--batch-size", default="50")
     p.add_argument("--max-file-mb", default="100")
-    for flag in ("force", "entropy", "no-entropy", "no-ast", "no-urls", "no-prefilter", "execute", "json", "no-default-excludes"):
+    for flag in ("force", "entropy", "no-entropy", "no-ast", "no-urls", "no-prefilter", "execute", "json", "no-default-excludes", "resume"):
         p.add_argument(f"--{flag}", action="store_true")
-    for option in ("report", "baseline", "feed", "hash-db", "hash-prefixes", "domains", "signatures", "whitelist", "suppressions", "agents", "handlers", "modules", "quarantine"):
+    for option in ("report", "baseline", "feed", "hash-db", "hash-prefixes", "domains", "signatures", "whitelist", "suppressions", "agents", "handlers", "modules", "quarantine", "work", "baseline-store", "baseline-name", "baseline-version"):
         p.add_argument(f"--{option}", default="")
     return p
 
@@ -62,7 +63,7 @@ def config_of(a) -> ScanConfig:
 def session():
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("palisade").getOrCreate()
+    return SparkSession.builder.appName("palisade").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
 
 
 def table(spark, path: str):
@@ -70,45 +71,59 @@ def table(spark, path: str):
     return spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
 
 
-def known_hashes(spark, a, files):
-    """Findings of the hash database, or its warning for every file if it cannot be read; None without one."""
+HASH_ROW = "ord long, hash string, name string, family string, category string, severity string, confidence string, source string, source_ref string, tags array<string>"
+
+
+def known_hashes(spark, a, config: ScanConfig) -> hashdb.Known | None:
+    """The hash database and its prefix index, or their warnings for the first file of the scan; None without one."""
     if not a.hash_db:
         return None
     if not a.hash_db.endswith(".json"):
-        return hashdb.hash_findings(hashdb.matches(files, hashdb.database(spark.read.parquet(a.hash_db))))
-    try:
-        items = [(i, *(x.get(k) for k in ("hash", "name", "family", "category", "severity"))) for i, x in enumerate(stores.read_items(a.hash_db)) if isinstance(x, dict)]
-        index = [(str(x),) for x in stores.read_items(a.hash_prefixes, "prefixes")] if a.hash_prefixes else []
-    except stores.StoreError as e:
-        return hashdb.warning_findings(files, str(e))
-    db = hashdb.database(spark.createDataFrame(items, "ord long, hash string, name string, family string, category string, severity string"))
-    return hashdb.hash_findings(hashdb.matches(files, db, spark.createDataFrame(index, "prefix string") if index else None, len(index[0][0]) if index else 8))
+        return hashdb.Known(hashdb.database(spark.read.parquet(a.hash_db)))
+    items, warnings = stores.read_hashes(a.hash_db)
+    length, prefixes, more = stores.read_prefixes(a.hash_prefixes)
+    text = lambda x, k: None if x.get(k) is None else str(x[k])
+    names = [f.split()[0] for f in HASH_ROW.split(", ")]
+    rows = [tuple(x["ord"] if k == "ord" else [str(t) for t in x["tags"]] if k == "tags" else text(x, k) for k in names) for x in items]
+    db = hashdb.database(spark.createDataFrame(rows, HASH_ROW)) if rows else None
+    index = hashdb.prefix_filter(spark.createDataFrame([(p,) for p in prefixes], "prefix string"), length) if prefixes else None
+    warnings += more
+    first = next((f[0] for f in sitefiles.walk(config) if next(sitefiles.read_rows(*f, 0), None)), None) if warnings else None
+    return hashdb.Known(db, index, tuple(warnings), first)
 
 
 def domain_list(spark, path: str):
-    if not path:
-        return None
-    items = [x if isinstance(x, dict) else {"domain": x} for x in stores.read_items(path)]
-    rows = [(i, x.get("domain"), x.get("severity") or "critical", x.get("tags") or []) for i, x in enumerate(items)]
-    return spark.createDataFrame(rows, "ord long, domain string, severity string, tags array<string>").withColumn("domain", normal_domain(F.col("domain"))).where("domain <> ''")
+    rows = [(x["ord"], x["domain"], x["severity"], [str(t) for t in x["tags"]]) for x in stores.read_domains(path)] if path else []
+    return spark.createDataFrame(rows, "ord long, domain string, severity string, tags array<string>") if rows else None
+
+
+def rules_of(a) -> list:
+    if not a.signatures:
+        return list(RULES)
+    with open(a.signatures, errors="replace") as f:
+        return [*RULES, *external_rules(f.read())]
 
 
 def scan(spark, a, config: ScanConfig):
-    """Results of files and, where given, of agents and handlers, whitelisted and suppressed."""
-    files = sitefiles.read(spark, config).where("content IS NOT NULL").select("path", "content")
-    rules = list(RULES)
-    if a.signatures:
-        with open(a.signatures, errors="replace") as f:
-            rules += external_rules(f.read())
-    columns = ["file_path", "file_hash", "normalized_hash", "findings", "score", "severity", "status", "tags"]
-    res = scanned(files, config, rules, hash_findings=known_hashes(spark, a, files), domains=domain_list(spark, a.domains), code=config.ast).select(columns)
+    """Results of files and, where given, of agents and handlers, whitelisted and suppressed. With a work folder the scan goes in
+    steps of ``--batch-size`` files, and can be taken up again."""
+    columns = ["file_path", "file_hash", "normalized_hash", "findings", "score", "severity", "status", "tags", "origin"]
     modules = table(spark, a.modules) if a.modules else None
-    none = F.lit(None).cast("string")
-    if a.agents:
-        res = res.unionByName(tables.scan_agents(table(spark, a.agents), modules, config).select(columns))
-    if a.handlers:
-        found = tables.scan_handlers(table(spark, a.handlers), modules, files, config)
-        res = res.unionByName(found.withColumn("normalized_hash", none).select(columns))
+    agents, handlers = (table(spark, x) if x else None for x in (a.agents, a.handlers))
+    known, domains = known_hashes(spark, a, config), domain_list(spark, a.domains)
+    if a.work:
+        run = ScanRun(spark, config, a.work, known, domains, agents, handlers, modules, rules_of(a))
+        run.resume_to_completion() if a.resume else run.run_to_completion()
+        res = run.results().select(columns)
+    else:
+        res = tree_scanned(sitefiles.read(spark, config, chunked="false"), config, rules_of(a), known, domains, config.ast, sitefiles.read(spark, config, chunked="true")).withColumn("origin", F.lit("file")).select(columns)
+        none, db = F.lit(None).cast("string"), F.lit("db")
+        if agents is not None:
+            res = res.unionByName(tables.scan_agents(agents, modules, config).withColumn("origin", db).select(columns))
+        if handlers is not None:
+            files = sitefiles.read(spark, config, chunked="false").where("error IS NULL").select("path", "content")
+            found = tables.scan_handlers(handlers, modules, files, config)
+            res = res.unionByName(found.withColumn("normalized_hash", none).withColumn("origin", db).select(columns))
     if a.whitelist:
         res = whitelist.whitelisted(res, stores.Rules(a.whitelist).all(), config).select(columns)
     if a.suppressions:
@@ -144,16 +159,23 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             print(json.dumps(counters.first().asDict()))
             return 0
         if a.command.startswith("baseline"):
-            files = sitefiles.read(spark, config).where("content IS NOT NULL")
+            snapshot = lambda: baseline.tree_snapshot(sitefiles.read(spark, config), config)
+            store, name = stores.Snapshots(a.baseline_store) if a.baseline_store else None, a.baseline_name or "default"
             if a.command == "baseline-check":
-                res = baseline.results(baseline.difference(spark.read.parquet(a.baseline), baseline.snapshot(files, config)), config)
-                got = baseline.counts(res).first().asDict()
+                old = store.read(spark, name, a.baseline_version or None) if store else spark.read.parquet(a.baseline)
+                got = baseline.counts(baseline.results(baseline.difference(old, snapshot()), config)).first().asDict()
                 print(json.dumps(got))
                 return 1 if got["findings_total"] else 0
+            exists = bool(store.list(name, 1)) if store else False
             if a.command == "baseline-update":
-                spark.read.parquet(a.baseline).schema  # there must be one
+                store.latest(name) if store else spark.read.parquet(a.baseline).schema  # there must be one
             replace = a.force or a.command == "baseline-update"
-            baseline.snapshot(files, config).write.mode("overwrite" if replace else "errorifexists").parquet(a.baseline)
+            if store:
+                if exists and not replace:
+                    raise stores.StoreError("baseline_exists")
+                print(json.dumps({"baseline": name, "version": store.write(snapshot(), name)}))
+            else:
+                snapshot().write.mode("overwrite" if replace else "errorifexists").parquet(a.baseline)
             return 0
         config.confined()
         res = scan(spark, a, config)

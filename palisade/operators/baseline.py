@@ -26,6 +26,13 @@ def snapshot(files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     return files.where(F.octet_length(c) <= config.max_file_mb << 20).select("path", rel.alias("relative_path"), F.octet_length(c).cast("long").alias("size"), mtime.alias("mtime"), file_hash(c).alias("sha256"), normalized_hash(c, config).alias("normalized_hash"))
 
 
+def tree_snapshot(rows: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+    """:func:`snapshot` of the ``sitefiles`` source's rows: the last row of each file has its hash, large files included."""
+    rel = relative(F.col("path"), config.document_root, config.scan_paths)
+    kept = rows.where("last AND error IS NULL")
+    return kept.select("path", rel.alias("relative_path"), F.col("length").alias("size"), F.col("mtime").cast("long").alias("mtime"), "sha256", F.when(~F.col("chunked"), normalized_hash(F.col("content"), config)).alias("normalized_hash"))
+
+
 def critical(rel: Column) -> Column:
     p = F.lower(rel)
     out = p.isin(*CRITICAL_FILES) | (basename(p) == ".htaccess")

@@ -13,7 +13,7 @@ from palisade.operators.hashdb import Known, with_known
 from palisade.operators.htaccess import htaccess_findings
 from palisade.operators.rules import RULES, rule_findings
 from palisade.operators.urls import match_domains, url_findings, url_info
-from palisade.schema import FIELDS, FINDINGS, no_findings, severity_of, weight
+from palisade.schema import FIELDS, FINDINGS, no_findings, severity_of, weight, with_values
 
 #: Category to engine tag (fixed values).
 ENGINES = {"php_ast": "engine:ast", "taint": "engine:taint", "php_taint": "engine:taint", "htaccess": "engine:htaccess", "entropy": "engine:entropy", "url": "engine:url", "hash_db": "engine:hash_db", "webshell_fingerprint": "engine:fingerprint", "baseline": "engine:baseline", "bitrix_db": "engine:bitrix_db", "core_integrity": "engine:core_integrity"}
@@ -79,7 +79,7 @@ def finding_tags(f: Column) -> Column:
 
 
 def with_fields(f: Column, **values: Column) -> Column:
-    return F.struct(*[(values[k] if k in values else f[k]).cast(t).alias(k) for k, t in FIELDS.items()])
+    return with_values(f, {k: v.cast(FIELDS[k]) for k, v in values.items()})
 
 
 def tagged(findings: Column, path: Column, document_root: str = "") -> Column:

@@ -22,10 +22,12 @@ REMOTE = r"https?://[^\s'\")<>]+"
 FILE_WRITE = r"\b(file_put_contents|fopen|fwrite)\s*\("
 METHOD = r"\b(eval|assert|system|exec|shell_exec|passthru|proc_open)\b"
 CRITICAL_EVENTS = "OnPageStart OnBeforeProlog OnProlog OnEpilog OnBeforeUserLogin OnAfterUserLogin OnBeforeUserRegister OnAfterUserRegister OnBeforeIBlockElementAdd OnBeforeIBlockElementUpdate OnSaleOrderSaved OnBeforeEventSend OnBeforeMailSend".lower().split()
-AGENT = ("ID", "MODULE_ID", "NAME", "ACTIVE", "NEXT_EXEC")
+AGENT = ("ID", "MODULE_ID", "NAME", "ACTIVE", "NEXT_EXEC", "LAST_EXEC")
 HANDLER = ("ID", "FROM_MODULE_ID", "MESSAGE_ID", "TO_MODULE_ID", "TO_CLASS", "TO_METHOD", "SORT")
-#: Every handler meets the start-up files, so these go to as many shares of the handlers.
-INIT_SHARES = 16
+#: A name that code can define, in bytes as Latin-1 characters.
+IDENT = "[a-zA-Z_\\x80-\\xff][a-zA-Z0-9_\\x80-\\xff]*"
+#: The scope of start-up files, which every handler may be defined in; the others are modules.
+START_UP = ""
 AGENT_TAGS = ("entity:db_agent", "engine:bitrix_db", "risk:persistence")
 
 
@@ -60,14 +62,19 @@ def virtual_path(table: str, id_: Column) -> Column:
     return F.concat(F.lit(f"bitrix-db://{table}/"), F.when(safe == "", "unknown").otherwise(safe))
 
 
-def agent_findings(name: Column, module: Column, active: Column, installed: Column, trace: Column) -> Column:
+def agent_trace() -> list[Column]:
+    """What the trace of an agent's finding says of the agent."""
+    return [F.lit("bitrix_agent").alias("entity"), F.lit("b_agent").alias("table"), *[F.col(c).alias(c.lower()) for c in AGENT if c != "NAME"]]
+
+
+def agent_findings(name: Column, module: Column, active: Column, installed: Column) -> Column:
     bonus = F.when(F.upper(active) == "Y", 1).otherwise(0)
     excerpt = short(name)
 
     def made(sig, severity, score, tags=(), **more):
         all_tags = F.array(*map(F.lit, [*AGENT_TAGS, *tags]))
-        extra = F.to_json(F.struct(trace.alias("entity"), *[v.alias(k) for k, v in more.items()]))
-        return finding(sig, category="bitrix_db", severity=severity, score=F.least(F.lit(score) + bonus, F.lit(10)), excerpt=excerpt, target="db_agent", rule_type="bitrix_db", type="db_agent", source="b_agent.NAME", trace=extra, tags=all_tags)
+        extra = F.to_json(F.struct(*agent_trace(), *[v.alias(k) for k, v in more.items()]))
+        return finding(sig, category="bitrix_db", severity=severity, score=F.least(F.lit(score) + bonus, F.lit(10)), excerpt=excerpt, target="db_agent", rule_type="bitrix_db", type="bitrix_agent", source="b_agent.NAME", trace=extra, tags=all_tags)
 
     danger = F.when(like(name, DANGEROUS), word(name, DANGEROUS)).when(like(name, DYNAMIC_INCLUDE), F.lit("dynamic_include"))
     unknown = F.when(F.trim(module) == "", "empty_module_id").when(~installed, "module_not_installed")
@@ -87,12 +94,11 @@ def scan_agents(agents: DataFrame, modules: DataFrame | None = None, config: Sca
     An agent without a name has no result. One pass: an agent's columns stay in its row."""
     rows = with_installed(strings(agents, AGENT), "MODULE_ID", modules).where(F.trim("NAME") != "")
     rows = rows.withColumn("path", F.concat(virtual_path("b_agent", F.col("ID")), F.lit(".php"))).withColumn("content", F.concat(F.lit("<?php\n"), F.rtrim("NAME"), F.lit(";\n")))
-    trace = F.to_json(F.struct(F.lit("b_agent").alias("table"), F.col("ID").alias("id"), F.col("MODULE_ID").alias("module_id"), F.col("ACTIVE").alias("active"), F.col("NEXT_EXEC").alias("next_exec"), F.lit("").alias("last_exec")))
-    rows = fenced(rows, own=agent_findings(F.col("NAME"), F.col("MODULE_ID"), F.col("ACTIVE"), F.col("installed"), trace).cast(FINDINGS))
-    df = scanned(rows, config, code=code, paths=False, keep=("ID", "own")).withColumn("file_path", F.regexp_replace("file_path", "\\.php$", ""))
+    rows = fenced(rows, own=agent_findings(F.col("NAME"), F.col("MODULE_ID"), F.col("ACTIVE"), F.col("installed")).cast(FINDINGS), facts=F.struct(*agent_trace()))
+    df = scanned(rows, config, code=code, paths=False, keep=("ID", "own", "facts")).withColumn("file_path", F.regexp_replace("file_path", "\\.php$", ""))
     no_tags = F.array().cast("array<string>")
-    decorated = F.transform("findings", lambda f: with_fields(f, target=F.lit("db_agent"), source=F.lit("b_agent.NAME"), tags=F.array_union(F.coalesce(f["tags"], no_tags), F.array(*map(F.lit, AGENT_TAGS))), trace=F.to_json(F.struct(f["trace"].alias("detector_trace"), f["target"].alias("detector_target"), F.lit("b_agent").alias("table")))))
-    df = fenced(df.select("ID", "file_path", "file_hash", "normalized_hash", "own", "findings"), findings=deduped(F.concat(decorated.cast(FINDINGS), F.col("own")))).drop("own").where(F.size("findings") > 0)
+    decorated = F.transform("findings", lambda f: with_fields(f, target=F.lit("db_agent"), source=F.lit("b_agent.NAME"), tags=F.array_union(F.coalesce(f["tags"], no_tags), F.array(*map(F.lit, AGENT_TAGS))), trace=F.to_json(F.struct("facts.*", f["target"].alias("detector_target"), f["trace"].alias("detector_trace")))))
+    df = fenced(df.select("ID", "file_path", "file_hash", "normalized_hash", "own", decorated.cast(FINDINGS).alias("findings")), findings=deduped(F.concat("findings", "own"), agent_key)).drop("own").where(F.size("findings") > 0)
     return summed(fenced(df, findings=tagged(F.col("findings"), F.col("file_path"), config.document_root)), config)
 
 
@@ -101,9 +107,9 @@ def handler_excerpt() -> Column:
 
 
 def handler_finding(sig: str, severity, score, tags=(), **trace) -> Column:
-    entity = F.struct(*[F.col(c).alias(c.lower()) for c in HANDLER])
-    extra = F.to_json(F.struct(entity.alias("entity"), *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in trace.items()]))
-    return finding(sig, category="bitrix_db", severity=severity, score=score, excerpt=handler_excerpt(), target="db_event", rule_type="bitrix_db", type="db_event", source="b_module_to_module", trace=extra, tags=F.array(*map(F.lit, ["entity:db_event", "engine:bitrix_db", "risk:persistence", *tags])))
+    entity = [F.lit("bitrix_event_handler").alias("entity"), F.lit("b_module_to_module").alias("table"), *[F.col(c).alias(c.lower()) for c in HANDLER]]
+    extra = F.to_json(F.struct(*entity, *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in trace.items()]))
+    return finding(sig, category="bitrix_db", severity=severity, score=score, excerpt=handler_excerpt(), target="db_event", rule_type="bitrix_db", type="bitrix_event_handler", source="b_module_to_module", trace=extra, tags=F.array(*map(F.lit, ["entity:db_event", "engine:bitrix_db", "risk:persistence", *tags])))
 
 
 def event_findings() -> Column:
@@ -123,26 +129,53 @@ def event_findings() -> Column:
     )
 
 
-def resolved(handlers: DataFrame, files: DataFrame, document_root: str = "") -> DataFrame:
-    """(ID, path): files that define a handler's method. Handlers meet files on a key, a fixed place or a module's
-    folder, and only then are patterns of class and method tried."""
+def definitions(files: DataFrame, document_root: str = "") -> DataFrame:
+    """(path, scope, functions, classes): the names that candidate files define, in lower case. Patterns run over a file once, whatever the
+    number of handlers. Scopes are modules by folder, and :data:`START_UP`."""
     root = document_root.rstrip("/").lower()
-    inits = [f"{root}/{p}/php_interface/init.php" for p in ("local", "bitrix")]
     p = lowered(F.col("path"))
-    pattern = f"^{root}/(?:local|bitrix)/modules/([^/]+)/(?:include\\.php|lib/.*\\.php)$"
-    shares = F.array(*[F.lit(f"init {i}") for i in range(INIT_SHARES)])
-    keyed = files.withColumn("__k", F.explode(F.when(p.isin(*inits), shares).otherwise(F.array_compact(F.array(F.nullif(F.regexp_extract(p, pattern, 1), F.lit("")))))))
+    inits = [f"{root}/{x}/php_interface/init.php" for x in ("local", "bitrix")]
+    module = F.regexp_extract(p, f"^{java_quoted(root)}/(?:local|bitrix)/modules/([^/]+)/(?:include\\.php|lib/.*\\.php)$", 1)
+    scope = F.when(p.isin(*inits), START_UP).otherwise(F.nullif(module, F.lit("")))
+    bound = "(?<![A-Za-z0-9_])"
+    functions = F.regexp_extract_all("content", F.lit(f"(?i){bound}function\\s+({IDENT})\\s*\\("), F.lit(1))
+    classes = F.regexp_extract_all("content", F.lit(f"(?i){bound}(?:class|trait)\\s+({IDENT})(?![A-Za-z0-9_])"), F.lit(1))
+    names = lambda c: F.array_distinct(F.transform(c, F.lower))
+    return files.select("path", scope.alias("scope"), "content").where("scope IS NOT NULL").select("path", "scope", names(functions).alias("functions"), names(classes).alias("classes"))
+
+
+def java_quoted(text: str) -> str:
+    return "".join(c if c.isalnum() or c in "/_-" else "\\" + c for c in text)
+
+
+def resolved(handlers: DataFrame, files: DataFrame, document_root: str = "") -> DataFrame:
+    """(ID, path): files that define a handler's method, and its class if it names one.
+
+    Handlers meet the definitions on (scope, method), and those that name a class meet the file's classes on (path, class): equi-joins
+    on names, so start-up files are spread by their methods, and no pattern is tried for a pair."""
+    defined = definitions(files, document_root)
+    methods = defined.select("path", "scope", F.explode("functions").alias("method"))
+    classes = defined.select("path", F.explode("classes").alias("class")).distinct()
     safe = F.trim("TO_MODULE_ID").rlike("^[a-zA-Z0-9_.-]+$")
-    wanted = handlers.withColumn("__k", F.explode(F.array_compact(F.array(F.concat(F.lit("init "), F.pmod(F.xxhash64("ID"), F.lit(INIT_SHARES)).cast("string")), F.when(safe, F.lower(F.trim("TO_MODULE_ID")))))))
-    cls, method = F.regexp_extract(F.trim("TO_CLASS"), "([^\\\\]*)$", 1), F.trim("TO_METHOD")
-    ident = "^[A-Za-z_][A-Za-z0-9_]*$"
-    has_class = F.expr("regexp_like(content, concat('(?i)(?<![A-Za-z0-9_])(?:class|trait)\\\\s+', __c, '(?![A-Za-z0-9_])'))")
-    has_method = F.expr("regexp_like(content, concat('(?i)(?<![A-Za-z0-9_])function\\\\s+&?\\\\s*', __f, '\\\\s*\\\\('))")
-    both = wanted.withColumn("__c", cls).withColumn("__f", method).where(F.col("__f").rlike(ident) & ((F.col("__c") == "") | F.col("__c").rlike(ident)))
-    hit = both.join(keyed, "__k").where(has_method & ((F.col("__c") == "") | has_class))
+    scopes = F.array_compact(F.array(F.lit(START_UP), F.when(safe, F.lower(F.trim("TO_MODULE_ID")))))
+    short = F.lower(F.regexp_extract(F.trim("TO_CLASS"), "([^\\\\]*)\\\\*$", 1))
+    wanted = handlers.select("ID", F.explode(scopes).alias("scope"), F.lower(F.trim("TO_METHOD")).alias("method"), short.alias("class"), (F.trim("TO_CLASS") == "").alias("bare")).where("method <> ''")
+    met = wanted.join(methods, ["scope", "method"])
+    hit = met.where("bare").select("ID", "path").unionByName(met.where("NOT bare").join(classes, ["path", "class"]).select("ID", "path"))
     return hit.groupBy("ID", F.lower("path").alias("__p")).agg(F.min("path").alias("path")).select("ID", "path")
 
 
+def agent_key(f: Column) -> Column:
+    """Agents merge findings of one id, target, type, place and excerpt."""
+    return F.concat_ws(":", *[F.coalesce(f[c].cast("string"), F.lit("")) for c in ("signature_id", "target", "rule_type", "offset")], F.sha1(F.coalesce(f["excerpt"], F.lit(""))))
+
+
+def handler_key(f: Column) -> Column:
+    """Handlers merge findings of one id, target, type, resolved file, reason and excerpt."""
+    said = [F.coalesce(F.get_json_object(f["trace"], f"$.{k}"), F.lit("")) for k in ("resolved_file", "risk_reason")]
+    return F.concat_ws(":", *[F.coalesce(f[c], F.lit("")) for c in ("signature_id", "target", "rule_type")], *said, F.sha1(F.coalesce(f["excerpt"], F.lit(""))))
+
+
 def scan_handlers(handlers: DataFrame, modules: DataFrame | None = None, files: DataFrame | None = None, config: ScanConfig = ScanConfig(), code: bool = True) -> DataFrame:
     """Results of handlers with findings: their own risks and those of the files that define them."""
     rows = with_installed(strings(handlers, HANDLER), "TO_MODULE_ID", modules)
@@ -170,5 +203,6 @@ def scan_handlers(handlers: DataFrame, modules: DataFrame | None = None, files:
         extra = F.filter(F.flatten(F.transform(F.coalesce("__files", F.filter(F.col("__files"), lambda x: F.lit(False))), of_file)), lambda f: f.isNotNull())
         df = df.withColumn("own", F.concat("own", F.coalesce(extra.cast(FINDINGS), no_findings())))
     df = df.select("ID", "file_path", F.lit(None).cast("string").alias("file_hash"), F.col("own").alias("findings")).where(F.size("findings") > 0)
-    df = df.withColumn("findings", tagged(F.col("findings"), F.col("file_path"), config.document_root))
+    df = fenced(df, findings=deduped(F.col("findings"), handler_key))
+    df = fenced(df, findings=tagged(F.col("findings"), F.col("file_path"), config.document_root))
     return summed(df, config)

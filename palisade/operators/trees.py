@@ -75,11 +75,11 @@ def chunks_folded(rows: DataFrame, config: ScanConfig, rules=RULES) -> DataFrame
     return out if config.urls else out.drop("__u")
 
 
-def tree_scanned(rows: DataFrame, config: ScanConfig = ScanConfig(), rules=RULES, known: Known | None = None, domains: DataFrame | None = None, code: bool = False) -> DataFrame:
-    """One result for each file of the source's rows: the columns of :data:`RESULT` and ``error``. Whole and chunked files are
-    read apart, each once."""
+def tree_scanned(rows: DataFrame, config: ScanConfig = ScanConfig(), rules=RULES, known: Known | None = None, domains: DataFrame | None = None, code: bool = False, large: DataFrame | None = None) -> DataFrame:
+    """One result for each file of the source's rows: the columns of :data:`RESULT` and ``error``. Whole and chunked files go apart: ``rows``
+    is read twice, unless ``large`` has the chunked ones, read for themselves."""
     small = analyzed(rows.where("chunked = false"), config, rules, code, True, ("sha256", "error")).withColumn("file_hash", F.col("sha256")).drop("sha256")
-    df = small.unionByName(chunks_folded(rows.where("chunked = true"), config, rules))
+    df = small.unionByName(chunks_folded((rows if large is None else large).where("chunked = true"), config, rules))
     bad, clear = F.col("error").isNotNull(), no_findings()
     df = df.withColumns({c: F.when(bad, clear).otherwise(F.col(c)) for c in ("__before", "__after")})
     if config.urls:

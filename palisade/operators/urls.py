@@ -4,6 +4,8 @@ As in the engine whose results these match, a file counts only if it holds exact
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,12 @@ def normal_domain(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "^[a-z][a-z0-9+.-]*://", ""), "[/:].*$", ""), F.lit("."))
 
 
+def plain_domain(text: str) -> str:
+    """:func:`normal_domain` of one entry of a list on the driver."""
+    bare = re.sub(r"^https?://", "", text.strip().lower())
+    return re.sub(r"(?s)[/:].*$", "", bare).strip(". \t\r\n")
+
+
 def match_domains(urls: DataFrame, domains: DataFrame, key: str = "path") -> DataFrame:
     """(key, match struct) for rows with a ``domain`` that the list holds, exactly or by a parent.
 

@@ -477,7 +477,7 @@ _AG = f"WITH a AS ({O.sql_agents()}), f AS (SELECT id, active, unnest(list_filte
 @query("agent_heuristics", _AG + " SELECT id::VARCHAR AS id, x.s AS signature_id, least(x.c + CASE WHEN active = 'Y' THEN 1 ELSE 0 END, 10)::INT AS score FROM f")
 def q_agents(spark, sf):
     rows = tables.with_installed(tables.strings(O.agents(spark, sf), tables.AGENT), "MODULE_ID", O.modules(spark))
-    f = tables.agent_findings(F.col("NAME"), F.col("MODULE_ID"), F.col("ACTIVE"), F.col("installed"), F.lit(None).cast("string"))
+    f = tables.agent_findings(F.col("NAME"), F.col("MODULE_ID"), F.col("ACTIVE"), F.col("installed"))
     return rows.select(F.col("ID").alias("id"), F.explode(f).alias("f")).select("id", "f.signature_id", "f.score")
 
 
@@ -552,8 +552,8 @@ def q_report_tags(spark, sf):
 
 @query("full_scan")
 def q_full(spark, sf):
-    known = hashdb.hash_findings(hashdb.matches(files(spark, sf), hashdb.database(O.hash_items(spark, sf))))
-    df = scanned(files(spark, sf), CONFIG, hash_findings=known, domains=O.domains(spark), code=True)
+    known = hashdb.Known(hashdb.database(O.hash_items(spark, sf)))
+    df = scanned(files(spark, sf), CONFIG, known=known, domains=O.domains(spark), code=True)
     return df.select("file_path", "file_hash", "normalized_hash", "score", "severity", "status", F.array_join("tags", ",").alias("tags"), F.array_join(F.transform("findings", lambda f: f["signature_id"]), ",").alias("signatures"))
 
 

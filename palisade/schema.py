@@ -21,10 +21,26 @@ def as_column(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def sql_literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "NULL" if v is None else str(v)
+
+
 def finding(signature_id, **values) -> Column:
-    """A finding struct; fields not given take their defaults, or null."""
+    """A finding struct; fields not given take their defaults, or null. What is fixed is one SQL text, since a plan holds many findings
+    and each part of a column is a call to the JVM."""
     got = {"signature_id": signature_id, "name": signature_id} | DEFAULTS | values
-    return F.struct(*[as_column(got.get(k)).cast(t).alias(k) for k, t in FIELDS.items()])
+    fixed = {k: None if isinstance(v, Column) else v for k, v in got.items()}
+    out = F.expr("named_struct(" + ", ".join(f"'{k}', cast({sql_literal(fixed.get(k))} as {t})" for k, t in FIELDS.items()) + ")")
+    moving = {k: v.cast(FIELDS[k]) for k, v in got.items() if isinstance(v, Column)}
+    return with_values(out, moving)
+
+
+def with_values(struct: Column, values: dict[str, Column]) -> Column:
+    for k, v in values.items():
+        struct = struct.withField(k, v)
+    return struct
 
 
 def no_findings() -> Column:

@@ -2,8 +2,8 @@
 
 Planning lists paths and prunes by extension, exclusions and profile; tasks open the files, leave out binary ones and read the rest.
 Each partition is a share of files of about equal bytes. Files over the size limit come in overlapping chunks, with their place
-in the file and, on the last one, the SHA-256 of the whole file, taken while it is read. A filter on ``chunked`` is
-answered from the listing, so that a read of whole files does not open the large ones, nor the other way round.
+in the file and, on the last one, the SHA-256 of the whole file, taken while it is read. The option ``chunked`` asks for large or
+for other files alone; it is answered from the listing, so that the rest is not opened.
 
 The order of a scan is depth first by name, so the last path visited says all of what is left: it is the
 stream's offset. A step lists the folders above it and what follows, up to a bound of files and nodes; partitions of
@@ -17,7 +17,7 @@ import os
 from collections.abc import Iterator
 from urllib.parse import quote_from_bytes, unquote_to_bytes
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from palisade.config import ConfigError, ScanConfig, normal_path
 
@@ -197,14 +197,8 @@ class Reader(DataSourceReader):
     def __init__(self, options):
         self.config = config_of(options)
         self.share_bytes = int(options.get("partitionbytes", options.get("partitionBytes", 64 << 20)))
-        self.chunked: bool | None = None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("chunked",):
-                self.chunked = f.value
-            else:
-                yield f
+        asked = options.get("chunked", "")
+        self.chunked = None if not asked else asked.lower() == "true"
 
     def partitions(self):
         limit = self.config.max_file_mb << 20
@@ -290,7 +284,6 @@ def prepared(spark, reader, config: ScanConfig, options: dict):
 
 
 def read(spark, config: ScanConfig, **options):
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return prepared(spark, spark.read, config, options)
 
 

@@ -158,18 +158,149 @@ def read_feed(path: str) -> list[dict]:
     return [{"ord": i, **r, "hash": r.get("hash") or r.get("sha256")} for i, r in enumerate(rows)]
 
 
-def read_items(path: str, key: str = "items") -> list:
-    """The list of a JSON database: hash items, hash prefixes or suspicious domains."""
+def read_list(path: str, key: str, what: str) -> tuple[dict, list, list[str]]:
+    """(the object, its list under ``key``, warnings) of a JSON database. A file that is not there is an empty one, without a warning."""
+    if not path.strip() or not os.path.isfile(path):
+        return {}, [], []
+    if not os.access(path, os.R_OK):
+        return {}, [], [f"{what}_not_readable:{path}"]
     try:
-        with open(path) as f:
-            got = json.load(f)
+        with open(path, errors="replace") as f:
+            text = f.read()
     except OSError:
-        raise StoreError("database_not_readable") from None
+        text = ""
+    if not text.strip():
+        return {}, [], [f"{what}_empty_or_unreadable:{path}"]
+    try:
+        got = json.loads(text)
     except ValueError:
-        raise StoreError("database_json_invalid") from None
-    if not isinstance(got, dict) or not isinstance(got.get(key), list):
-        raise StoreError("database_format_invalid")
-    return got[key]
+        got = None
+    if not isinstance(got, dict) or not isinstance(got.get(key), (list, dict)):
+        return {}, [], [f"{what}_invalid_json:{path}"]
+    algorithm = str(got.get("algorithm") or "sha256").lower()
+    if algorithm != "sha256":
+        return {}, [], [f"{what}_unsupported_algorithm:{algorithm}"]
+    items = got[key]
+    return got, list(items.values()) if isinstance(items, dict) else items, []
+
+
+def read_hashes(path: str) -> tuple[list[dict], list[str]]:
+    """(items, warnings) of a hash database; an item's source is by default that of the file."""
+    got, items, warnings = read_list(path, "items", "malware_hashes")
+    source = got.get("source") if isinstance(got.get("source"), dict) else {}
+    default = source.get("name", "malware_hashes")
+    rows = [{"ord": i, **x, "source": x.get("source", default), "tags": x.get("tags") if isinstance(x.get("tags"), list) else []} for i, x in enumerate(items) if isinstance(x, dict)]
+    return rows, warnings
+
+
+def read_prefixes(path: str) -> tuple[int, list[str], list[str]]:
+    """(length, prefixes, warnings) of a prefix index; its length is held within 8 to 12."""
+    got, items, warnings = read_list(path, "prefixes", "malware_hash_prefixes")
+    try:
+        length = int(got.get("prefix_length", 8))
+    except (TypeError, ValueError):
+        length = 0
+    return min(12, max(8, length)), [str(x) for x in items], warnings
+
+
+def read_domains(path: str) -> list[dict]:
+    """Items of a domain list; whatever fails gives an empty one. A repeated domain keeps its first place and takes the last values."""
+    from palisade.operators.urls import plain_domain
+
+    try:
+        with open(path, errors="replace") as f:
+            got = json.load(f)
+    except (OSError, ValueError):
+        return []
+    items = got.get("items") if isinstance(got, dict) else None
+    found: dict[str, dict] = {}
+    for x in items if isinstance(items, list) else []:
+        domain = plain_domain(str(x.get("domain") or "")) if isinstance(x, dict) else ""
+        if domain:
+            severity = str(x.get("severity", "high")).strip().lower()
+            found[domain] = {"domain": domain, "severity": severity if severity in ("info", "low", "medium", "high", "critical") else "high", "tags": x.get("tags") if isinstance(x.get("tags"), list) else []}
+    return [{"ord": i, **x} for i, x in enumerate(found.values())]
+
+
+class Snapshots:
+    """Named baselines in versions: each is written to a folder of its own that does not change again, and the pointer of a name moves to it when
+    it is whole. A write that fails leaves the pointer, and so the baseline, as it was."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        os.makedirs(folder, DIR_MODE, exist_ok=True)
+
+    def _named(self, name: str, *parts: str) -> str:
+        if not re.fullmatch(r"[A-Za-z0-9_.-]+", name) or name.strip(".") == "":
+            raise StoreError("baseline_name_invalid")
+        return os.path.join(self.folder, name, *parts)
+
+    def write(self, df, name: str = "default") -> str:
+        """Write a version and point to it; gives its id. Rows are in order of their path within sorted files."""
+        version = f"{time.time_ns():020d}_{uuid.uuid4().hex[:8]}"
+        place = self._named(name, version)
+        os.makedirs(self._named(name), DIR_MODE, exist_ok=True)
+        df.repartitionByRange("relative_path").sortWithinPartitions("relative_path").write.parquet(place)
+        write_json(self._named(name, f"{version}.json"), {"version": version, "created_at": time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime()), "files": df.sparkSession.read.parquet(place).count()})
+        write_json(self._named(name, "latest.json"), {"version": version})
+        return version
+
+    def latest(self, name: str = "default") -> str:
+        got = read_json(self._named(name, "latest.json"))
+        if not isinstance(got, dict):
+            raise StoreError("baseline_not_found")
+        return got["version"]
+
+    def read(self, spark, name: str = "default", version: str | None = None):
+        version = version or self.latest(name)
+        if not os.path.exists(self._named(name, f"{version}.json")):
+            raise StoreError("baseline_version_not_found")
+        return spark.read.parquet(self._named(name, version))
+
+    def list(self, name: str = "default", limit: int = 20) -> list[dict]:
+        """The newest versions first."""
+        if not os.path.isdir(self._named(name)):
+            return []
+        names = sorted((n for n in os.listdir(self._named(name)) if n.endswith(".json") and n != "latest.json"), reverse=True)
+        return [m for n in names[:limit] if isinstance(m := read_json(self._named(name, n)), dict)]
+
+    def names(self) -> list[str]:
+        return sorted(n for n in os.listdir(self.folder) if os.path.exists(os.path.join(self.folder, n, "latest.json")))
+
+    def difference(self, spark, name: str, old: str, new: str | None = None):
+        """What changed from one version to another, the latest by default."""
+        from palisade.operators import baseline
+
+        return baseline.difference(self.read(spark, name, old), self.read(spark, name, new))
+
+
+REPORT_SORTS = ("scan_id", "started_at", "status", "finished_at", "processed_files", "found_total", "runtime_errors", "profile")
+REPORT_NUMBERS = ("processed_files", "found_total", "runtime_errors")
+
+
+def sorted_reports(reports: list[dict], field: str = "started_at", order: str = "desc") -> list[dict]:
+    """A list of report summaries by one field; unknown ones by start. Equal ones stay as they are."""
+    field = field if field in REPORT_SORTS else "started_at"
+    key = (lambda r: int(r.get(field) or 0)) if field in REPORT_NUMBERS else (lambda r: str(r.get(field) or ""))
+    return stable(reports, key, order)
+
+
+def stable(rows: list[dict], key, order: str) -> list[dict]:
+    down = order.lower() != "asc"
+    return [r for _, r in sorted(enumerate(rows), key=lambda x: (key(x[1]), -x[0] if down else x[0]), reverse=down)]
+
+
+RULE_SORTS = ("id", "active", "type", "value", "created_at", "created_by", "disabled_at")
+
+
+def exception_rows(rules: list[dict], suppressions: list[dict], field: str = "created_at", order: str = "desc") -> list[dict]:
+    """Whitelist rules and suppressed findings as one list: id, active, type, value, created_at, created_by, disabled_at."""
+    value = lambda r: next((str(r[k]) for k in ("path", "pattern", "hash", "signature_id") if r.get(k)), "")
+    rows = [{"id": str(r.get("id", "")), "active": bool(r.get("active")), "type": r.get("type", ""), "value": value(r), **{k: r.get(k) for k in ("created_at", "created_by", "disabled_at")}} for r in rules]
+    rows += [{"id": f"suppression:{s.get('fingerprint', '')}", "active": True, "type": "finding", "value": str(s.get("fingerprint", "")), **{k: s.get(k) for k in ("created_at", "created_by")}, "disabled_at": None} for s in suppressions]
+    field = field if field in RULE_SORTS else "created_at"
+    key = (lambda r: int(r.get(field) or 0)) if field in ("active", "created_by") else (lambda r: str(r.get(field) or ""))
+    return stable(rows, key, order)
 
 
 def allowed_feed_url(url: str, hosts: tuple[str, ...] = ()) -> bool:

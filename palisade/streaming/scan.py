@@ -160,7 +160,7 @@ class ScanRun:
             if name == "agents":
                 res = scan_agents(table, self.modules, self.config)
             else:
-                files = sitefiles.read(self.spark, self.config).where("chunked = false AND error IS NULL").select("path", "content")
+                files = sitefiles.read(self.spark, self.config, chunked="false").where("error IS NULL").select("path", "content")
                 res = scan_handlers(table, self.modules, files, self.config).withColumn("normalized_hash", none)
             res.select(*columns, none.alias("error"), F.lit("db").alias("origin")).write.mode("overwrite").json(self.folder("results", name))
 
@@ -187,6 +187,17 @@ class ScanRun:
             state = self.step()
         return state
 
+    def resume_to_completion(self, limit: int = 1_000_000) -> dict:
+        """Go on with the run that holds the folder, from where its checkpoint stands; a new one if none does."""
+        held = stores.read_json(self.marker)
+        running = held is not None and (stores.read_json(os.path.join(self.work, str(held.get("scan_id")), "session.json")) or {}).get("status") == "running"
+        state = self.status() if running else self.start()
+        for _ in range(limit):
+            if state["status"] != "running":
+                break
+            state = self.step()
+        return state
+
     # -- what it found
 
     def results(self) -> DataFrame:
