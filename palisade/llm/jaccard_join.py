@@ -266,11 +266,12 @@ def measured(pairs: DataFrame, grams: DataFrame, sent) -> DataFrame:
     A pivot's set and up to :data:`SPOKES` of its members' sets come to one task in turn, so a task
     holds two sets at a time. ``lead``, ``mixed``: :func:`leading`, for the pairs that ``cell`` marks."""
     loads = staged(pairs.groupBy("p").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("copies")), "pivot-loads")
-    set_of = lambda c: grams.select(F.col("set").alias(c), "grams")
-    spokes = pairs.join(loads, "p").select("p", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int").alias("part"), F.lit(1).alias("role"), "x", "cell").join(set_of("x"), "x")
-    hubs = loads.select("p", F.explode(F.expr("sequence(0, copies - 1)")).alias("part"), F.lit(0).alias("role"), F.col("p").alias("x"), F.lit(False).alias("cell")).join(set_of("p"), "p")
-    names = ["p", "part", "role", "x", "cell", "grams"]
-    dealt = spokes.select(names).unionByName(hubs.select(names)).repartition("p", "part").sortWithinPartitions("p", "part", "role")
+    names = ["p", "part", "role", "x", "cell"]
+    spokes = pairs.join(loads, "p").select("p", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int").alias("part"), F.lit(1).alias("role"), "x", "cell")
+    hubs = loads.select("p", F.explode(F.expr("sequence(0, copies - 1)")).alias("part"), F.lit(0).alias("role"), F.col("p").alias("x"), F.lit(False).alias("cell"))
+    wanted = staged(spokes.select(names).unionByName(hubs.select(names)), "sets-wanted")
+    sets = with_small(grams.select(F.col("set").alias("x"), "grams"), wanted, ["x"], "inner")  # the sets themselves move once, to their pivots
+    dealt = sets.select(*names, "grams").repartition("p", "part").sortWithinPartitions("p", "part", "role")
     num, den = SIMILARITY.numerator, SIMILARITY.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
