@@ -71,6 +71,28 @@ def site_files(spark: SparkSession, sf_dir: str, edit: str = "") -> DataFrame:
     return docs.select("doc_id", place.alias("path"), content.alias("content"))
 
 
+#: What stands before and after a page's URL in its file of one link.
+LINKS = [('<a href="', '">x</a>'), ('<iframe src="', '"></iframe>'), ('<script src="', '"></script>'), ('<form method="post" action="', '">')]
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, content): every page's whole markup as a file."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select(F.col("page_id").alias("doc_id"), F.concat(F.lit("/site/p_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.coalesce("html", F.lit("")).alias("content"))
+
+
+def link_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, content): every page's URL in a file of its own, in one of the forms of :data:`LINKS`."""
+    p, i = spark.read.parquet(f"{sf_dir}/pages.parquet"), F.col("page_id")
+    content = F.concat(pick([a for a, _ in LINKS], i), F.coalesce("url", F.lit("")), pick([b for _, b in LINKS], i))
+    return p.select(i.alias("doc_id"), F.concat(F.lit("/site/l_"), i.cast("string"), F.lit(".html")).alias("path"), content.alias("content"))
+
+
+def at_root(files: DataFrame) -> DataFrame:
+    """Files whose names hold their number move from their site's folder to the root."""
+    return files.withColumn("path", F.regexp_replace("path", "^/site/s[0-9]+(/.*doc_[0-9]+[.][a-z]+)$", "/site$1"))
+
+
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     module = F.when(F.col("event_id") % 9 == 0, "").otherwise(F.col("event_type"))
@@ -122,6 +144,14 @@ def sql_files(edit: str = "") -> str:
     return f"SELECT doc_id, {place} AS path, {content} AS content FROM documents{where}"
 
 
+def sql_link(url: str) -> str:
+    return f"{sql_pick([a for a, _ in LINKS], 'page_id')} || {url} || {sql_pick([b for _, b in LINKS], 'page_id')}"
+
+
+def sql_at_root(files: str) -> str:
+    return f"SELECT * REPLACE (regexp_replace(path, '^/site/s[0-9]+(/.*doc_[0-9]+[.][a-z]+)$', '/site\\1') AS path) FROM ({files})"
+
+
 def sql_agents() -> str:
     return f"SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN '' ELSE event_type END AS module_id, {sql_pick(AGENTS, 'event_id')} AS name, CASE WHEN event_id % 2 = 0 THEN 'Y' ELSE 'N' END AS active FROM events"
 

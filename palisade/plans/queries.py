@@ -375,9 +375,9 @@ _BASE = f"WITH a AS ({sql_files('old')}), b AS ({sql_files('new')}), d AS (SELEC
 _CRIT = "(lower(rel) IN ('/bitrix/php_interface/init.php', '/local/php_interface/init.php') OR regexp_matches(rel, '(^|/)\\.htaccess$') OR regexp_matches(lower(rel), '^/(bitrix/admin|bitrix/tools|upload|local/modules|bitrix/modules)/'))"
 
 
-def base_diff(spark, sf, root="/site"):
-    config = ScanConfig.of(document_root=root)
-    return baseline.difference(baseline.snapshot(files(spark, sf, "old"), config), baseline.snapshot(files(spark, sf, "new"), config))
+def base_diff(spark, sf, root="/site", files=None):
+    config, files = ScanConfig.of(document_root=root), files or (lambda edit: O.site_files(spark, sf, edit))
+    return baseline.difference(baseline.snapshot(files("old"), config), baseline.snapshot(files("new"), config))
 
 
 @query("baseline_diff", _BASE + " SELECT rel AS relative_path, change, nh AS normalized_hash_changed FROM c")
@@ -508,7 +508,15 @@ def q_resolution(spark, sf):
     return tables.resolved(tables.strings(O.handlers(spark, sf), tables.HANDLER), handler_code(spark), "/site").select(F.col("ID").alias("id"), "path")
 
 
-@query("handler_results")
+_BAD = "to_class = 'CMain' AND to_method = 'OnAfter' OR to_class <> '' AND to_method = 'run' AND to_module_id = 'view'"
+_HR = _EV.replace("f AS (SELECT id,", "f0 AS (SELECT id,") + f""", f AS (SELECT id, x.s AS s, x.c AS c, 0 AS late FROM f0 UNION ALL SELECT id, unnest(['bitrix_event_handler_file_suspicious', 'bitrix_event_request_to_sink']), 10, unnest([1, 2]) FROM h WHERE {_BAD}),
+ o AS (SELECT *, late * 10 + CASE s WHEN 'bitrix_event_empty_module' THEN 0 WHEN 'bitrix_event_critical_hook_unknown_module' THEN 1 WHEN 'bitrix_event_dangerous_method_name' THEN 2 WHEN 'bitrix_event_dynamic_callable' THEN 3 ELSE 4 END AS place,
+  CASE WHEN late > 0 OR s = 'bitrix_event_request_to_sink' THEN 4 WHEN s = 'bitrix_event_empty_module' OR s = 'bitrix_event_critical_hook_unknown_module' AND c = 4 THEN 2 ELSE 3 END AS w FROM f),
+ g AS (SELECT id, sum(c)::INT AS total, max(w) AS w, string_agg(s, ',' ORDER BY place) AS signatures FROM o GROUP BY id)
+ SELECT id::VARCHAR AS "ID", total AS score, (['info', 'low', 'medium', 'high', 'critical'])[w + 1] AS severity, CASE WHEN total >= 8 THEN 'malicious' WHEN total >= 4 THEN 'suspicious' WHEN total > 0 THEN 'low_risk' ELSE 'clean' END AS status, signatures FROM g"""
+
+
+@query("handler_results", _HR)
 def q_handler_results(spark, sf):
     df = tables.scan_handlers(O.handlers(spark, sf), O.modules(spark), handler_code(spark), ScanConfig.of(document_root="/site"))
     return df.select("ID", "score", "severity", "status", F.array_join(F.transform("findings", lambda f: f["signature_id"]), ",").alias("signatures"))
@@ -547,6 +555,117 @@ def q_report_tags(spark, sf):
     return report.report_tags(rule_scan(spark, sf))
 
 
+# -- prefix bitmaps
+
+for _len in (8, 12):
+    _pre = f"p AS (SELECT DISTINCT substr(h, 1, {_len}) AS prefix FROM db WHERE h < '8')"
+
+    def _gate(length, counts):
+        def run(spark, sf):
+            db = hashdb.database(O.hash_items(spark, sf))
+            index = hashdb.prefix_filter(hashdb.prefixes(db.where("hash < '8'"), length), length)
+            rows = files(spark, sf).select("path", file_hash(F.col("content")).alias("hash"))
+            return hashdb.gate_counts(rows, index) if counts else hashdb.gated(rows, index).select("path", "hash")
+
+        return run
+
+    query(f"hash_prefix_bitmap_{_len}", f"{FILES}{_DB}, {_pre} SELECT path, sha256(content) AS hash FROM files WHERE substr(sha256(content), 1, {_len}) IN (SELECT prefix FROM p)")(_gate(_len, False))
+    query(f"hash_prefix_skipped_{_len}", f"""{FILES}{_DB}, {_pre}, n AS (SELECT ((count(*) * 16 + 32767) // 32768 * 32768)::BIGINT AS bits FROM p), b AS (SELECT DISTINCT ('0x' || prefix)::BIGINT % bits AS place FROM p, n)
+ SELECT count(*) AS hashes, count_if(('0x' || substr(sha256(content), 1, {_len}))::BIGINT % bits NOT IN (SELECT place FROM b))::BIGINT AS skipped FROM files, n""")(_gate(_len, True))
+
+
+# -- files made of pages
+
+_PAGES = "WITH files AS (SELECT page_id AS doc_id, '/site/p_' || page_id || '.html' AS path, coalesce(html, '') AS content FROM pages)"
+_LINKS = "WITH files AS (SELECT page_id AS doc_id, '/site/l_' || page_id || '.html' AS path, " + O.sql_link("coalesce(url, '')") + " AS content FROM pages)"
+
+
+@query("page_rule_findings", sql_all_rules().replace(FILES, _PAGES) + " SELECT path, signature_id, severity, score FROM found")
+def q_page_rules(spark, sf):
+    df = O.page_files(spark, sf).select("path", F.explode(rule_findings(F.col("path"), F.col("content"))).alias("f"))
+    return df.select("path", "f.signature_id", "f.severity", "f.score")
+
+
+@query("page_normalized_hash", f"{_PAGES} SELECT path, sha256(content) AS sha256, {_NORM} AS normalized_hash FROM files")
+def q_page_hashes(spark, sf):
+    return O.page_files(spark, sf).select("path", file_hash(F.col("content")).alias("sha256"), normalized_hash(F.col("content")).alias("normalized_hash"))
+
+
+@query("link_rule_findings", sql_all_rules().replace(FILES, _LINKS) + " SELECT path, signature_id, severity, score FROM found")
+def q_link_rules(spark, sf):
+    df = O.link_files(spark, sf).select("path", F.explode(rule_findings(F.col("path"), F.col("content"))).alias("f"))
+    return df.select("path", "f.signature_id", "f.severity", "f.score")
+
+
+@query("link_urls", _U.replace(FILES, _LINKS) + " SELECT path, url, domain, pos::BIGINT AS at, context FROM x")
+def q_link_urls(spark, sf):
+    return O.link_files(spark, sf).withColumn("u", url_info(F.col("content"))).where("u IS NOT NULL").select("path", "u.url", "u.domain", F.col("u.offset").alias("at"), "u.context")
+
+
+_LIST = " UNION ALL ".join(f"SELECT {i} AS ord, {lit(d)} AS known, {lit(sev)} AS severity" for i, (d, sev, _) in enumerate(O.DOMAINS))
+
+
+@query("link_domains", _U.replace(FILES, _LINKS) + f", k AS ({_LIST}), m AS (SELECT path, domain, known, severity, row_number() OVER (PARTITION BY path ORDER BY domain <> known, ord) AS r FROM x JOIN k ON domain = known OR ends_with(domain, '.' || known)) SELECT path, domain, known AS matched_domain, severity FROM m WHERE r = 1")
+def q_link_domains(spark, sf):
+    seen = O.link_files(spark, sf).select("path", url_info(F.col("content")).alias("u")).where("u IS NOT NULL").select("path", F.col("u.domain").alias("domain"))
+    return seen.join(match_domains(seen, O.domains(spark)), "path").select("path", "domain", F.col("match.domain").alias("matched_domain"), "match.severity")
+
+
+# -- baseline of a site whose files lie at its root
+
+def root_diff(spark, sf):
+    return base_diff(spark, sf, files=lambda edit: O.at_root(files(spark, sf, edit)))
+
+
+_AT = O.sql_at_root
+_ROOT = f"WITH a AS ({_AT(sql_files('old'))}), b AS ({_AT(sql_files('new'))}), d AS (SELECT substr(coalesce(b.path, a.path), 6) AS rel, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'deleted' WHEN a.content <> b.content THEN 'modified' END AS change FROM a FULL JOIN b ON a.path = b.path), c AS (SELECT * FROM d WHERE change IS NOT NULL)"
+_LOWER = f"lower(rel)"
+_T44 = f"""{_ROOT} SELECT rel AS relative_path, 'baseline_' || change || '_file' AS signature_id, 'medium' AS severity, CASE WHEN change = 'modified' THEN 4 ELSE 3 END::INT AS score FROM c
+ UNION ALL SELECT rel, 'baseline_critical_path_changed', 'high', 5::INT FROM c WHERE {_CRIT}
+ UNION ALL SELECT rel, 'baseline_php_in_upload', 'critical', 9::INT FROM c WHERE change = 'new' AND starts_with(lower(rel), '/upload/') AND regexp_matches(lower(rel), '\\.(php|php3|php4|php5|php7|php8|phtml|pht)$')
+ UNION ALL SELECT rel, 'baseline_unknown_file_in_tools', 'high', 7::INT FROM c WHERE change = 'new' AND (starts_with(lower(rel), '/bitrix/tools/') OR starts_with(lower(rel), '/bitrix/admin/'))"""
+
+
+@query("baseline_root_findings", _T44)
+def q_root_findings(spark, sf):
+    rows = baseline.results(root_diff(spark, sf)).select("relative_path", F.explode("findings").alias("f"))
+    return rows.select("relative_path", "f.signature_id", "f.severity", "f.score")
+
+
+@query("baseline_projection", f"WITH t AS ({_T44}) SELECT '/site' || relative_path AS \"FILE\", signature_id AS \"SIGNATURE\", severity AS \"SEVERITY\", score AS \"SCORE\", relative_path AS \"EXCERPT\", substr(md5('/site' || relative_path), 1, 16) AS id_start FROM t")
+def q_base_rows(spark, sf):
+    rows = report.baseline_projection(baseline.results(root_diff(spark, sf)))
+    return rows.select("FILE", "SIGNATURE", "SEVERITY", "SCORE", "EXCERPT", F.substring("ID", 1, 16).alias("id_start"))
+
+
+# -- the projection of a report's rows, and its pages
+
+_SEVERITY = f"CASE x.s WHEN 'bitrix_event_empty_module' THEN 'medium' WHEN 'bitrix_event_critical_hook_unknown_module' THEN CASE WHEN x.c = 7 THEN 'high' ELSE 'medium' END WHEN 'bitrix_event_request_to_sink' THEN 'critical' ELSE 'high' END"
+_VERDICT = "CASE WHEN total >= 8 THEN 'malicious' WHEN total >= 4 THEN 'suspicious' WHEN total > 0 THEN 'low_risk' ELSE 'clean' END"
+_REASON = """CASE x.s WHEN 'bitrix_event_empty_module' THEN 'empty_to_module_id' WHEN 'bitrix_event_critical_hook_unknown_module' THEN CASE WHEN regexp_matches(to_module_id, '^[a-zA-Z0-9_.-]+$') THEN 'module_not_installed' ELSE 'invalid_to_module_id' END
+ WHEN 'bitrix_event_dangerous_method_name' THEN lower(regexp_extract(to_method, '(?i)\\b(eval|assert|system|exec|shell_exec|passthru|proc_open)\\b', 1)) || CASE WHEN to_class = '' THEN '_without_class' ELSE '' END WHEN 'bitrix_event_dynamic_callable' THEN 'dynamic_callable' ELSE 'request_to_sink' END"""
+_EVP = _EV.replace("f AS (SELECT id,", "f AS (SELECT id, message_id, to_module_id, to_class, to_method,") + f""", g AS (SELECT *, x.s AS signature_id, {_SEVERITY} AS severity, {_REASON} AS reason, sum(x.c) OVER (PARTITION BY id)::INT AS total, 'bitrix-db://b_module_to_module/' || id AS path,
+ concat_ws(' ', 'main', message_id, nullif(to_module_id, ''), nullif(to_class, ''), nullif(to_method, '')) AS excerpt FROM f)"""
+
+
+@query("report_projection", _EVP + f""" SELECT 'finding_' || substr(md5(path), 1, 16) AS id_start, 'scan-1' AS scan_id, path AS file_path, '' AS file_hash, '' AS normalized_hash, sha256(lower(replace(path, '//', '/')) || chr(10) || signature_id || chr(10) || 'db_event' || chr(10) || sha256(substr(excerpt, 1, 512))) AS finding_fingerprint,
+ {_VERDICT} AS status, total AS score, severity, signature_id, 'bitrix_db' AS category, '' AS confidence, '' AS url, '' AS domain, '' AS hash, '' AS recommendation, excerpt, NULL::DOUBLE AS entropy, NULL::INT AS length, 'bitrix_event_handler' AS entity_type, id::VARCHAR AS db_id, to_module_id AS db_module_id, 'main' AS db_from_module_id,
+ message_id AS db_message_id, to_class AS db_to_class, to_method AS db_to_method, '100' AS db_sort, '' AS db_active, '' AS db_next_exec, reason AS risk_reason, '' AS resolved_file, path AS of_result, signature_id AS of_finding, 'b_module_to_module' AS of_trace FROM g""")
+def q_projection(spark, sf):
+    res = tables.scan_handlers(O.handlers(spark, sf), O.modules(spark)).withColumn("normalized_hash", F.lit(None).cast("string"))
+    rows = report.projection(res, "scan-1")
+    said = {"of_result": ("scan_result", "$.file_path"), "of_finding": ("finding", "$.signature_id"), "of_trace": ("db_trace", "$.table")}
+    return rows.withColumns({k: F.try_variant_get(c, p, "string") for k, (c, p) in said.items()}).withColumn("id_start", F.substring("id", 1, 24)).drop("id", "db_trace", "scan_result", "finding", "tags")
+
+
+@query("report_page", sql_all_rules() + " SELECT path AS file_path, signature_id, score FROM found ORDER BY signature_id, path LIMIT 50 OFFSET 150")
+def q_page(spark, sf):
+    rows = report.finding_rows(rule_results(spark, sf)).select("file_path", "signature_id", "score", "pos")
+    before = report.ordered(rows, "signature_id", False).limit(150).orderBy(F.desc("signature_id"), F.desc("file_path"), F.desc("pos")).first()
+    after = report.Place(before["signature_id"], before["file_path"], before["pos"]) if before else None
+    return report.page_after(rows, "signature_id", False, 50, after).select("file_path", "signature_id", "score")
+
+
 # -- whole scans and code, beyond SQL
 
 
