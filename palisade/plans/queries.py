@@ -580,10 +580,6 @@ _PAGES = "WITH files AS (SELECT page_id AS doc_id, '/site/p_' || page_id || '.ht
 _LINKS = "WITH files AS (SELECT page_id AS doc_id, '/site/l_' || page_id || '.html' AS path, " + O.sql_link("coalesce(url, '')") + " AS content FROM pages)"
 
 
-@query("page_rule_findings", sql_all_rules().replace(FILES, _PAGES) + " SELECT path, signature_id, severity, score FROM found")
-def q_page_rules(spark, sf):
-    df = O.page_files(spark, sf).select("path", F.explode(rule_findings(F.col("path"), F.col("content"))).alias("f"))
-    return df.select("path", "f.signature_id", "f.severity", "f.score")
 
 
 @query("page_normalized_hash", f"{_PAGES} SELECT path, sha256(content) AS sha256, {_NORM} AS normalized_hash FROM files")

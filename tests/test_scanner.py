@@ -44,6 +44,11 @@ CODE = {
     "$x = base64_decode($_POST['a']); assert($x);": ["php_ast_dangerous_call_assert", "taint_request_to_assert"],
     "$_GET['f']($x);": ["php_ast_superglobal_callable", "taint_request_to_dynamic_call"],
     "echo 'unfinished": [],
+    "class C { function m($x) { eval($_POST['a']); } }": ["php_ast_dangerous_call_eval", "taint_request_to_eval"],
+    "class C { public $p; function m() { $this->p = $_GET['a']; exec($this->p); passthru($this->q); } }": ["php_ast_dangerous_call_exec", "php_ast_dangerous_call_passthru", "taint_request_to_exec"],
+    "function a($x) { return b($x); } function b($y) { return $y; } $f = a($_GET['q']); system(trim($f));": ["php_ast_dangerous_call_system", "taint_request_to_system"],
+    "function loop($x) { return loop($x); } exec(loop(1)); $c = $c; exec($c);": ["php_ast_dangerous_call_exec"],
+    "$x = filter_var($_GET['x'], FILTER_VALIDATE_INT); system($x); system($_SERVER['DOCUMENT_ROOT']); system($_SERVER['HTTP_X']);": ["php_ast_dangerous_call_system", "taint_request_to_system"],
 }
 
 
@@ -56,6 +61,14 @@ def test_code_findings(source):
             assert f["score"] == 10 and json.loads(f["trace"])["risk"]["score"] == 10
 
 
+def test_trace_of_request_data():
+    text = "<?php\n$a = base64_decode($_POST['a']);\nfunction r($c) {\nsystem('x' . $c);\n}\nr($a);"
+    (f,) = [x for x in code_findings(text) if x["category"] == "php_taint"]
+    t = json.loads(f["trace"])
+    assert (t["source"], t["source_line"], t["sink"], t["sink_line"], f["line"]) == ("$_POST", 2, "system", 4, 4)
+    assert [x["name"] for x in t["transforms"]] == ["base64_decode", "param:c", "concat"] and f["excerpt"].startswith("source: $_POST -> transform: base64_decode")
+
+
 def test_code_without_tag_keeps_lines():
     assert [(f["signature_id"], f["offset"]) for f in code_findings("popen($x, 'r');")] == [("php_ast_dangerous_call_popen", 2)]
 
