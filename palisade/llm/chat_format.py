@@ -12,7 +12,8 @@ becomes ``\l``, so no text can hold a control string, and reading back is exact:
 that cover the assistant texts and nothing else.
 
 Defined cases: null texts and roles count as empty, and a null turn number sorts first. Turns with
-equal numbers follow each other by role, then text. Repeated rows are repeated turns. A conversation
+equal numbers follow each other by role, then text. Repeated rows are repeated turns. A table of rows may hold several layouts,
+which :func:`turns_from_rows` tells row by row. A conversation
 without turns does not occur in row layouts; a record whose list of messages is empty or null formats
 to the empty string. Records with an unknown fingerprint come back from :func:`unmapped`. Extra
 columns of a row table are ignored; extra fields of a record change its fingerprint on purpose.
@@ -125,25 +126,38 @@ def _item_turn(m: Mapping):
     return lambda x: F.struct(_role(m, F.try_element_at(x, F.lit(m.role))).alias("role"), F.coalesce(F.try_element_at(x, F.lit(m.text)), F.lit("")).alias("text"))
 
 
+def row_fingerprint(names: list[str]) -> Column:
+    """64 bits of the sorted paths of the fields that a row has: those of ``names`` that are not null."""
+    has = lambda n: F.when(F.col(n).isNotNull(), n)
+    return F.xxhash64(F.concat_ws(",", *[has(n) for n in sorted(names)]))
+
+
+def row_layouts(columns: list[str], mappings: tuple[Mapping, ...]) -> tuple[list[str], dict[frozenset[str], Mapping]]:
+    """(names, layouts): the columns by which row layouts differ, and the layout of each set of them that a row can have: the one
+    with most of its role and text there, of equal ones that listed first."""
+    usable = [m for m in mappings if m.kind == "rows" and {m.order, m.role, m.text} <= set(columns)]
+    names = sorted({c for m in usable for c in (m.order, m.role, m.text)})
+    sets = [frozenset(n for i, n in enumerate(names) if bits >> i & 1) for bits in range(1 << len(names))] if usable else []
+    return names, {s: max(usable, key=lambda m: len({m.role, m.text} & s)) for s in sets}
+
+
 def turns_from_rows(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(id, turns) from a row a turn. Each row is a record of the columns that a row mapping needs (the id as
-    ``conv_id``), and the fingerprint of its field paths selects the mapping; rows of unknown layout are an error."""
-    named = {"conv_id": id_col}
-    turn_type = "struct<o:string,role:string,text:string>"
-    turn, order = F.lit(None), None
-    for m in mappings:
-        needs = [named.get(c, c) for c in ("conv_id", m.order, m.role, m.text)]
-        if m.kind != "rows" or not set(needs) <= set(df.columns):
-            continue
-        order = df.schema[m.order].dataType.simpleString()
-        turn_type = f"struct<o:{order},role:string,text:string>"
-        record = F.struct(*[F.col(c).alias(k) for k, c in zip(("conv_id", m.order, m.role, m.text), needs)])
-        own = F.struct(F.col(m.order).alias("o"), _role(m, F.col(m.role)).alias("role"), F.coalesce(F.col(m.text), F.lit("")).alias("text"))
-        turn = F.when(fingerprint(F.to_variant_object(record)) == shape_key(m), own.cast(turn_type)).otherwise(turn.cast(turn_type))
-    if order is None:
+    """(id, turns) from a row a turn. The fingerprint of the fields that a row has selects its mapping, row by row: a table may hold several
+    layouts, also within a conversation. Null roles and texts are fields that a row lacks, so that sets without them have
+    mappings too. A row with the fields of two layouts is read by that listed first. A table without all columns of a row mapping is an error."""
+    names, layouts = row_layouts(df.columns, mappings)
+    if not layouts:
         raise ValueError(f"no row mapping for {table_shape(df.schema)}")
-    known = F.coalesce(turn, F.raise_error(F.lit("a row of unknown layout")).cast(turn_type))
-    grouped = df.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(known)).alias("turns"))
+    used = list({m.name: m for m in layouts.values()}.values())
+    order = df.schema[used[0].order].dataType.simpleString()
+    turn_type = f"struct<o:{order},role:string,text:string>"
+    by_print = F.create_map(*[x for s, m in layouts.items() for x in (F.xxhash64(F.lit(",".join(sorted(s)))), F.lit(m.name))])
+    turn = F.lit(None).cast(turn_type)
+    for m in used:
+        own = F.struct(F.col(m.order).try_cast(order).alias("o"), _role(m, F.col(m.role)).alias("role"), F.coalesce(F.col(m.text), F.lit("")).alias("text"))
+        turn = F.when(F.col("__layout") == m.name, own.cast(turn_type)).otherwise(turn)
+    told = df.withColumn("__layout", F.element_at(by_print, row_fingerprint(names)))
+    grouped = told.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     return grouped.select(id_col, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 

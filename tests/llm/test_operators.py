@@ -218,7 +218,7 @@ def test_layouts_by_fingerprint(spark):
 
 def test_language_gradients():
     net = L.Network(["a", "b"])
-    words, labels, weights = np.array([[100, 101, 102], [103, 104, 100]], np.uint8), np.array([0, 1]), np.array([1.0, 2.0], np.float32)
+    words, labels, weights = np.stack([L.framed(b"def gh"), L.framed("éa".encode())]), np.array([0, 1]), np.array([1.0, 2.0], np.float32)
     _, grads = net.gradients(words, labels, weights)
     for g, p in zip(grads, net.parameters()):
         i = np.unravel_index(np.abs(g).argmax(), p.shape)
@@ -294,3 +294,73 @@ def test_chat_row_layouts_by_fingerprint(spark):
     told = {r.id: r.turns and [tuple(t) for t in r.turns] for r in C.turns_from_records(record, "id", "r").collect()}
     assert chat == {1: [("user", "q"), ("assistant", "")]} and told[1] == chat[1]
     assert C.turns_from_rows(plain.limit(0)).count() == 0
+
+
+def test_chat_table_with_two_row_layouts(spark):
+    schema = "conv_id long, turn long, role string, text string, `from` string, value string"
+    rows = [
+        (1, 0, "user", "a", None, None), (1, 1, None, None, "gpt", "b"), (1, 2, None, None, "human", None), (2, 0, None, "only text", None, None), (2, 1, None, None, None, "only value"), (2, 2, None, None, None, None),
+        (3, 0, "bot", "own", "human", "other"), (3, None, "user", "first", None, None), (4, 0, "user", "x", "gpt", None),
+    ]
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in C.turns_from_rows(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: [("user", "a"), ("assistant", "b"), ("user", "")], 2: [("", "only text"), ("", "only value"), ("", "")], 3: [("user", "first"), ("bot", "own")], 4: [("user", "x")]}
+    with pytest.raises(ValueError, match="no row mapping"):
+        C.turns_from_rows(spark.createDataFrame([(1, "a")], "conv_id long, text string"))
+
+
+def plain_network(net, text):
+    """The same network by plain loops over one text: the sum of its positions' probabilities."""
+    import math
+
+    def states(way, symbols):
+        h, out = [0.0] * L.HIDDEN, []
+        for s in symbols:
+            g = [float(v) for v in way.x[s]]
+            a = [sum(h[i] * float(way.u[i, j]) for i in range(L.HIDDEN)) for j in range(3 * L.HIDDEN)]
+            z, r = ([1 / (1 + math.exp(-(g[k + i] + a[k + i]))) for i in range(L.HIDDEN)] for k in (0, L.HIDDEN))
+            new = [math.tanh(g[2 * L.HIDDEN + i] + r[i] * a[2 * L.HIDDEN + i]) for i in range(L.HIDDEN)]
+            h = [new[i] + z[i] * (h[i] - new[i]) for i in range(L.HIDDEN)]
+            out.append(h)
+        return out
+
+    total = [0.0] * len(net.langs)
+    at = lambda i: text[i] if 0 <= i < len(text) else L.EDGE
+    for start in range(0, len(text), L.CORE):
+        core = -(-min(L.CORE, len(text) - start) // L.GRID) * L.GRID
+        symbols = [at(i) for i in range(start - L.CONTEXT, start + core + L.CONTEXT)]
+        ahead, back = states(net.ways[0], symbols), states(net.ways[1], symbols[::-1])[::-1]
+        for i in range(min(core, len(text) - start)):
+            both = ahead[L.CONTEXT + i] + back[L.CONTEXT + i]
+            e = [math.exp(float(net.bias[k]) + sum(v * float(net.out[j, k]) for j, v in enumerate(both))) for k in range(len(net.langs))]
+            total = [t + x / sum(e) for t, x in zip(total, e)]
+    return total
+
+
+def test_language_scores_equal_plain_loops(monkeypatch):
+    """The batched network against one that walks over bytes one by one; also when few windows go through at a time."""
+    net = L.Network(["a", "b", "c"], seed=4)
+    texts = [b"x", "Straße und mehr".encode(), bytes(range(256)) * 2, b"a" * L.CORE, b"b" * (L.CORE + 1), b"c d " * 40]
+    want = [plain_network(net, t) for t in texts]
+    assert np.abs(net.scores(texts) - np.array(want)).max() < 2e-3
+    monkeypatch.setattr(L, "WIDE", 2)
+    assert np.abs(net.scores(texts[::-1]) - np.array(want[::-1])).max() < 2e-3
+    said = L.predict(net, [t.decode("latin-1") for t in texts] + [None, "", "12 !"])
+    assert said[-3:] == [("und", 0.0)] * 3 and said[0][0] == net.langs[int(np.argmax(want[0]))]
+    monkeypatch.setattr(L, "TOGETHER", 1)
+    again = L.predict(net, [t.decode("latin-1") for t in texts])
+    assert [a for a, _ in again] == [a for a, _ in said[:-3]] and [b for _, b in again] == pytest.approx([b for _, b in said[:-3]], abs=1e-5)
+
+
+def test_language_states_cross_white_space():
+    """A position's label depends on the words around its own."""
+    net = L.Network(["a", "b"], seed=1)
+    one, two = (net._positions(L.framed(t)[None])[0][0:2] for t in (b"de la casa", b"de xx yyyy"))
+    assert np.abs(one - two).max() > 1e-6
+
+
+def test_language_repeated_rows_ties_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "abc abc", "xx"), (1, "abc abc", "xx"), (2, "abc abc", "yy"), (3, "abc", "yy")], f"{DOCS}, lang string").withColumn("lang_pred", F.lit(1))
+    net = L.trained(df, max_pieces=3)
+    got = L.predicted(df, net).collect()
+    assert len(got) == 4 and got[0] == got[1] and got[0].lang_pred in ("xx", "yy")
+    assert L.predicted(df.limit(0), net).count() == 0 and L.trained(df.limit(0)) is None
