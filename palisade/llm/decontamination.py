@@ -5,7 +5,9 @@ window, so substituted words at ignored positions leave it alone. Seeds of the b
 with those of the documents; a hit fixes a document, an item and a diagonal, and on that diagonal the
 best-scoring runs of matching words (a match 1, a substitution -1.5) are the overlaps: the best one, then the best
 to its left and right, for as long as they hold :data:`MIN_ITEM` matches. An item is found in a document if its
-overlaps match at least :data:`MIN_WORDS` of its words, or three fifths of a shorter item; substituted words do not count.
+overlaps match at least :data:`MIN_WORDS` of its words, or three fifths of a shorter item, and one overlap alone matches
+:data:`MIN_RUN` of them, or as many as the item needs at all; substituted words do not count. The second bound keeps items apart that
+share many five-word phrases with a text without any longer passage.
 
 The benchmark is a query set: it is taken in blocks of at most ``block_words`` words, each of which
 workers hold whole; every block meets all rows, and no row is shuffled.
@@ -35,6 +37,8 @@ from palisade.llm.wordhash import ALNUM_SPLIT, gathered, window_hash, words_of
 MASKS = ("1110111", "11011011", "1010011011", "11111")
 MIN_WORDS = 10
 MIN_ITEM = 5
+#: Matching words that one overlap of a found item has at least.
+MIN_RUN = 6
 #: Words of the benchmark in a block: some 64 MB of seeds in a worker.
 BLOCK_WORDS = 1_000_000
 #: Bits of the first look at a seed.
@@ -119,7 +123,7 @@ class Seeds:
                     covered[matches] = True
                     best = max(best, (len(matches), own, other))
             need = min(MIN_WORDS, math.ceil(0.6 * size))
-            if size >= MIN_ITEM and covered.sum() >= need and best[0] >= min(need, 6):
+            if size >= MIN_ITEM and covered.sum() >= need and best[0] >= min(need, MIN_RUN):
                 yield d, i, int(covered.sum()), size, best[1], best[2]
 
 

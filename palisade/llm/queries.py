@@ -54,7 +54,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(parts).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-#: The rules and the policy of OP5_SQL: those of version v2.
+#: The rules and the policy of OP5_V2_SQL.
 V2_BITS, V2 = 0b1111111, "v2"
 
 
@@ -65,12 +65,12 @@ def quality_rows(spark: SparkSession, sf_dir: str, policy: str, known: int) -> D
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_rules.verdict(policy).alias("kept"), "n_lines", "n_letters", "failure_bits")
 
 
-def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of every whole document, with the verdict of policy v2 and the bits it knew."""
+def op5_quality_rules_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every whole document, with the verdict of the earlier policy v2 and the bits it knew."""
     return quality_rows(spark, sf_dir, V2, V2_BITS)
 
 
-OP5_SQL = r"""
+OP5_V2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -90,13 +90,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
-def op5_quality_rules_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of every whole document with all bits and the verdict of policy v3."""
-    return quality_rows(spark, sf_dir, "v3", -1)
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every whole document with all bits and the verdict of the current policy, which the pipeline enforces too."""
+    return quality_rows(spark, sf_dir, quality_rules.CURRENT, -1)
 
 
-OP5_V3_SQL = f"""
-WITH v2 AS ({OP5_SQL}),
+OP5_SQL = f"""
+WITH v2 AS ({OP5_V2_SQL}),
 x AS (SELECT *, failure_bits + CASE WHEN 10 * n_symbols > n_words THEN 128 ELSE 0 END AS bits FROM v2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (bits & 191) = 0 AS kept, n_lines, n_letters, bits AS failure_bits FROM x
 """
@@ -266,5 +266,5 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(pages, URL_RULES, url_filter.trained(pages, URL_RULES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op5_quality_rules_v3": op5_quality_rules_v3, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_line_dedup": op9_line_dedup, "op9_line_dedup_words": op9_line_dedup_words, "op10_warc": op10_warc, "op11_merkle_manifest": op11_merkle_manifest, "op12_hard_negatives": op12_hard_negatives, "op13_url_filter": op13_url_filter}
-ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op5_quality_rules_v3": OP5_V3_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_words": OP9_WORDS_SQL, "op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_token_counts": op3_token_counts, "op4_packing": op4_packing, "op5_quality_rules": op5_quality_rules, "op5_quality_rules_v2": op5_quality_rules_v2, "op6_chat_format": op6_chat_format, "op7_language_id": op7_language_id, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op9_line_dedup": op9_line_dedup, "op9_line_dedup_words": op9_line_dedup_words, "op10_warc": op10_warc, "op11_merkle_manifest": op11_merkle_manifest, "op12_hard_negatives": op12_hard_negatives, "op13_url_filter": op13_url_filter}
+ORACLES: dict[str, str] = {"op1_sharding": OP1_SQL, "op5_quality_rules": OP5_SQL, "op5_quality_rules_v2": OP5_V2_SQL, "op6_chat_format": OP6_SQL, "op9_line_dedup": OP9_SQL, "op9_line_dedup_words": OP9_WORDS_SQL, "op10_warc": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL}

@@ -23,7 +23,7 @@ def test_current_policy_rejects_symbol_junk_and_repeated_lines(spark):
     assert alone["symbols_per_word"] == 1
 
 
-@pytest.mark.parametrize("name", ["op5_quality_rules", "op5_quality_rules_v3"])
+@pytest.mark.parametrize("name", ["op5_quality_rules", "op5_quality_rules_v2"])
 def test_ledgers_equal_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
