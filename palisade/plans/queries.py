@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palisade.config import DEEP_EXTENSIONS, STANDARD_EXTENSIONS, THRESHOLDS, ScanConfig
 from palisade.functions import paths
 from palisade.functions.hashes import excerpt_hash, file_hash, fingerprint, normalized_hash, shannon
-from palisade.operators import baseline, hashdb, report, tables, whitelist
+from palisade.operators import baseline, hashdb, htaccess, report, tables, whitelist
 from palisade.operators.entropy import candidates, entropy_findings
 from palisade.operators.findings import has_risk, scanned
 from palisade.operators.htaccess import htaccess_findings, lines, rewrites
@@ -363,7 +363,26 @@ def q_ht_rewrites(spark, sf):
     return df.select("path", "r.n", F.array_join("r.ctx", " ; ").alias("context"))
 
 
-@query("htaccess_findings")
+_HM = lambda p, c="t": f"regexp_matches({c}, {lit('(?i)' + p)})"
+_HX = "lower(regexp_extract(rest, '(?i)\\.[a-z0-9_+-]+'))"
+_HS = " OR ".join(f"strpos(lower(path), {lit(x)}) > 0" for x in htaccess.SENSITIVE)
+_HF = _HT + f""", m AS (SELECT *, {_HM("^\\s*RewriteCond\\b")} AS cond, {_HM("^\\s*RewriteRule\\b")} AS rule, strpos(lower(t), '<files') > 0 AS keep FROM k),
+ s AS (SELECT *, coalesce(sum(CASE WHEN rule OR NOT (cond OR keep) THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM m),
+ w AS (SELECT r.path, r.n, r.t, coalesce((SELECT list(t ORDER BY n) FROM (SELECT c.t, c.n FROM s c WHERE c.path = r.path AND c.run = r.run AND c.cond AND c.n < r.n ORDER BY c.n DESC LIMIT 4)), []) AS ctx FROM s r WHERE r.rule),
+ x AS (SELECT *, regexp_extract(t, {lit('(?i)' + htaccess.HANDLER)}, 1) AS rest FROM k),
+ y AS (SELECT *, {_HM(htaccess.HANDLER)} AND len(regexp_extract_all(rest, '(?i)\\.[a-z0-9_+-]+')) = 1 AND {_HX} IN ({', '.join(map(lit, htaccess.STATIC))}) AS handler, {_HX} AS ext FROM x),
+ f AS (SELECT path, 'htaccess_php_handler_for_static_ext' AS signature_id, 'critical' AS severity, 10 AS score, n, t || ' | extension: ' || ext AS excerpt FROM y WHERE handler
+  UNION ALL SELECT path, 'htaccess_php_handler_for_static_ext', 'critical', 10, n, t FROM y WHERE NOT handler AND {_HM(htaccess.SET_HANDLER)}
+  UNION ALL SELECT path, 'htaccess_auto_prepend_append', 'critical', 10, n, t FROM y WHERE {_HM(htaccess.PREPEND)}
+  UNION ALL SELECT path, 'htaccess_embedded_code', 'critical', 10, n, t FROM y WHERE {_HM(htaccess.EMBEDDED)}
+  UNION ALL SELECT path, 'htaccess_foreign_cms_marker', CASE WHEN {_HM(htaccess.CMS_HIGH)} THEN 'high' ELSE 'medium' END, CASE WHEN {_HM(htaccess.CMS_HIGH)} THEN 6 ELSE 4 END, n, t FROM y WHERE {_HM(htaccess.CMS)}
+  UNION ALL SELECT path, 'htaccess_access_bypass', 'high', 7, n, t || ' | path: ' || lower(path) FROM y WHERE ({_HS}) AND {_HM(htaccess.BYPASS)}
+  UNION ALL SELECT path, 'htaccess_suspicious_rewrite', 'high', 7, n, t || CASE WHEN len(ctx) > 0 THEN ' | context: ' || array_to_string(ctx, ' ; ') ELSE '' END FROM w
+   WHERE {_HM(htaccess.CONDITION, "t || chr(10) || array_to_string(ctx, chr(10))")} OR {_HM(htaccess.TARGET, "t || chr(10) || array_to_string(ctx, chr(10))")})
+ SELECT path, signature_id, severity, score::INT AS score, n::BIGINT AS line, excerpt FROM f"""
+
+
+@query("htaccess_findings", _HF)
 def q_ht_findings(spark, sf):
     df = files(spark, sf).select("path", F.explode(htaccess_findings(F.col("path"), F.col("content"))).alias("f"))
     return df.select("path", "f.signature_id", "f.severity", "f.score", F.col("f.offset").alias("line"), "f.excerpt")
