@@ -27,8 +27,13 @@ class Parser(argparse.ArgumentParser):
         raise Usage(message)
 
 
+#: Options that go to the configuration as they are, if given.
+NUMBERS = ("normalized-hash-max-mb", "ast-max-bytes", "entropy-threshold", "entropy-min-length", "prefix-length")
+
+
 def parser() -> Parser:
     p = Parser(prog="palisade", allow_abbrev=False)
+    p.add_argument("--version", action="version", version="palisade 0.3")
     p.add_argument("command", choices=["scan", "baseline-create", "baseline-update", "baseline-check", "import-hashes"])
     p.add_argument("--document-root", default="")
     p.add_argument("--scan-path", action="append", default=[])
@@ -38,13 +43,75 @@ def parser() -> Parser:
     p.add_argument("--action", default="report")
     p.add_argument("--batch-size", default="50")
     p.add_argument("--max-file-mb", default="100")
-    for flag in ("force", "entropy", "no-entropy", "no-ast", "no-urls", "no-prefilter", "execute", "json", "no-default-excludes", "resume"):
+    for name in NUMBERS:
+        p.add_argument(f"--{name}", default=None)
+    for flag in ("force", "entropy", "no-entropy", "no-ast", "no-urls", "no-prefilter", "execute", "json", "no-default-excludes", "resume", "no-normalized-hash", "no-hash-db"):
         p.add_argument(f"--{flag}", action="store_true")
     for option in ("report", "baseline", "feed", "hash-db", "hash-prefixes", "domains", "signatures", "whitelist", "suppressions", "agents", "handlers", "modules", "quarantine", "work", "baseline-store", "baseline-name", "baseline-version"):
         p.add_argument(f"--{option}", default="")
     return p
 
 
+#: Options of the surveyed command line, which has no commands, and what they are here.
+VALUES = {
+    "path": "scan-path", "document-root": "document-root", "scan-profile": "scan-profile", "profile": "profile", "action": "action", "signatures": "signatures", "exclude": "exclude", "report": "report", "batch-size": "batch-size",
+    "max-file-size-mb": "max-file-mb", "normalized-hash-max-file-size-mb": "normalized-hash-max-mb", "ast-max-file-size": "ast-max-bytes", "entropy-threshold": "entropy-threshold", "entropy-min-length": "entropy-min-length",
+    "suspicious-domains": "domains", "malware-hashes": "hash-db", "malware-hash-prefixes": "hash-prefixes", "malware-hash-prefix-length": "prefix-length", "quarantine-path": "quarantine",
+}
+#: Switches with two flags: name, what a conflict is called, and our flag for either side.
+SWITCHES = {
+    "ast": ("ast", "", "no-ast"), "prefilter": ("prefilter", "", "no-prefilter"), "normalized-hash": ("normalized_hash", "", "no-normalized-hash"), "entropy": ("entropy", "entropy", "no-entropy"), "url-analyzer": ("url_analyzer", "", "no-urls"),
+    "hash-db": ("hash_db", "", "no-hash-db"),
+}
+PLAIN = ("dry-run", "no-dry-run", "json", "help", "version", "force")
+BASELINE = ("baseline-create", "baseline-check", "baseline-update")
+
+
+def translated(argv: list[str]) -> list[str]:
+    """Arguments of the surveyed form (options alone, ``--name value`` or ``--name=value``) as ours, which begin with a command."""
+    if not argv or not argv[0].startswith("-"):
+        return argv
+    given: list[tuple[str, str]] = []
+    flags: set[str] = set()
+    known = {*PLAIN, *BASELINE, *(f"{side}-{k}" for k in SWITCHES for side in ("enable", "disable"))}
+    rest = list(argv)
+    if "--help" in rest or "--version" in rest:
+        return rest
+    while rest:
+        name, equals, value = rest.pop(0).partition("=")
+        if name == "--" or not name.startswith("--"):
+            if name != "--" or rest:
+                raise Usage(f"cli_unexpected_argument:{name if name != '--' else rest[0]}")
+            break
+        name = name[2:]
+        if name in known:
+            if value:
+                raise Usage(f"cli_option_does_not_accept_value:{name}")
+            flags.add(name)
+        elif name not in VALUES:
+            raise Usage(f"cli_unknown_option:{name}")
+        else:
+            if not equals and not rest:
+                raise Usage(f"cli_option_value_required:{name}")
+            given.append((VALUES[name], value if equals else rest.pop(0)))
+    if {"dry-run", "no-dry-run"} <= flags:
+        raise Usage("cli_dry_run_flags_conflict")
+    out = []
+    for k, (error, on, off) in SWITCHES.items():
+        if {f"enable-{k}", f"disable-{k}"} <= flags:
+            raise Usage(f"cli_{error}_flags_conflict")
+        out += [f"--{on}"] if on and f"enable-{k}" in flags else [f"--{off}"] if f"disable-{k}" in flags else []
+    modes = [b for b in BASELINE if b in flags]
+    if len(modes) > 1:
+        raise Usage("cli_baseline_mode_required")
+    if modes == ["baseline-update"] and "force" not in flags:
+        raise Usage("cli_force_required_for_baseline_update")
+    out += ["--execute"] * ("no-dry-run" in flags) + ["--force"] * ("force" in flags) + ["--json"] * ("json" in flags)
+    last = {k: v for k, v in given if k not in ("exclude", "scan-path")}  # a repeated option counts once, with its last value
+    several = [(k, v) for k, v in given if k == "exclude"] + [(k, v) for k, v in given if k == "scan-path"][-1:]
+    return [*modes, *["scan"] * (not modes), *out, *(f"--{k}={v}" for k, v in [*last.items(), *several])]
+
+
 def config_of(a) -> ScanConfig:
     if a.entropy and a.no_entropy:
         raise Usage("cli_conflicting_flags:entropy")
@@ -57,6 +124,7 @@ def config_of(a) -> ScanConfig:
     return ScanConfig.of(
         document_root=a.document_root, scan_paths=a.scan_path, exclude_paths=excludes + a.exclude, scan_profile=a.scan_profile, profile=a.profile, action=a.action, batch_size=a.batch_size, max_file_mb=a.max_file_mb,
         dry_run=not a.execute, entropy=a.entropy, entropy_off=a.no_entropy, ast=not a.no_ast, urls=not a.no_urls, prefilter=not a.no_prefilter,
+        normalized_hash=not a.no_normalized_hash, hash_db=not a.no_hash_db, **{k: v for n in NUMBERS if (v := getattr(a, k := n.replace("-", "_"))) is not None},
     )
 
 
@@ -147,6 +215,7 @@ def act(res, a, config: ScanConfig) -> dict[str, int]:
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     try:
+        argv = translated(sys.argv[1:] if argv is None else list(argv))
         a = parser().parse_args(argv)
         config = config_of(a)
         spark = spark or session()

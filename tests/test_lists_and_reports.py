@@ -237,3 +237,23 @@ def test_cli_named_baselines_steps_and_warnings(spark, tmp_path, capsys):
     warned = said()
     assert warned["informational_files"] == plain["informational_files"] + 1 and warned["informational_total"] == plain["informational_total"] + 2
     assert cli.main([*scan, "--hash-db", str(tmp_path / "none.json"), "--domains", put(tmp_path, "d.json", "{")], spark) == 1 and said() == plain
+
+
+def test_cli_takes_the_surveyed_form(spark, tmp_path, capsys):
+    assert cli.translated(["scan", "--path", "x"]) == ["scan", "--path", "x"] and cli.translated([]) == []
+    got = cli.translated(["--document-root=/s", "--path", "/s/a", "--exclude", "/x", "--exclude=/y", "--profile", "strict", "--profile=balanced", "--disable-ast", "--enable-entropy", "--entropy-threshold", "4,5", "--no-dry-run", "--force"])
+    assert got[0] == "scan" and set(got[1:]) == {"--document-root=/s", "--scan-path=/s/a", "--exclude=/x", "--exclude=/y", "--profile=balanced", "--no-ast", "--entropy", "--entropy-threshold=4,5", "--execute", "--force"}
+    config = cli.config_of(cli.parser().parse_args([x for x in got if x not in ("--execute", "--force")]))
+    assert (config.ast, config.entropy, config.entropy_threshold, config.scan_paths) == (False, True, 4.5, ("/s/a",))
+    assert cli.translated(["--baseline-update", "--force"]) == ["baseline-update", "--force"]
+    bad = {
+        "--what": "cli_unknown_option:what", "--json=1": "cli_option_does_not_accept_value:json", "--profile": "cli_option_value_required:profile", "--path=/a file": "cli_unexpected_argument:file", "-- file": "cli_unexpected_argument:file",
+        "--dry-run --no-dry-run": "cli_dry_run_flags_conflict", "--enable-ast --disable-ast": "cli_ast_flags_conflict", "--enable-hash-db --disable-hash-db": "cli_hash_db_flags_conflict", "--baseline-create --baseline-check": "cli_baseline_mode_required",
+        "--baseline-update": "cli_force_required_for_baseline_update",
+    }
+    for text, error in bad.items():
+        with pytest.raises(cli.Usage, match=error):
+            cli.translated(text.split())
+        assert cli.main(text.split(), spark) == 2
+    (tmp_path / "a.php").write_text("<?php eval($_POST['a']);")
+    assert cli.main(["--document-root", str(tmp_path), "--disable-ast", "--disable-url-analyzer", "--batch-size=10"], spark) == 1
