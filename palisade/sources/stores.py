@@ -290,6 +290,41 @@ def stable(rows: list[dict], key, order: str) -> list[dict]:
     return [r for _, r in sorted(enumerate(rows), key=lambda x: (key(x[1]), -x[0] if down else x[0]), reverse=down)]
 
 
+#: Actions on chosen rows of a report: the rule type they add, and the row's columns that the rule takes.
+WHITELIST_ACTIONS = {
+    "whitelist_file_signature": ("file_signature", ("file_path", "signature_id")), "whitelist_signature": ("signature", ("signature_id",)), "whitelist_hash": ("hash", ("file_hash",)), "whitelist_path": ("path", ("file_path",)),
+}
+RULE_FIELDS = {"file_path": "path", "file_hash": "hash", "signature_id": "signature_id"}
+
+
+def bulk_action(rows, action: str, rules: Rules | None = None, marks: Suppressions | None = None, quarantine: Quarantine | None = None, ids: list[str] | None = None, created_by: int = 0) -> dict[str, int]:
+    """Carry out an action on rows of a report's projection, all of them or those of ``ids``; gives how many were done and failed.
+
+    What rows have in common is done once: Spark makes the chosen columns distinct, and one value at a time comes to the driver, which
+    owns the small stores. Database rows have no file to move."""
+    from pyspark.sql import functions as F
+
+    chosen = rows if ids is None else rows.where(F.col("id").isin([str(i) for i in ids]))
+    if action in WHITELIST_ACTIONS:
+        kind, columns = WHITELIST_ACTIONS[action]
+        todo = lambda r: rules.add(type=kind, created_by=created_by, **{RULE_FIELDS[c]: r[c] for c in columns})
+    elif action == "suppress_finding":
+        columns, todo = ("finding_fingerprint",), lambda r: marks.add(r["finding_fingerprint"], created_by=created_by)
+    elif action == "quarantine_file":
+        chosen = chosen.where(~F.col("file_path").startswith("bitrix-db://"))
+        columns, todo = ("file_path",), lambda r: quarantine.take(r["file_path"], "report")
+    else:
+        raise StoreError(f"report_action_unknown:{action}")
+    done = {"done": 0, "failed": 0}
+    for r in chosen.select(*columns).distinct().orderBy(*columns).toLocalIterator():
+        try:
+            todo(r)
+            done["done"] += 1
+        except (OSError, ValueError, RuntimeError):  # a rule that is refused, a file that is gone
+            done["failed"] += 1
+    return done
+
+
 RULE_SORTS = ("id", "active", "type", "value", "created_at", "created_by", "disabled_at")
 
 

@@ -183,6 +183,26 @@ def test_lists_of_reports_and_exceptions():
     assert [r["value"] for r in stores.exception_rows([{"id": "1", "type": "path", "path": "/z"}], [{"fingerprint": "ff"}], "value", "asc")] == ["/z", "ff"]
 
 
+def test_bulk_actions_on_report_rows(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    for n in ("a.php", "b.php"):
+        (tmp_path / "s" / n).write_text("<?php eval($x); base64_decode($y);")
+    root = str(tmp_path / "s")
+    files = spark.createDataFrame([(f"{root}/{n}", "<?php eval($x); base64_decode($y);") for n in ("a.php", "b.php", "gone.php")], "path string, content string")
+    rows = report.projection(findings.scanned(files, ScanConfig.of(document_root=root)), "s1", root).select("id", "file_path", "file_hash", "signature_id", "finding_fingerprint").cache()
+    rules, marks = stores.Rules(str(tmp_path / "rules.json")), stores.Suppressions(str(tmp_path / "marks.json"))
+    assert stores.bulk_action(rows, "whitelist_signature", rules) == {"done": 2, "failed": 0} and len(rules.all()) == 2
+    one = [r["id"] for r in rows.where("signature_id = 'php_eval'").limit(1).collect()]
+    assert stores.bulk_action(rows, "whitelist_file_signature", rules, ids=[*one, "nothing"]) == {"done": 1, "failed": 0}
+    assert rules.all()[-1]["type"] == "file_signature" and rules.all()[-1]["path"].endswith(".php")
+    assert stores.bulk_action(rows, "whitelist_hash", rules)["done"] == 1 and stores.bulk_action(rows, "whitelist_path", rules)["done"] == 3
+    assert stores.bulk_action(rows, "suppress_finding", marks=marks)["done"] == len(marks.all()) == rows.select("finding_fingerprint").distinct().count()
+    assert stores.bulk_action(rows, "quarantine_file", quarantine=stores.Quarantine(str(tmp_path / "q"), root)) == {"done": 2, "failed": 1}
+    assert not (tmp_path / "s/a.php").exists()
+    with pytest.raises(stores.StoreError, match="report_action_unknown"):
+        stores.bulk_action(rows, "explode")
+
+
 # -- snapshots
 
 
