@@ -70,9 +70,9 @@ def staged_bytes(df: DataFrame) -> int:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
-def with_small(left: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join with a staged side, which is broadcast if its files and rows are within the bounds."""
-    fits = staged_bytes(small) <= BROADCAST_BYTES and small.count() <= BROADCAST_ROWS
+def with_small(left: DataFrame, small: DataFrame, on: list[str], how: str, times: int = 1) -> DataFrame:
+    """Join with a staged side, which is broadcast if its files and rows are within the bounds, or so many times them for rows of a few numbers."""
+    fits = staged_bytes(small) <= times * BROADCAST_BYTES and small.count() <= times * BROADCAST_ROWS
     return left.join(F.broadcast(small) if fits else small, on, how)
 
 

@@ -58,7 +58,8 @@ SIMILARITY = Fraction(3, 4)
 BUCKET_BITS, BLOCK_BITS = 24, 16
 #: Least-hash pivots that a set tries first.
 BANDS = 6
-#: Pivots of a region in the first round, and their growth from round to round.
+#: Pivots of a region in the first round, and their growth from round to round; a region of n members never has more than the root of n,
+#: but for small ones that take all their members: up to GROWTH in the second round, and twice as many in each that follows.
 PIVOTS, GROWTH = 1, 32
 #: One in so many n-grams makes a prefix longer, and a set without as many shared ones is linked to none.
 SHARED = 16
@@ -315,7 +316,7 @@ def spanning(regions: DataFrame, labels: DataFrame, name: str = "regions") -> Da
     cover = F.least(*[F.struct(F.when(F.col("mixed") | F.lit(k in ("home", "out")), F.col(k)).otherwise(F.col("m")).alias("n"), F.lit(k).alias("side")) for k in sides])
     wide = staged(wide.withColumn("cover", cover).select("s", "m", "cover.n", "cover.side"), f"{name}-wide")
     a = reduce(lambda rest, k: F.when(F.col("side") == k, F.col(k)).otherwise(rest), sides, F.lit(False))
-    return staged(with_small(rows, wide, ["s"], "inner").select("s", "x", "c", a.alias("a"), "m", "n", F.col("side").isin("home", "out").alias("inner")), name)
+    return staged(with_small(rows, wide, ["s"], "inner", 4).select("s", "x", "c", a.alias("a"), "m", "n", F.col("side").isin("home", "out").alias("inner")), name)
 
 
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -324,14 +325,16 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(of("x"), "x", "left").join(of("p"), "p", "left").where(F.coalesce("lx", "x") != F.coalesce("lp", "p")).select("x", "p")
 
 
-def with_pivots(regions: DataFrame, centre: DataFrame, pivots: int, turn: int) -> DataFrame:
+def with_pivots(regions: DataFrame, centre: DataFrame, turn: int) -> DataFrame:
     """(g, done, inner, ps, x, c): members of regions with their pivots ``ps`` (p, pc); regions (s, ...) of equal pivots are one.
 
-    A region whose cover has at most ``pivots`` members takes them all and is ``done`` then. Others take those that
-    are most in the middle by ``centre`` (x, w) and have most company."""
+    A small region, by its cover, takes all members as pivots and is ``done`` then. Others take at most the root of their size, those that
+    are most in the middle by ``centre`` (x, w) and have most company. Small is twice as much every round, so the rounds end."""
+    most, small = min(PIVOTS * GROWTH**turn, 1 << 40), PIVOTS if turn == 0 else GROWTH << (turn - 1)
+    some = F.least(F.lit(most), F.ceil(F.sqrt("n")).cast("long"))
     weight = regions.groupBy("x").agg(F.sum("m").alias("company")).join(centre, "x").select("x", F.struct("w", "company").alias("w"))
-    bucket = F.when(F.col("n") <= pivots, F.col("x")).otherwise(F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(pivots)))
-    ranked = regions.where("a").join(weight, "x").groupBy("s", bucket.alias("bucket")).agg(F.max(F.struct("w", F.struct(F.col("x").alias("p"), F.col("c").alias("pc")).alias("p"))).alias("best"), F.first("inner").alias("inner"), (F.max("n") <= pivots).alias("done"))
+    bucket = F.when(F.col("n") <= small, F.col("x")).otherwise(F.pmod(F.xxhash64("x", F.lit(turn)), some))
+    ranked = regions.where("a").join(weight, "x").groupBy("s", bucket.alias("bucket")).agg(F.max(F.struct("w", F.struct(F.col("x").alias("p"), F.col("c").alias("pc")).alias("p"))).alias("best"), F.first("inner").alias("inner"), (F.max("n") <= small).alias("done"))
     chosen = ranked.groupBy("s").agg(F.array_sort(F.collect_set("best.p")).alias("ps"), F.first("inner").alias("inner"), F.first("done").alias("done"))
     chosen = staged(chosen.withColumn("g", F.xxhash64(F.col("ps")["p"], "inner", "done")), "pivots")
     groups = chosen.groupBy("g").agg(*[F.first(c).alias(c) for c in ("done", "inner", "ps")])
@@ -402,10 +405,10 @@ def _grouped(own: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
         regions = spanning(enough(found, sizes).withColumns(plain), labels)
         regions = keep(spanning(enough(regions, sizes).withColumns(plain), labels))
     grams = gram_sets(real, sizes, regions.select("x"), words)
-    pivots, turn = PIVOTS, 0
+    turn = 0
     while not regions.isEmpty():
         with scratch(own.sparkSession) as keep:
-            members = with_pivots(regions, centre, pivots, turn)
+            members = with_pivots(regions, centre, turn)
             found, labels = meet(star(members), grams)
             inside = found.where("lead IS NOT NULL").join(staged(cells(members, found), "cells"), ["x", "p"])
             parent = labels.select(F.col("node").alias("p"), F.col("label").alias("pc"))
@@ -414,7 +417,7 @@ def _grouped(own: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
             kinds = F.array(F.struct(F.lit(False).alias("mixed"), F.col("lead").alias("of")), F.struct(F.lit(True).alias("mixed"), F.col("mixed").alias("of")))
             again = inside.join(wide.select(F.col("s").alias("p"), "x", "c"), ["p", "x"]).select("p", "pc", "x", "c", "home", "link", F.explode(kinds).alias("k"))
             again = again.select("p", "pc", "x", "c", "home", "link", "k.mixed", F.explode("k.of").alias("e")).withColumn("s", F.xxhash64("p", "mixed", "e"))
-            regions, pivots, turn = keep(spanning(again, labels)), GROWTH * pivots, turn + 1
+            regions, turn = keep(spanning(again, labels)), turn + 1
             keep(labels)
             keep(links[-1])
     named = sizes.select("set", F.col("rep").alias("component"))
