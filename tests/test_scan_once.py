@@ -46,3 +46,12 @@ def test_hex_runs_are_found_beside_longer_ones(spark):
     rows = [(1, hexes), (2, f"{run} {hexes}"), (3, f"{hexes} {hexes}"), (4, "plain")]
     got = {r["i"]: [(c["value"], c["offset"]) for c in r["c"]] for r in spark.createDataFrame(rows, "i int, t string").select("i", candidates(F.col("t"), 200).alias("c")).collect()}
     assert got == {1: [(hexes, 0), (hexes, 0)], 2: [(hexes, 241)], 3: [], 4: []}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_suppression_scans_the_site_once(spark):
+    from palisade.plans.queries import suppress_eval
+
+    plan = suppress_eval(spark, SF)._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan
+    spark.catalog.clearCache()
