@@ -55,3 +55,35 @@ def test_suppression_scans_the_site_once(spark):
     plan = suppress_eval(spark, SF)._jdf.queryExecution().withCachedData().toString()
     assert "InMemoryRelation" in plan
     spark.catalog.clearCache()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_report_page_is_one_scan(spark):
+    from palisade.plans.queries import QUERIES
+
+    spark.sparkContext.setJobGroup("report_page", "")
+    QUERIES["report_page"](spark, SF)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("report_page")
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(jobs) <= 1  # the schema of the table
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_links_are_read_from_their_files(spark):
+    from palisade.plans.queries import QUERIES
+
+    assert QUERIES["link_urls"](spark, SF).count() > 0
+
+
+def test_classes_name_their_members(spark):
+    import re
+
+    from palisade.operators.rules import java_pattern
+
+    for pattern in ("[A-Za-z0-9_]+", "[^a-f-]+", "[]a-c]+", "[+-9x-z]+", "a-z", "[a\\-z]+", "[^]b-d]", "[W-b]+"):
+        made = java_pattern(pattern, "")
+        points = [chr(i) for i in range(1, 128)]
+        df = spark.createDataFrame([(c,) for c in points + ["a-z"]], "c string")
+        got = {r.c for r in df.where(F.col("c").rlike(f"^(?:{made})$")).collect()}
+        assert got == {c for c in points + ["a-z"] if re.fullmatch(pattern, c)}, pattern
+    assert java_pattern("[A-Ca-c0-2]", "") == "[ABCabc012]" and java_pattern("x[^b-d]", "i") == "(?i)x[^bcd]"
