@@ -15,17 +15,18 @@ MARKERS = "eval assert base64_decode gzinflate gzuncompress str_rot13 create_fun
 
 def candidates(content: Column, least: int) -> Column:
     """array<struct<value, offset>>: base64-like run, hex run, quoted string; each only if it matches once. A hex run
-    lies in a base64-like one, so it is sought only where there is one."""
-    runs = [(f"[A-Za-z0-9+/=]{{{least},}}", 0), (java_pattern(f"\\b[0-9a-fA-F]{{{least},}}\\b", ""), 0), (f"(?s)([\"'])(.{{{least},}}?)\\1", 2)]
-    found = []
-    for pattern, group in runs:
+    lies in a base64-like one, so both are sought only where there is one, and quoted strings only where there is a quote."""
+    run, hexes, quoted = java_pattern(f"[A-Za-z0-9+/=]{{{least},}}", ""), java_pattern(f"\\b[0-9a-fA-F]{{{least},}}\\b", ""), f"(?s)([\"'])(.{{{least},}}?)\\1"
+
+    def once(pattern, group):
         value = F.regexp_extract(content, pattern, group)
         at = F.regexp_instr(content, F.lit(pattern)) - 1 + (1 if group else 0)
-        once = F.regexp_count(content, F.lit(pattern)) == 1
-        if pattern == runs[1][0]:
-            once = F.when(content.rlike(runs[0][0]), once)
-        found.append(F.when(once, F.struct(value.alias("value"), at.alias("offset"))))
-    return F.filter(F.array(*found), lambda c: c.isNotNull())
+        return F.when(F.regexp_count(content, F.lit(pattern)) == 1, F.struct(value.alias("value"), at.alias("offset")))
+
+    none = F.array().cast("array<struct<value:string,offset:int>>")
+    runs = F.when(content.rlike(run), F.array(once(run, 0), once(hexes, 0))).otherwise(none)
+    quotes = F.when(content.contains('"') | content.contains("'"), F.array(once(quoted, 2))).otherwise(none)
+    return F.filter(F.concat(runs, quotes), lambda c: c.isNotNull())
 
 
 def excerpt(value: Column) -> Column:

@@ -57,6 +57,18 @@ def test_suppression_scans_the_site_once(spark):
     spark.catalog.clearCache()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_full_scan_reads_the_site_once_for_its_analyzers(spark):
+    from palisade.plans.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000000")
+    try:  # the analyzers, the domains of the files' URLs, the list of hashes
+        assert times_cleaned(QUERIES["full_scan"](spark, SF)) == 3
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 def test_report_page_is_one_scan(spark):
     from palisade.plans.queries import QUERIES
