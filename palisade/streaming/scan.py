@@ -45,11 +45,12 @@ def scan_stream(files: DataFrame, out: str, checkpoint: str, config: ScanConfig
 
 
 def scan_stream_once(spark: SparkSession, files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """Write ``files`` out, stream them a file at a time, and read the verdicts back."""
+    """Write ``files`` out, stream them in batches of some files for each core, and read the verdicts back. A batch costs a plan of its own, so their
+    number goes with the input for each core, not with the input."""
     base = shared_folder(spark)
     schema = files.schema
     files.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4 * spark.sparkContext.defaultParallelism).parquet(f"{base}/in")
     scan_stream(stream, f"{base}/out", f"{base}/checkpoint", config).awaitTermination()
     return spark.read.schema("file_path string, score int, severity string, status string").json(f"{base}/out")
 

@@ -99,3 +99,12 @@ def test_classes_name_their_members(spark):
         got = {r.c for r in df.where(F.col("c").rlike(f"^(?:{made})$")).collect()}
         assert got == {c for c in points + ["a-z"] if re.fullmatch(pattern, c)}, pattern
     assert java_pattern("[A-Ca-c0-2]", "") == "[ABCabc012]" and java_pattern("x[^b-d]", "i") == "(?i)x[^bcd]"
+
+
+def test_a_stream_of_many_files_takes_few_batches(spark, tmp_path, monkeypatch):
+    from palisade.streaming import scan
+
+    monkeypatch.setattr(scan, "shared_folder", lambda _: f"file://{tmp_path}/run")
+    files = spark.range(0, 20, 1, 20).select(F.concat(F.lit("/s/"), "id", F.lit(".php")).alias("path"), F.lit("<?php eval($a);").alias("content"))
+    assert scan.scan_stream_once(spark, files).where("score = 5").count() == 20
+    assert len([p for p in os.listdir(tmp_path / "run/out") if p.startswith("batch=")]) == -(-20 // (4 * spark.sparkContext.defaultParallelism))
