@@ -80,8 +80,9 @@ WORDS = Unit(True, 16, 4)
 
 
 def line_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(__d, __t, __n, line, h1, h2) for each line with a word: place, line, 128 bits of hash."""
-    rows = docs.select(F.col(id_col).alias("__d"), F.xxhash64(text).alias("__t"), F.posexplode(F.split(text, "\n")).alias("__n", "line"))
+    """(__d, __t, __n, line, h1, h2) for each line with a word: place, line, 128 bits of hash. A text is hashed once, before it is cut into lines."""
+    texts = docs.select(F.col(id_col).alias("__d"), F.xxhash64(text).alias("__t"), F.col(text).alias("__text"))
+    rows = texts.select("__d", "__t", F.posexplode(F.split("__text", "\n")).alias("__n", "line"))
     return rows.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 

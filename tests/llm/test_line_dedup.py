@@ -64,3 +64,12 @@ def test_defined_cases(spark):
     # the null id is earliest; the repeated row keeps the same lines in both
     assert got == sorted([(1, None, "x"), (2, "", "x"), (3, "", "x"), (3, "", "x"), (None, "one two three four five sis\n\n\nshort", "y"), (4, "shor", "z")], key=repr)
     assert L.deduplicated(df.limit(0)).count() == 0
+
+
+def test_texts_are_hashed_before_they_are_cut(spark):
+    """Above the generator a text would be hashed again for each of its lines."""
+    docs = spark.createDataFrame([(1, "a b\nc d"), (2, None)], "doc_id long, text string")
+    plan = L.line_rows(docs, "doc_id", "text").select("__d", "__t", "__n", "h1")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate ", 1)
+    assert above.count("xxhash64(") == 1 and below.count("xxhash64(") == 1
+    assert sorted((r["__d"], r["__n"]) for r in L.line_rows(docs, "doc_id", "text").collect()) == [(1, 0), (1, 1)]
