@@ -1,5 +1,6 @@
 import random
 import re
+from contextlib import contextmanager
 
 from palisade.llm import jaccard_join as J
 
@@ -118,3 +119,42 @@ def test_defined_cases(spark):
     got = sorted((tuple(r) for r in J.linked(df).collect()), key=repr)
     assert got == sorted([(5, 0, 5), (6, 0, 6), (7, 4, 3), (3, 4, 3), (3, 4, 3), (None, 4, None), (9, 1, 8), (8, 1, 8), (2, 0, 2)], key=repr)
     assert J.linked(df.limit(0)).count() == 0
+
+
+def test_sets_move_only_to_their_pivots(spark, monkeypatch):
+    """Sets are written where they are read; rows of equal id give a set more than once, and each pair is measured once."""
+    plans, pairs = {}, []
+    staged = J.staged
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = staged(df, name)
+        if name == "pivot-distances":
+            pairs.extend(out.select("x", "p").collect())
+            assert out.select("x", "p").distinct().count() == out.count()
+        return out
+
+    monkeypatch.setattr(J, "staged", seen)
+    docs = corpus(5, 60)
+    rows = [r for r in docs for _ in range(3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute(docs) and pairs
+    assert not any("Aggregate" in p or "Deduplicate" in p for p in plans["set-grams"])
+
+
+def test_first_pivots_share_two_least_hashes(spark, monkeypatch):
+    """Sets that have one least hash of a pivot, as those with a common passage, do not meet it before the rounds."""
+    tried, staged = [], J.staged
+    monkeypatch.setattr(J, "staged", lambda df, name: tried.append(staged(df, name)) or tried[-1] if name == "band-pairs" else staged(df, name))
+    monkeypatch.setattr(J, "scratch", _kept)
+    docs = corpus(6, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    bands = {J.digest(g): J.least_hashes(g) for g in J.sets_of([t for _, t in docs])}
+    met = tried[0].collect()
+    assert met and all(sum(a == b for a, b in zip(bands[r.x], bands[r.p])) >= 2 for r in met)
+
+
+@contextmanager
+def _kept(spark):
+    yield lambda df: df
