@@ -22,6 +22,11 @@ Not all pairs of a region can give a new link: one of the two is at home in the
 component, and in mixed regions (:func:`leading`) one alone is linked to the pivot. The smallest of these sides is
 the region's *cover*; pivots come from it, and a region whose cover has no more members than pivots is done
 when they are measured. That is the only place where a pair of members is made as such.
+
+From the second round on, a cell of at most :data:`LEAF` members is a *leaf*: it is one region of its own and not cut by elements. Its
+sets meet at one pivot in one task, which holds their differences from the pivot and compares those that are not linked to it with
+all (:func:`met_in_leaf`). A leaf gives a row for each member, with the links that join others to it.
+
 Before the first round, each set meets the least sets that have one of its :data:`BANDS` least hashes, if they share
 :data:`SAME_BANDS` of them: these pivots put nearly all of a group into one component at the cost of a few rows a set.
 A link shares as many in 995 of 1000 cases, sets with a common passage rarely do; what is missed is left to the rounds.
@@ -66,6 +71,10 @@ PIVOTS, GROWTH = 1, 32
 SHARED = 16
 #: Members that meet one copy of their pivot's set; a pivot with more is sent more often.
 SPOKES = 128
+#: Members of a leaf and n-grams of their sets (16 MB), at most; and the round from which on there are none, so that the rounds end.
+LEAF, LEAF_GRAMS, LEAF_UNTIL = 4096, 1 << 21, 5
+#: Cells of a matrix that :func:`met_in_leaf` holds.
+LEAF_CELLS = 1 << 22
 
 
 def sets_of(texts: list[str], words: int = WORDS) -> Iterator[np.ndarray]:
@@ -263,15 +272,72 @@ def leading(own: np.ndarray, pivot: np.ndarray, inside: np.ndarray, missing: np.
     return np.concatenate([first(rare, extras[linked] - q), *([] if linked else without_rare(1))]), np.concatenate([nothing, *without_rare(int(linked))])
 
 
-def measured(pairs: DataFrame, grams: DataFrame, sent) -> DataFrame:
-    """(x, p, link, dist, lead, mixed) of distinct pairs (x, p, cell) of a member x and its pivot p, x <> p.
+def met_in_leaf(extras: list[np.ndarray], lacks: list[np.ndarray], p: int) -> list[tuple[int, int]]:
+    """Links (i, j) that join the members of a leaf as all their links do, without those through the pivot.
+
+    A member has ``extras`` above its pivot of ``p`` elements and ``lacks`` others of it, so two sets share p - d - d' elements
+    and those that their differences share. Members that are linked to the pivot are one component already."""
+    e, d = np.array([len(g) for g in extras], np.int64), np.array([len(g) for g in lacks], np.int64)
+    n, linked = p + e - d, 4 * d + 3 * e <= p
+    _, tokens = np.unique(np.concatenate(extras + lacks), return_inverse=True)
+    owner = np.concatenate([np.repeat(np.arange(len(e)), e), np.repeat(np.arange(len(d)), d)])
+    is_extra = np.arange(len(tokens)) < e.sum()
+    live = np.ones(len(e), bool)
+    while True:  # a link shares three quarters of either set: elements of the pivot, and extras that another member has
+        held = live[owner]
+        times = np.bincount(tokens[held], minlength=int(tokens.max(initial=-1)) + 1)
+        met = np.bincount(owner[held & is_extra & (times[tokens] > 1)], minlength=len(e))
+        still = live & (SIMILARITY.denominator * (p - d + met) >= SIMILARITY.numerator * n)
+        if still.sum() == live.sum():
+            break
+        live = still
+    rows, all_of = np.flatnonzero(live & ~linked), np.flatnonzero(live)
+    if not len(rows) or len(all_of) < 2:
+        return []
+    wanted = np.zeros(len(times), bool)
+    wanted[tokens[(live & ~linked)[owner]]] = True
+    use = live[owner] & wanted[tokens] & (times[tokens] > 1)
+    columns, column = np.unique(tokens[use], return_inverse=True)
+    place = np.zeros(len(e), np.int64)
+    place[all_of] = np.arange(len(all_of))
+    at = place[owner[use]]
+    order = np.argsort(column, kind="stable")
+    at, column = at[order], column[order]
+    width = max(64, LEAF_CELLS // len(all_of))
+    high = max(1, LEAF_CELLS // len(all_of))
+    root, found = np.where(linked, -1, np.arange(len(e)))[all_of], []
+    for first in range(0, len(rows), high):
+        these = place[rows[first : first + high]]
+        shared = np.zeros((len(these), len(all_of)), np.float32)
+        for start in range(0, len(columns), width):
+            lo, hi = np.searchsorted(column, [start, start + width])
+            block = np.zeros((len(all_of), min(width, len(columns) - start)), np.float32)
+            block[at[lo:hi], column[lo:hi] - start] = 1
+            shared += block[these] @ block.T
+        for i, row in zip(these, shared):
+            both = n[all_of[i]] + n[all_of]
+            near = np.flatnonzero((SIMILARITY.numerator + SIMILARITY.denominator) * (p - d[all_of[i]] - d[all_of] + row.astype(np.int64)) >= SIMILARITY.numerator * both)
+            others, one = np.unique(root[near], return_index=True)
+            for other, j in zip(others, near[one]):
+                if other != root[i]:
+                    found.append((int(all_of[i]), int(all_of[j])))
+                    root[root == other] = root[i]
+    return found
+
+
+def measured(pairs: DataFrame, grams: DataFrame, sent, sizes: DataFrame | None = None) -> DataFrame:
+    """(x, p, link, dist, lead, mixed, met) of distinct pairs (x, p, cell) of a member x and its pivot p, x <> p.
 
     A pivot's set and up to :data:`SPOKES` of its members' sets come to one task in turn, so a task
-    holds two sets at a time. ``lead``, ``mixed``: :func:`leading`, for the pairs that ``cell`` marks."""
-    loads = staged(pairs.groupBy("p").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("copies")), "pivot-loads")
-    names = ["p", "part", "role", "x", "cell"]
-    spokes = pairs.join(loads, "p").select("p", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int").alias("part"), F.lit(1).alias("role"), "x", "cell")
-    hubs = loads.select("p", F.explode(F.expr("sequence(0, copies - 1)")).alias("part"), F.lit(0).alias("role"), F.col("p").alias("x"), F.lit(False).alias("cell"))
+    holds two sets at a time. ``lead``, ``mixed``: :func:`leading`, for the pairs that ``cell`` marks. With ``sizes`` (set, n), pivots
+    that are within the bounds of a leaf have ``met``, other members linked to x, in their place, and a task holds a leaf at a time."""
+    loads, leaf = pairs.groupBy("p").agg(F.count("*").alias("k"), F.lit(False).alias("leaf")), F.col("leaf")
+    if sizes is not None:
+        loads = pairs.join(sizes.select(F.col("set").alias("x"), "n"), "x").groupBy("p").agg(F.count("*").alias("k"), (F.bool_or("cell") & (F.count("*") <= LEAF) & (F.sum("n") <= LEAF_GRAMS)).alias("leaf"))
+    loads = staged(loads.select("p", leaf, F.when(leaf, 1).otherwise(F.ceil(F.col("k") / SPOKES)).cast("int").alias("copies")), "pivot-loads")
+    names = ["p", "part", "role", "x", "cell", "leaf"]
+    spokes = pairs.join(loads, "p").select("p", F.pmod(F.xxhash64("x"), F.col("copies")).cast("int").alias("part"), F.lit(1).alias("role"), "x", "cell", "leaf")
+    hubs = loads.select("p", F.explode(F.expr("sequence(0, copies - 1)")).alias("part"), F.lit(0).alias("role"), F.col("p").alias("x"), F.lit(False).alias("cell"), "leaf")
     wanted = staged(spokes.select(names).unionByName(hubs.select(names)), "sets-wanted")
     sets = with_small(grams.select(F.col("set").alias("x"), "grams"), wanted, ["x"], "inner")  # the sets themselves move once, to their pivots
     dealt = sets.select(*names, "grams").repartition("p", "part").sortWithinPartitions("p", "part", "role", "x")
@@ -279,30 +345,49 @@ def measured(pairs: DataFrame, grams: DataFrame, sent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, hub, last = np.frombuffer(sent.value, np.uint8), np.empty(0, np.uint64), None
+        rows, inner = [], []  # inner: a leaf's rows with their differences
+
+        def close() -> None:
+            met: dict[int, list[int]] = {}
+            for i, j in met_in_leaf([e for _, e, _ in inner], [m for _, _, m in inner], len(hub)) if len(inner) > 1 else ():
+                met.setdefault(i, []).append(inner[j][0][0])
+            rows.extend((*row, None, None, met.get(i)) for i, (row, _, _) in enumerate(inner))
+            inner.clear()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.float64(), *[pa.list_(pa.int64())] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["x", "p", "link", "dist", "lead", "mixed", "met"])
+                rows.clear()
+
         for batch in batches:
-            rows = []
-            for p, part, role, x, cell, g in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5)):
+            for p, part, role, x, cell, whole, g in zip(*(batch.column(i).to_pylist() for i in range(6)), batch.column(6)):
                 if last == (last := (p, part, role, x)):
                     continue
                 own = np.frombuffer(g.as_buffer(), np.uint64)
                 if not role:
+                    close()
                     hub = own.copy()
                     continue
                 at = np.minimum(np.searchsorted(hub, own), len(hub) - 1)
                 inside = hub[at] == own
                 shared = int(inside.sum())
                 union = len(own) + len(hub) - shared
-                lead = (None, None)
-                if cell:
-                    missing = np.ones(len(hub), bool)
-                    missing[at[inside]] = False
-                    lead = (of.view(np.int64) for of in leading(own, hub, inside, missing, flags))
-                rows.append((x, p, den * shared >= num * union, 1 - shared / union, *lead))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["x", "p", "link", "dist", "lead", "mixed"])
+                row = x, p, den * shared >= num * union, 1 - shared / union
+                if not cell and not whole:
+                    rows.append((*row, None, None, None))
+                    continue
+                missing = np.ones(len(hub), bool)
+                missing[at[inside]] = False
+                if whole:
+                    inner.append((row, own[~inside], hub[missing]))
+                else:
+                    rows.append((*row, *(of.view(np.int64) for of in leading(own, hub, inside, missing, flags)), None))
+            yield from told()
+        close()
+        yield from told()
 
-    return staged(arrow_map(dealt, run, "x long, p long, link boolean, dist double, lead array<long>, mixed array<long>"), "pivot-distances")
+    return staged(arrow_map(dealt, run, "x long, p long, link boolean, dist double, lead array<long>, mixed array<long>, met array<long>"), "pivot-distances")
 
 
 def spanning(regions: DataFrame, labels: DataFrame, name: str = "regions") -> DataFrame:
@@ -332,13 +417,15 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def with_pivots(regions: DataFrame, centre: DataFrame, turn: int) -> DataFrame:
     """(g, done, inner, ps, x, c): members of regions with their pivots ``ps`` (p, pc); regions (s, ...) of equal pivots are one.
 
-    A small region, by its cover, takes all members as pivots and is ``done`` then. Others take at most the root of their size, those that
+    A region of a leaf's size takes one pivot. A small region, by its cover, takes all members as pivots and is ``done`` then. Others take at most the root of their size, those that
     are most in the middle by ``centre`` (x, w) and have most company. Small is twice as much every round, so the rounds end."""
     most, small = min(PIVOTS * GROWTH**turn, 1 << 40), PIVOTS if turn == 0 else GROWTH << (turn - 1)
     some = F.least(F.lit(most), F.ceil(F.sqrt("n")).cast("long"))
+    leaf = F.lit(0 < turn < LEAF_UNTIL) & (F.col("m") <= LEAF)
+    few = (F.col("n") <= small) & ~leaf
     weight = regions.groupBy("x").agg(F.sum("m").alias("company")).join(centre, "x").select("x", F.struct("w", "company").alias("w"))
-    bucket = F.when(F.col("n") <= small, F.col("x")).otherwise(F.pmod(F.xxhash64("x", F.lit(turn)), some))
-    ranked = regions.where("a").join(weight, "x").groupBy("s", bucket.alias("bucket")).agg(F.max(F.struct("w", F.struct(F.col("x").alias("p"), F.col("c").alias("pc")).alias("p"))).alias("best"), F.first("inner").alias("inner"), (F.max("n") <= small).alias("done"))
+    bucket = F.when(few, F.col("x")).when(leaf, 0).otherwise(F.pmod(F.xxhash64("x", F.lit(turn)), some))
+    ranked = regions.where("a").join(weight, "x").groupBy("s", bucket.alias("bucket")).agg(F.max(F.struct("w", F.struct(F.col("x").alias("p"), F.col("c").alias("pc")).alias("p"))).alias("best"), F.first("inner").alias("inner"), F.bool_or(few).alias("done"))
     chosen = ranked.groupBy("s").agg(F.array_sort(F.collect_set("best.p")).alias("ps"), F.first("inner").alias("inner"), F.first("done").alias("done"))
     chosen = staged(chosen.withColumn("g", F.xxhash64(F.col("ps")["p"], "inner", "done")), "pivots")
     groups = chosen.groupBy("g").agg(*[F.first(c).alias(c) for c in ("done", "inner", "ps")])
@@ -385,10 +472,13 @@ def _grouped(own: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     real = own.where(F.col("__i").isNotNull())
     links: list[DataFrame] = []
 
-    def meet(pairs: DataFrame, grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Measure pairs (x, p, cell); the measures and the labels of all links so far."""
-        found = measured(staged(pairs, "pairs"), grams, sent)
-        links.append(staged(found.where("link").select(F.col("x").alias("a"), F.col("p").alias("b")), "found-links"))
+    def meet(pairs: DataFrame, grams: DataFrame, *leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Measure pairs (x, p, cell), with the sizes of sets where there are leaves; the measures and the labels of all links so far."""
+        found = measured(staged(pairs, "pairs"), grams, sent, *leaves)
+        new = found.where("link").select(F.col("x").alias("a"), F.col("p").alias("b"))
+        if leaves:
+            new = new.unionByName(found.where("met IS NOT NULL").select(F.col("x").alias("a"), F.explode("met").alias("b")))
+        links.append(staged(new, "found-links"))
         return found, components(reduce(DataFrame.unionByName, links))
 
     # pivots by least hashes: first the least one of each set, then the others that are in another component
@@ -414,14 +504,19 @@ def _grouped(own: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     while not regions.isEmpty():
         with scratch(own.sparkSession) as keep:
             members = with_pivots(regions, centre, turn)
-            found, labels = meet(star(members), grams)
+            found, labels = meet(star(members), grams, *[sizes] * (0 < turn < LEAF_UNTIL))
             inside = found.where("lead IS NOT NULL").join(staged(cells(members, found), "cells"), ["x", "p"])
             parent = labels.select(F.col("node").alias("p"), F.col("label").alias("pc"))
             inside = staged(inside.join(parent, "p", "left").withColumn("pc", F.coalesce("pc", "p")), "cell-members")
             wide = spanning(inside.select(F.col("p").alias("s"), "x", "home", F.lit(False).alias("mixed"), "link", "pc"), labels, "cells-by-component")
             kinds = F.array(F.struct(F.lit(False).alias("mixed"), F.col("lead").alias("of")), F.struct(F.lit(True).alias("mixed"), F.col("mixed").alias("of")))
-            again = inside.join(wide.select(F.col("s").alias("p"), "x", "c"), ["p", "x"]).select("p", "pc", "x", "c", "home", "link", F.explode(kinds).alias("k"))
-            again = again.select("p", "pc", "x", "c", "home", "link", "k.mixed", F.explode("k.of").alias("e")).withColumn("s", F.xxhash64("p", "mixed", "e"))
+            again = inside.join(wide.select(F.col("s").alias("p"), "x", "c", "m"), ["p", "x"])
+            leaf = F.lit(turn + 1 < LEAF_UNTIL) & (F.col("m") <= LEAF)
+            names = ["p", "pc", "x", "c", "home", "link"]
+            # who has no leading element has no link to find
+            whole = again.where(leaf & (F.size("lead") + F.size(F.col("mixed")) > 0)).select(*names, F.lit(False).alias("mixed"), F.xxhash64("p").alias("s"))
+            again = again.where(~leaf).select(*names, F.explode(kinds).alias("k"))
+            again = again.select(*names, "k.mixed", F.explode("k.of").alias("e")).select(*names, "mixed", F.xxhash64("p", "mixed", "e").alias("s")).unionByName(whole)
             regions, turn = keep(spanning(again, labels)), turn + 1
             keep(labels)
             keep(links[-1])

@@ -2,6 +2,8 @@ import random
 import re
 from contextlib import contextmanager
 
+import numpy as np
+
 from palisade.llm import jaccard_join as J
 
 
@@ -158,3 +160,49 @@ def test_first_pivots_share_two_least_hashes(spark, monkeypatch):
 @contextmanager
 def _kept(spark):
     yield lambda df: df
+
+
+def test_a_leaf_is_compared_as_all_pairs():
+    """The links of a leaf and those to its pivot join its members as all pairs of them do."""
+    for seed, cells in ((1, 1 << 22), (2, 1 << 12), (3, 1 << 8)):
+        docs = hard_group(seed, 120) + [(d + 120, t) for d, t in corpus(seed, 60) if t.strip()]
+        hub, *sets = list(J.sets_of([t for _, t in docs]))
+        inside = [np.isin(g, hub) for g in sets]
+        extras, lacks = [g[~i] for g, i in zip(sets, inside)], [hub[~np.isin(hub, g)] for g in sets]
+        old, J.LEAF_CELLS = J.LEAF_CELLS, cells
+        try:
+            met = J.met_in_leaf(extras, lacks, len(hub))
+        finally:
+            J.LEAF_CELLS = old
+        links = lambda a, b: 7 * len(np.intersect1d(a, b)) >= 3 * (len(a) + len(b))
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if links(sets[i], sets[j])]
+        to_hub = [(i, len(sets)) for i in range(len(sets)) if links(sets[i], hub)]
+        assert met and len(met) < len(sets) and all(links(sets[i], sets[j]) for i, j in met)
+
+        def parts(pairs, n=len(sets) + 1):
+            root = list(range(n))
+            for a, b in pairs:
+                a, b = root[a], root[b]
+                root = [a if r == b else r for r in root]
+            return [root.index(r) for r in root]
+
+        assert parts(met + to_hub) == parts(every + to_hub)
+
+
+def test_cells_of_a_leafs_size_are_not_cut_by_elements(spark, monkeypatch):
+    """After the first round a group has a row for each member and is done; elements gave rows with the power of its size."""
+    docs, real, members = hard_group(4, 300), J.with_pivots, []
+    monkeypatch.setattr(J, "with_pivots", lambda *rest: members.append((out := real(*rest)).count()) or out)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    assert len(members) == 2 and members[1] <= 300
+
+
+def test_groups_beyond_a_leaf(spark, monkeypatch):
+    """Cells with more members or n-grams than a leaf are cut by elements, and meet leaves, or none, in later rounds."""
+    docs, measured, leaves = hard_group(8, 140), J.measured, []
+    monkeypatch.setattr(J, "LEAF", 30)
+    monkeypatch.setattr(J, "LEAF_GRAMS", 1500)
+    monkeypatch.setattr(J, "measured", lambda *rest: leaves.append((out := measured(*rest)).where("met IS NOT NULL").count()) or out)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and len(leaves) > 4
