@@ -90,15 +90,35 @@ def sets_of(texts: list[str], words: int = WORDS) -> Iterator[np.ndarray]:
             yield window_hash(hashes[at[i] : at[i + 1]], tuple(range(n))) if n else np.empty(0, np.uint64)
 
 
+def joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of sets in one array, the sizes of the sets, and where those that are not empty start."""
+    n = np.array([len(g) for g in sets], np.int64)
+    return np.concatenate(sets) if sets else np.empty(0, np.uint64), n, (np.cumsum(n) - n)[n > 0]
+
+
+def digests(sets: list[np.ndarray]) -> list[int]:
+    """64 bits of each set, with its size in the mix."""
+    grams, n, starts = joined(sets)
+    sums = n.astype(np.uint64)
+    if len(starts):
+        sums[n > 0] += np.add.reduceat(mixed(grams), starts)
+    return mixed(sums).view(np.int64).tolist()
+
+
 def digest(grams: np.ndarray) -> int:
-    """64 bits of a set, with its size in the mix."""
-    h = mixed(np.array([mixed(grams).sum(dtype=np.uint64) + np.uint64(len(grams))], np.uint64))
-    return int(h.view(np.int64)[0])
+    return digests([grams])[0]
 
 
-def least_hashes(grams: np.ndarray) -> list[int]:
-    """The least hash of a set under each of :data:`BANDS` orders."""
-    return [int(mixed(grams ^ np.uint64(0x9E3779B97F4A7C15 * (b + 1) & (1 << 64) - 1)).min().view(np.int64)) for b in range(BANDS)] if len(grams) else []
+def least_hashes(sets: list[np.ndarray]) -> list[list[int]]:
+    """The least hash of each set under each of :data:`BANDS` orders; none of an empty one."""
+    grams, n, starts = joined(sets)
+    out: list[list[int]] = [[] for _ in sets]
+    if len(starts):
+        orders = [np.uint64(0x9E3779B97F4A7C15 * (b + 1) & (1 << 64) - 1) for b in range(BANDS)]
+        least = np.stack([np.minimum.reduceat(mixed(grams ^ o), starts) for o in orders], axis=1).view(np.int64)
+        for i, row in zip(np.flatnonzero(n), least.tolist()):
+            out[i] = row
+    return out
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -119,11 +139,10 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         for batch in batches:
             for first, group in gathered(batch.column(1).to_pylist()):
-                rows = []
-                for grams in sets_of(group, words):
-                    rows.append((0, len(grams), digest(grams), None, least_hashes(grams)))
-                    waiting.append((grams >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
-                    size += len(grams)
+                sets = list(sets_of(group, words))
+                rows = [(0, len(g), d, None, b) for g, d, b in zip(sets, digests(sets), least_hashes(sets))]
+                waiting.append((joined(sets)[0] >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32))
+                size += len(waiting[-1])
                 if size > 1 << 21:
                     count()
                     size = 0
@@ -175,8 +194,9 @@ def prefixes(docs: DataFrame, sent, words: int = WORDS) -> DataFrame:
         for batch in batches:
             for _, group in gathered(batch.column(1).to_pylist()):
                 grams, owners = [], []
-                for g in sets_of(group, words):
-                    if not len(g) or (d := digest(g)) in done:
+                sets = list(sets_of(group, words))
+                for g, d in zip(sets, digests(sets)):
+                    if not len(g) or d in done:
                         continue
                     done.add(d)
                     k = min(len(g), len(g) + int(-SIMILARITY * len(g) // 1) + least_shared(len(g)))
@@ -223,7 +243,8 @@ def gram_sets(docs: DataFrame, sizes: DataFrame, nodes: DataFrame, words: int) -
         done: set[int] = set()
         for batch in batches:
             for _, group in gathered(batch.column(1).to_pylist()):
-                found = {digest(g): g.tobytes() for g in sets_of(group, words)}
+                sets = list(sets_of(group, words))
+                found = {d: g.tobytes() for d, g in zip(digests(sets), sets)}
                 new = [d for d in found if d not in done]
                 done.update(new)
                 if new:

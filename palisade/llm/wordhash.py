@@ -46,22 +46,26 @@ _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of the base and of its inverse, or more. The longest so far serve all shorter texts."""
     size = max(1 << 16, 1 << (n - 1).bit_length())
     if size > 4 * BLOCK:
         return _powers(BASE, n), _powers(INVERSE, n)
-    if size not in _cache:
+    known = max(_cache, default=0)
+    if known < size:
         _cache.clear()
+        known = size
         _cache[size] = _powers(BASE, size), _powers(INVERSE, size)
-    return _cache[size]
+    return _cache[known]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that lets every bit bear on every other."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def _hashed(data: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
